@@ -244,12 +244,14 @@ def mixture_probabilities(df: DataFrame, id_cols: Sequence[str], features: Seque
 
 def mesh(spark: SparkSession, x: tuple[float, float, int], y: tuple[float, float, int]) -> DataFrame:
     """All points of a rectangular grid: (ix, iy, x1, x2), each axis (first, last, points)."""
-    def axis(first: float, last: float, points: int, index: str, name: str) -> DataFrame:
-        step = (last - first) / max(points - 1, 1)
-        ids = spark.range(points)
-        return ids.select(F.col("id").cast("int").alias(index), (F.lit(first) + F.col("id") * F.lit(step)).alias(name))
+    def place(index: str, axis: tuple[float, float, int]) -> F.Column:
+        first, last, points = axis
+        return F.lit(first) + F.col(index) * F.lit((last - first) / max(points - 1, 1))
 
-    return axis(*x, "ix", "x1").crossJoin(axis(*y, "iy", "x2"))  # the grid itself, points_x * points_y rows
+    ids = spark.range(x[2] * y[2]).select(
+        F.pmod("id", F.lit(x[2])).cast("int").alias("ix"), F.floor(F.col("id") / F.lit(x[2])).cast("int").alias("iy")
+    )
+    return ids.select("ix", "iy", place("ix", x).alias("x1"), place("iy", y).alias("x2"))
 
 
 def density_grid(

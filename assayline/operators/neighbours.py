@@ -23,8 +23,8 @@ def _nearest_of_blocks(k: int, id_col: str):
     def fn(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({id_col: [], "neighbour": [], "distance": []})
-        a, b = np.stack(queries["x"]), np.stack(candidates["x"])
-        qa, cb = queries[id_col].to_numpy(), candidates[id_col].to_numpy()
+        a, b = np.stack(queries["x"]), np.stack(candidates["_x"])
+        qa, cb = queries[id_col].to_numpy(), candidates[f"_{id_col}"].to_numpy()
         square = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
         width = min(k + 9, len(cb))  # a margin, because this form of the distance rounds
         near = np.argpartition(square, width - 1, axis=1)[:, :width]
@@ -105,12 +105,14 @@ def nearest_neighbours(
         id_col, "x", "q_cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), "c_cell",
         block("c_blocks").alias("c_block"),
     )
+    # fresh column identities: both sides come from the same table
+    queries, candidates = queries.toDF(*queries.columns), candidates.toDF(*[f"_{c}" for c in candidates.columns])
     keys = ["q_cell", "q_block", "c_cell", "c_block"]
     kind = df.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType()),
     ])
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*[f"_{c}" for c in keys])).applyInPandas(
         _nearest_of_blocks(k, id_col), schema
     )
     by_distance = Window.partitionBy(id_col).orderBy("distance", "neighbour")
