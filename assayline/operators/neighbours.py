@@ -124,42 +124,52 @@ def _distance(a: str, b: str) -> F.Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def k3n_terms(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> DataFrame:
-    """Per row: mean relative excess of the distances in ``b`` to the neighbours found in ``a``.
+def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame, best: DataFrame) -> DataFrame:
+    """Per row: mean relative excess, in ``space``, of the distances to ``found`` neighbours over the ``best`` ones.
 
-    The distances in ``b`` to the ``k`` neighbours from ``a``, sorted, are compared
-    one by one with the ``k`` smallest distances in ``b``.  A zero distance is
-    replaced by the smallest positive one of that row.
+    Both lists are sorted by distance in ``space`` and compared place by place.  A zero
+    distance is replaced by the smallest positive one of that row.
     """
-    rows = df.select(id_col, feature_array(a).alias("a"), feature_array(b).alias("b"))
-    in_a = nearest_neighbours(rows, id_col, "a", k, **options).select(id_col, "neighbour")
-    in_b = nearest_neighbours(rows, id_col, "b", k, **options).select(id_col, "rank", F.col("distance").alias("best"))
-    own = rows.select(id_col, F.col("b").alias("b_own"))
-    other = rows.select(F.col(id_col).alias("neighbour"), F.col("b").alias("b_other"))
+    own = rows.select(id_col, feature_array(space).alias("_own"))
+    other = rows.select(F.col(id_col).alias("neighbour"), feature_array(space).alias("_other"))
     reached = (
-        in_a.join(own, id_col).join(other, "neighbour").select(id_col, _distance("b_own", "b_other").alias("reached"))
+        found.select(id_col, "neighbour").join(own, id_col).join(other, "neighbour")
+        .select(id_col, _distance("_own", "_other").alias("reached"))
         .withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("reached")))
     )
-    both = reached.join(in_b, [id_col, "rank"])
+    both = reached.join(best.select(id_col, "rank", F.col("distance").alias("best")), [id_col, "rank"])
     per_row = Window.partitionBy(id_col)
     positive = F.least(
         F.min(F.when(F.col("best") > 0, F.col("best"))).over(per_row),
         F.min(F.when(F.col("reached") > 0, F.col("reached"))).over(per_row),
     )
-    floor = both.withColumn("_p", positive)
-    best = F.when(F.col("best") > 0, F.col("best")).otherwise(F.col("_p"))
-    far = F.when(F.col("reached") > 0, F.col("reached")).otherwise(F.col("_p"))
-    excess = F.coalesce(F.try_divide(far - best, best), F.lit(0.0))
-    return floor.groupBy(id_col).agg(F.avg(excess).alias("excess"))
+    least = F.when(F.col("best") > 0, F.col("best")).otherwise(F.col("_positive"))
+    far = F.when(F.col("reached") > 0, F.col("reached")).otherwise(F.col("_positive"))
+    excess = F.coalesce(F.try_divide(far - least, least), F.lit(0.0))
+    return both.withColumn("_positive", positive).groupBy(id_col).agg(F.avg(excess).alias("excess"))
+
 
+def k3n_terms(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> DataFrame:
+    """(id, excess) in space ``b`` of the neighbours found in space ``a``."""
+    in_a = nearest_neighbours(df, id_col, a, k, **options)
+    in_b = nearest_neighbours(df, id_col, b, k, **options)
+    return neighbour_excess(df, id_col, b, in_a, in_b)
 
-def k3n_one_way(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> float:
-    return float(k3n_terms(df, id_col, a, b, k, **options).agg(F.avg("excess")).first()[0])
 
+def k3n_error(
+    df: DataFrame, id_col: str, a: str, b: str, k: int = 10, in_a: DataFrame | None = None, **options
+) -> float:
+    """Neighbour error of both directions added up; 0 when every neighbourhood is kept.
 
-def k3n_error(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> float:
-    """Neighbour error of both directions added up; 0 when every neighbourhood is kept."""
-    return k3n_one_way(df, id_col, a, b, k, **options) + k3n_one_way(df, id_col, b, a, k, **options)
+    ``in_a`` may hold the neighbours in ``a`` when several ``b`` are scored against one ``a``.
+    """
+    near_a = in_a if in_a is not None else nearest_neighbours(df, id_col, a, k, **options).persist()
+    near_b = nearest_neighbours(df, id_col, b, k, **options).persist()
+    there = neighbour_excess(df, id_col, b, near_a, near_b).select(F.lit("ab").alias("way"), "excess")
+    back = neighbour_excess(df, id_col, a, near_b, near_a).select(F.lit("ba").alias("way"), "excess")
+    error = sum(r["e"] for r in there.union(back).groupBy("way").agg(F.avg("excess").alias("e")).collect())
+    near_b.unpersist()
+    return float(error)
 
 
 def principal_embedding(
@@ -189,12 +199,13 @@ def embedding_sweep(
     """
     scores = []
     base = df.select(id_col, feature_array(features).alias("a"))
+    in_a = nearest_neighbours(base, id_col, "a", k, **options).persist()
     for name, table in candidates.items():
         s = table.agg(*[f(F.col("t")[i]).alias(f"{f.__name__}{i}") for i in range(2) for f in (F.avg, F.stddev_samp)]).first()
         scaled = table.select(id_col, F.array(*[
             (F.col("t")[i] - F.lit(s[f"avg{i}"])) / F.lit(s[f"stddev_samp{i}"] or 1.0) for i in range(2)
         ]).alias("b"))
-        scores.append((name, k3n_error(base.join(scaled, id_col), id_col, "a", "b", k, **options)))
+        scores.append((name, k3n_error(base.join(scaled, id_col), id_col, "a", "b", k, in_a, **options)))
     best = min(range(len(scores)), key=lambda i: scores[i][1])
     rows = [(n, float(v), i == best) for i, (n, v) in enumerate(scores)]
     return df.sparkSession.createDataFrame(rows, "candidate string, k3n_error double, is_best boolean")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators.mixture import log_sum
-from assayline.operators.neighbours import k3n_error
+from assayline.operators.neighbours import k3n_error, nearest_neighbours
 from assayline.plans.scans import collect_sums, feature_array, map_rows, sum_over_rows
 
 FAILED_SCORE = 10e100  # score of a map that could not be fitted
@@ -214,14 +214,15 @@ def map_grid_search(
     Returns the best map and (nodes, centres, variance, regulariser, sparse, k3n_error, is_best).
     """
     models = fit_maps(df, features, specs, rounds=rounds)
+    base = df.select(id_col, feature_array(features).alias("a"))
+    in_a = nearest_neighbours(base, id_col, "a", k, **options).persist()
     scores = []
     for model in models:
         if not model.success:
             scores.append(FAILED_SCORE)
             continue
         placed = map_positions(df, [id_col], features, model).select(id_col, F.array("t1_mean", "t2_mean").alias("b"))
-        both = df.select(id_col, feature_array(features).alias("a")).join(placed, id_col)
-        scores.append(k3n_error(both, id_col, "a", "b", k, **options))
+        scores.append(k3n_error(base.join(placed, id_col), id_col, "a", "b", k, in_a, **options))
     best = int(np.argmin(scores))
     rows = [
         (s.nodes, s.centres, float(s.variance), float(s.regulariser), s.sparse, float(v), i == best)
