@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.functions.smoothing import savgol, smooth_point, weights_literal, window_weights
 from assayline.plans.ordered import CHUNK_ROWS, row_positions, with_halo
 
+SMOOTHED_CHUNK_ROWS = 8_192  # rows of a series gathered into one array
+
 
 def smooth_spectra(
     df: DataFrame, spectrum: str, window: int = 21, poly: int = 2, deriv: int = 0, out: str | None = None
@@ -44,33 +46,34 @@ def smooth_series(
     deriv: int = 0,
     keys: Sequence[str] = (),
     out: str = "smoothed",
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = SMOOTHED_CHUNK_ROWS,
     **limits: int,
 ) -> DataFrame:
     """Savitzky-Golay along rows; series shorter than the window give null.
 
-    One bounded frame per row serves the interior and both ends, and series
-    longer than ``chunk_rows`` are cut into chunks with a halo.
+    Every series is cut into chunks that carry a halo of their neighbours' values.  A
+    chunk becomes one bounded array, so long series spread over many tasks and the
+    same weights serve the interior and both ends.
     """
     half, reach = window // 2, window - 1
     placed = row_positions(df, order, keys, pos="_pos", total="_n", **limits)
     chunked = with_halo(placed, "_pos", reach, reach, chunk_rows)
-    frame = (
-        Window.partitionBy(*[F.col(k) for k in keys], "_chunk").orderBy("_pos").rowsBetween(-reach, reach)
+    point = F.struct(
+        "_pos", "_n", "_own", F.col(value).cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     )
+    chunks = chunked.groupBy(*[F.col(k) for k in keys], "_chunk").agg(F.array_sort(F.collect_list(point)).alias("_c"))
     weights = weights_literal(window_weights(window, poly, deriv))
-    start = F.least(F.greatest(F.col("_pos") - half, F.lit(0)), F.col("_n") - window)
-    first = F.greatest(F.col("_pos") - reach, F.lit(0))
-    # structs, so that a missing value keeps its place in the frame
-    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(frame)
-    smoothed = smooth_point(F.col("_near"), start - first, weights, F.col("_pos") - start, window)
-    return (
-        chunked.withColumn("_near", near)
-        .where("_own")
-        .withColumn("_near", F.transform("_near", lambda s: s["v"]))
-        .withColumn(out, F.when(F.col("_n") >= window, smoothed))
-        .drop("_near", "_pos", "_n", "_chunk", "_own")
-    )
+
+    def smoothed(p: Column) -> Column:
+        start = F.least(F.greatest(p["_pos"] - half, F.lit(0)), p["_n"] - window)
+        inside = start - F.get("_c", F.lit(0))["_pos"]
+        return F.when(p["_n"] >= window, smooth_point(F.col("_values"), inside, weights, p["_pos"] - start, window))
+
+    arrays = chunks.select("_c", F.transform("_c", lambda p: p["_v"]).alias("_values"))
+    rows = arrays.select(F.explode(F.transform(
+        F.filter("_c", lambda p: p["_own"]), lambda p: F.struct(p["_row"].alias("_row"), smoothed(p).alias("_s"))
+    )).alias("_p"))
+    return rows.select("_p._row.*", F.col("_p._s").alias(out))
 
 
 def lag_table(
