@@ -47,15 +47,9 @@ def dummy_variables(df: DataFrame, id_col: str, columns: Sequence[str] | None =
 
 def category_codes(df: DataFrame, column: str, order: Sequence[str], out: str = "code") -> DataFrame:
     """Add integer codes numbered by first appearance along ``order``; null stays null."""
-    first_seen = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
-    )
+    first_seen = df.groupBy(column).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
     if first_seen.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
         raise ValueError(f"more than {MAX_LEVELS} categories in {column}")
-    codes = first_seen.select(  # at most MAX_LEVELS rows
-        column, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out)
-    )
-    joined = join_stats(df.where(F.col(column).isNotNull()), codes, [column])
-    return joined.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("int")))
+    known_first = Window.orderBy(F.col(column).isNull(), "_first")  # at most MAX_LEVELS rows
+    code = F.when(F.col(column).isNotNull(), F.row_number().over(known_first) - 1)
+    return join_stats(df, first_seen.select(column, code.alias(out)), [column])

@@ -93,12 +93,14 @@ def outlier_samples(
                 kept = ~(np.abs(batch["y"] - residuals(batch, models)) > threshold)
             x, y, ids = batch["x"][kept], batch["y"][kept], batch["_hash"][kept]
             design = np.column_stack([np.ones(len(y)), x - centre[:-1], y - centre[-1]])
-            products = design[:, upper[0]] * design[:, upper[1]]
+            narrow = size <= 32  # then all products of a batch fit beside it
+            products = design[:, upper[0]] * design[:, upper[1]] if narrow else None
             out = {}
             for m in range(sub_models):
                 for half in range(2):
                     salt = ((seed * 1009 + round_number) * sub_models + m) * 2 + half
-                    out[f"{m}|{half}"] = _half_poisson(_uniform(ids, salt)) @ products
+                    weight = _half_poisson(_uniform(ids, salt))
+                    out[f"{m}|{half}"] = weight @ products if narrow else ((design * weight[:, None]).T @ design)[upper]
             return out
 
         return statistic

@@ -76,32 +76,32 @@ def impute_mixture(
     nan = F.lit(float("nan"))
     cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), nan) for c in features])
     rows = df.withColumn("_cells", cells)
-    complete = rows.where(~F.exists("_cells", F.isnan)).select("_cells")
+    is_complete = ~F.exists("_cells", F.isnan)
 
     observed = fit_scaler(df, features)  # per feature over the rows that have it
     row_mean = np.array([observed.mean[c] for c in features], dtype=float)
     row_std = np.array([observed.std[c] for c in features], dtype=float)
-    learning, column = complete, "_cells"
-    filled_rows = rows
+    learning = rows.where(is_complete).select("_cells")
+    fill = None
     for _ in range(rounds):
-        mean, std = _mean_and_std(learning, column)
-        if row_mean is None:
+        mean, std = _mean_and_std(learning, "_cells")
+        if fill is not None:
             row_mean, row_std = mean, std
-        scaled = map_rows(
-            learning, [], [column], lambda b, c=column, m=mean, s=std: {"z": (b[c] - m) / s}, "z array<double>"
-        )
+        scaled = map_rows(learning, [], ["_cells"], lambda b, m=mean, s=std: {"z": (b["_cells"] - m) / s}, "z array<double>")
         model, _grid = mixture_bic(scaled, "z", max_components, covariance_types, **options)
 
-        def complete_rows(batch, model=model, mean=mean, std=std, a=row_mean, b=row_std):
+        def fill(batch, model=model, mean=mean, std=std, a=row_mean, b=row_std):
             cells = batch["_cells"]
             filled = fill_missing((cells - a) / b, model) * std + mean
             return {"_filled": np.where(np.isnan(cells), filled, cells)}
 
-        filled_rows = map_rows(rows, [*df.columns], ["_cells"], complete_rows, "_filled array<double>")
-        learning, column = filled_rows.select("_filled"), "_filled"
-        row_mean = row_std = None
-    return filled_rows.select([
-        F.coalesce(F.col(f"`{c}`").cast("double"), F.get("_filled", F.lit(features.index(c)))).alias(c)
-        if c in features else F.col(f"`{c}`")
-        for c in df.columns
-    ])
+        learning = map_rows(rows, [], ["_cells"], fill, "_filled array<double>").select(F.col("_filled").alias("_cells"))
+
+    # complete rows never leave the JVM
+    whole = df.where(F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features)))
+    filled = map_rows(rows.where(~is_complete), df.columns, ["_cells"], fill, "_filled array<double>")
+    return whole.select([F.col(f"`{c}`").cast("double").alias(c) if c in features else F.col(f"`{c}`") for c in df.columns]).unionByName(
+        filled.select([
+            F.get("_filled", F.lit(features.index(c))).alias(c) if c in features else F.col(f"`{c}`") for c in df.columns
+        ])
+    )

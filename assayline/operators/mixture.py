@@ -145,7 +145,7 @@ def fit_mixtures(
     specs: Sequence[tuple[int, str]],
     starts: int = 2,
     rounds: int = 100,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-3,
 ) -> dict[tuple[int, str], Mixture]:
     """Fit every (components, covariance type); the best of ``starts`` starts is kept.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayline.plans.joins import join_stats, split_join
 from assayline.plans.moments import covariance, fit_moments
 from assayline.plans.scans import feature_array, map_rows
 
@@ -54,11 +55,29 @@ def nearest_neighbours(
     bound on the k-th distance of every cell; only blocks of cells that can hold
     something nearer are compared, and each comparison keeps ``k`` rows per query.
     Where nothing can be pruned the work is quadratic, which is the price of exactness.
+    Of a point with many copies only the first ``k + 1`` take part; the others are
+    answered from those.
     """
     rows = (
         df.select(F.col(id_col), feature_array(features).alias("x"))
         .where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     )
+    # rows beyond the first k + 1 copies of one point: their neighbours are the first k copies
+    first_copies = (
+        rows.withColumn("_copy", F.row_number().over(Window.partitionBy("x").orderBy(id_col)))
+        .where(F.col("_copy") <= k + 1)
+    )
+    crowded = first_copies.groupBy("x").agg(
+        F.array_sort(F.collect_list(id_col)).alias("_copies")
+    ).where(F.size("_copies") == k + 1).persist()
+    surplus = None
+    if not crowded.isEmpty():
+        marked = join_stats(rows, crowded, ["x"], "left")
+        beyond = F.col("_copies").isNotNull() & (F.col(id_col) > F.get("_copies", F.lit(k)))
+        surplus = marked.where(beyond).select(
+            id_col, F.posexplode(F.slice("_copies", 1, k)).alias("_place", "neighbour")
+        ).select(id_col, "neighbour", F.lit(0.0).alias("distance"), (F.col("_place") + 1).alias("rank"))
+        rows = marked.where(~beyond).select(id_col, "x")
     total = rows.count()
     wanted = int(min(max_pivots, max(1, -(-total // block_rows))))
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(wanted).collect()
@@ -116,7 +135,8 @@ def nearest_neighbours(
         _nearest_of_blocks(k, id_col), schema
     )
     by_distance = Window.partitionBy(id_col).orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    near = found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    return near if surplus is None else near.unionByName(surplus)
 
 
 def _distance(a: str, b: str) -> F.Column:
@@ -132,8 +152,9 @@ def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame,
     """
     own = rows.select(id_col, feature_array(space).alias("_own"))
     other = rows.select(F.col(id_col).alias("neighbour"), feature_array(space).alias("_other"))
+    placed = split_join(found.select(id_col, "neighbour").join(own, id_col), other, ["neighbour"])
     reached = (
-        found.select(id_col, "neighbour").join(own, id_col).join(other, "neighbour")
+        placed
         .select(id_col, _distance("_own", "_other").alias("reached"))
         .withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("reached")))
     )

@@ -34,7 +34,7 @@ def hampel_limits(
     """Median -+ ``width`` * 1.4826 * median absolute deviation per key: (keys, centre, mad, lower, upper)."""
     keys = list(keys)
     centre = exact_median(df, value, keys, "centre", **limits)
-    placed = _attach(df.select(*keys, value), centre, keys)
+    placed = _attach(df, centre, keys)
     centred = placed.groupBy(*keys).agg(F.first("centre").alias("centre"))
     mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad", **limits)
     both = join_stats(centred, mad, keys) if keys else _attach(centred, mad, keys)

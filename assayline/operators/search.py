@@ -227,7 +227,7 @@ def select_lags_ga(
     """Search for process variables and delays; a region stays within one variable."""
     table, names, ends = lagged_rows(df, order, target, features, max_lag, span, folds)
     return select_regions_ga(
-        table, names, target, "_fold", folds, regions, max_width, max_components, ends, **options
+        table.persist(), names, target, "_fold", folds, regions, max_width, max_components, ends, **options
     )
 
 

@@ -1,4 +1,4 @@
-"""Attaching a table of group statistics to the rows of those groups."""
+"""Joins that hold up when one key has a large share of the rows."""
 
 from __future__ import annotations
 
@@ -8,32 +8,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 64
+HEAVY_ROWS = 1_000_000
+MAX_HEAVY_KEYS = 100_000
+
+
+def _renamed(right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return right.select(
+        *[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys], *[F.col(f"`{c}`") for c in right.columns if c not in keys]
+    )
+
+
+def _joined(left: DataFrame, renamed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    same = [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    heavy_rows: int = HEAVY_ROWS,
+    max_heavy_keys: int = MAX_HEAVY_KEYS,
+) -> DataFrame:
+    """Equi-join in which ``left`` may have hot keys and ``right`` has one row per key; nulls match.
+
+    Keys with more than ``heavy_rows`` rows (and more than a ``max_heavy_keys``-th of
+    the table, so there are fewer than ``max_heavy_keys`` of them) get their rows of
+    ``right`` by broadcast and are not shuffled; all other keys are joined by a shuffle.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).persist()
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    bound = max(heavy_rows, -(-total // max_heavy_keys))
+    heavy = counts.where(F.col("_n") > bound).select(*keys, F.lit(True).alias("_heavy")).persist()
+    found = heavy.count()
+    counts.unpersist()
+    if found == 0:
+        return _joined(left, _renamed(right, keys), keys, how)
+    marked = _joined(left, F.broadcast(_renamed(heavy, keys)), keys, "left")
+    hot, cold = marked.where("_heavy").drop("_heavy"), marked.where(F.col("_heavy").isNull()).drop("_heavy")
+    hot_right = _joined(right, F.broadcast(_renamed(heavy, keys)), keys, "inner").drop("_heavy")
+    return _joined(hot, F.broadcast(_renamed(hot_right, keys)), keys, how).unionByName(
+        _joined(cold, _renamed(right, keys), keys, how)
+    )
 
 
 def join_stats(
     df: DataFrame,
     stats: DataFrame,
     keys: Sequence[str],
+    how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Join one-row-per-key ``stats`` to ``df``; null keys match each other.
 
     ``stats`` is materialised and counted first.  Up to ``broadcast_rows`` rows
-    it is broadcast, so ``df`` is not shuffled.  Beyond that both sides are
-    shuffled on (key, salt) with ``stats`` repeated once per salt, so a key that
-    holds a large share of ``df`` is spread over ``salts`` tasks.
+    it is broadcast, so ``df`` is not shuffled; beyond that see :func:`split_join`.
     """
-    small = stats.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[c for c in stats.columns if c not in keys],
-    ).persist()
-    matches = [df[k].eqNullSafe(small[f"_k_{k}"]) for k in keys]
-    drop = [f"_k_{k}" for k in keys]
+    small = stats.persist()
     if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return df.join(F.broadcast(small), matches).drop(*drop)
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
-    right = small.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys] + [left["_salt"] == right["_salt_r"]]
-    return left.join(right, on).drop("_salt", "_salt_r", *drop)
+        return _joined(df, F.broadcast(_renamed(small, keys)), keys, how)
+    return split_join(df, small, keys, how, heavy_rows)

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.plans.joins import join_stats
-from assayline.plans.ordered import ROWS_IN_ONE_TASK, largest_group
+from assayline.plans.ordered import largest_group
+
+VALUES_IN_ONE_TASK = 500_000
 
 
 def exact_median(
@@ -16,7 +18,7 @@ def exact_median(
     value: str | Column,
     keys: Sequence[str] = (),
     name: str = "median",
-    rows_in_one_task: int = ROWS_IN_ONE_TASK,
+    rows_in_one_task: int = VALUES_IN_ONE_TASK,
     accuracy: int = 50_000,
 ) -> DataFrame:
     """One row per key with the exact median of ``value`` (nulls skipped).

@@ -24,8 +24,9 @@ def feature_names(df: DataFrame, features: Sequence[str] | str) -> list[str]:
     """Names of the features; elements of an array column are ``{column}_{position}``."""
     if not isinstance(features, str):
         return list(features)
-    width = df.select(F.max(F.size(features))).first()[0]
-    if width is None or width > MAX_FEATURES:
+    first = df.where(F.col(features).isNotNull()).select(F.size(features)).first()
+    width = first[0] if first else 0
+    if not 0 < width <= MAX_FEATURES:
         raise ValueError(f"feature width {width} is not in 1..{MAX_FEATURES}")
     return [f"{features}_{i}" for i in range(width)]
 
@@ -37,7 +38,7 @@ def to_numpy(column: pa.Array) -> np.ndarray:
         if column.null_count or flat.null_count:
             raise ValueError("feature arrays must not hold nulls")
         values = flat.to_numpy(zero_copy_only=False)
-        if len(column) and len(values) % len(column):
+        if len(np.unique(np.diff(column.offsets.to_numpy()))) > 1:
             raise ValueError("feature arrays differ in length")
         return values.reshape(len(column), -1)
     return column.to_numpy(zero_copy_only=False)
