@@ -1,0 +1,64 @@
+"""Published result tables, found by their header below the folder GOLDEN_TABLES (skipped when unset)."""
+
+import os
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from assayline.operators.encode import dummy_variables
+from assayline.operators.ensemble_outliers import outlier_samples
+from assayline.operators.impute import impute_mixture
+from assayline.operators.mixture import mixture_bic, mixture_probabilities
+from assayline.operators.scale import autoscale
+from assayline.sources.tables import read_samples
+
+ROOT = os.environ.get("GOLDEN_TABLES")
+pytestmark = pytest.mark.skipif(not ROOT, reason="GOLDEN_TABLES is not set")
+
+
+def tables(header):
+    found = [p for p in sorted(Path(ROOT).rglob("*.csv")) if p.open().readline().strip() == header]
+    assert found, header
+    return found
+
+
+def test_mixture_probabilities(spark):
+    df = autoscale(read_samples(spark, str(tables(",x1,x2")[0])), ["x1", "x2"])
+    model, _ = mixture_bic(df, ["x1", "x2"], 6)
+    assert (model.components, model.covariance_type) == (2, "full")
+    got = mixture_probabilities(df, ["id"], ["x1", "x2"], model).toPandas().sort_values("id")[["0", "1"]].to_numpy()
+    gaps = []
+    for path in tables(",0,1"):
+        want = pd.read_csv(path)[["0", "1"]].to_numpy()
+        gaps.append(min(np.abs(got - want).max(), np.abs(got[:, ::-1] - want).max()))
+    assert min(gaps) < 1e-6
+
+
+def test_imputation(spark):
+    holes, whole = [], []
+    for path in tables(",sepal_length,sepal_width,petal_length,petal_width"):
+        (holes if pd.read_csv(path).isna().any().any() else whole).append(path)
+    df = read_samples(spark, str(holes[0]))
+    names = df.columns[1:]
+    got = impute_mixture(df, names, 10, 3, ["full", "spherical"]).toPandas().set_index("id")
+    want = pd.read_csv(whole[0], index_col=0).loc[got.index]
+    assert np.abs(got[names].to_numpy() - want.to_numpy()).max() < 1e-6
+
+
+def test_outlier_samples(spark):
+    df = read_samples(spark, str(tables(",y," + ",".join(f"x{i}" for i in range(1, 11)))[0]))
+    want = pd.read_csv(tables("TRUE if outlier samples")[0]).iloc[:, 0].to_numpy()
+    got = outlier_samples(df, "id", [f"x{i}" for i in range(1, 11)], "y").toPandas()
+    got = got.assign(n=got["id"].str.split("_").str[1].astype(int)).sort_values("n")
+    assert (got["is_outlier_sample"].to_numpy() == want).all()
+
+
+def test_dummies(spark):
+    source = [p for p in tables(",species,sepal length,sepal width,petal length,petal width")][0]
+    got = dummy_variables(read_samples(spark, str(source)), "id").toPandas().set_index("id")
+    header = ",sepal length,sepal width,petal length,petal width,species_setosa,species_versicolor,species_virginica"
+    for path in tables(header):
+        want = pd.read_csv(path, index_col=0).loc[got.index]
+        assert list(got.columns) == list(want.columns) and (got == want).all().all()
