@@ -18,7 +18,7 @@ from assayline.operators.impute import impute_mixture
 from assayline.operators.mixture import (
     density_grid, fit_mixture, mixture_bic, mixture_probabilities, score_mixture,
 )
-from assayline.operators.neighbours import embedding_sweep, k3n_terms, nearest_neighbours, principal_embedding
+from assayline.operators.neighbours import embedding_sweep, k3n_error, k3n_terms, nearest_neighbours, principal_embedding
 from assayline.operators.pls import pls_cv, pls_cv_predict, pls_fit
 from assayline.operators.rbf import RbfPoint, rbf_cv
 from assayline.operators.scale import autoscale
@@ -49,22 +49,65 @@ def _planted(spark, folder, width: int = 64):
 
 # ---- partial least squares ------------------------------------------------------------------
 
-_X = range(1, 5)
-_SCALED = {j: f"((x{j} - m{j}) / s{j})" for j in _X}
-_SCORE = " + ".join(f"w{j} * {_SCALED[j]}" for j in _X)
-_PLS = (
-    "d AS (SELECT vec_id, ntile(5) OVER (ORDER BY vec_id) - 1 AS fold, " + ", ".join(f"embedding[{j}]::DOUBLE AS x{j}" for j in _X)
-    + ", 2 * embedding[4]::DOUBLE - embedding[11]::DOUBLE + 0.5 * embedding[21]::DOUBLE + embedding[34]::DOUBLE - embedding[51]::DOUBLE AS y FROM embeddings), "
-    "f AS (SELECT unnest(range(5)) AS k), "
-    "st AS (SELECT k, avg(y) AS my, stddev_samp(y) AS sy, " + ", ".join(f"avg(x{j}) AS m{j}, stddev_samp(x{j}) AS s{j}" for j in _X)
-    + " FROM d JOIN f ON d.fold <> f.k GROUP BY k), "
-    "c AS (SELECT k, " + ", ".join(f"sum({_SCALED[j]} * (y - my) / sy) AS c{j}" for j in _X) + " FROM d JOIN st ON d.fold <> st.k GROUP BY k), "
-    "w AS (SELECT k, " + ", ".join(f"c{j} / sqrt({' + '.join(f'c{i} * c{i}' for i in _X)}) AS w{j}" for j in _X) + " FROM c), "
-    f"q AS (SELECT k, sum(t * u) / sum(t * t) AS q FROM (SELECT st.k AS k, {_SCORE} AS t, (y - my) / sy AS u FROM d JOIN st ON d.fold <> st.k JOIN w ON w.k = st.k) GROUP BY k), "
-    f"p AS (SELECT vec_id, y, my + sy * q * ({_SCORE}) AS z FROM d JOIN st ON d.fold = st.k JOIN w ON w.k = st.k JOIN q ON q.k = st.k)"
+_PLANTED = (
+    "2 * embedding[4]::DOUBLE - embedding[11]::DOUBLE + 0.5 * embedding[21]::DOUBLE + embedding[34]::DOUBLE - embedding[51]::DOUBLE"
 )
 
 
+def _one_component_sql(dims: tuple[int, ...], tag: str = "") -> str:
+    """CTEs ending in ``p{tag}`` (vec_id, y, z): held-out predictions of one-component partial least squares."""
+    scaled = {j: f"((x{j} - m{j}) / s{j})" for j in dims}
+    score = " + ".join(f"w{j} * {scaled[j]}" for j in dims)
+    d, f, st, c, w, q = (n + tag for n in ("d", "f", "st", "c", "w", "q"))
+    return (
+        f"{d} AS (SELECT vec_id, ntile(5) OVER (ORDER BY vec_id) - 1 AS fold, "
+        + ", ".join(f"embedding[{j}]::DOUBLE AS x{j}" for j in dims) + f", {_PLANTED} AS y FROM embeddings), "
+        f"{f} AS (SELECT unnest(range(5)) AS k), "
+        f"{st} AS (SELECT k, avg(y) AS my, stddev_samp(y) AS sy, " + ", ".join(f"avg(x{j}) AS m{j}, stddev_samp(x{j}) AS s{j}" for j in dims)
+        + f" FROM {d} JOIN {f} ON fold <> k GROUP BY k), "
+        f"{c} AS (SELECT k, " + ", ".join(f"sum({scaled[j]} * (y - my) / sy) AS c{j}" for j in dims) + f" FROM {d} JOIN {st} ON fold <> k GROUP BY k), "
+        f"{w} AS (SELECT k, " + ", ".join(f"c{j} / sqrt({' + '.join(f'c{i} * c{i}' for i in dims)}) AS w{j}" for j in dims) + f" FROM {c}), "
+        f"{q} AS (SELECT k, sum(t * u) / sum(t * t) AS q FROM (SELECT {st}.k AS k, {score} AS t, (y - my) / sy AS u FROM {d} JOIN {st} ON fold <> {st}.k "
+        f"JOIN {w} ON {w}.k = {st}.k) GROUP BY k), "
+        f"p{tag} AS (SELECT vec_id, y, my + sy * q * ({score}) AS z FROM {d} JOIN {st} ON fold = {st}.k JOIN {w} ON {w}.k = {st}.k JOIN {q} ON {q}.k = {st}.k)"
+    )
+
+
+def _least_squares_sql(a: int, b: int, tag: str = "") -> str:
+    """CTEs ending in ``p{tag}`` (vec_id, y, z): held-out predictions of least squares on two dimensions."""
+    d, s = "d" + tag, "s" + tag
+    return (
+        f"{d} AS (SELECT vec_id, ntile(5) OVER (ORDER BY vec_id) - 1 AS fold, embedding[{a}]::DOUBLE AS a, embedding[{b}]::DOUBLE AS b, {_PLANTED} AS y FROM embeddings), "
+        f"{s} AS (SELECT k, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, "
+        f"covar_pop(b, y) AS by_ FROM {d} JOIN (SELECT unnest(range(5)) AS k) ON fold <> k GROUP BY k), "
+        f"p{tag} AS (SELECT vec_id, y, my + (ay * bb - by_ * ab) / (aa * bb - ab * ab) * (a - ma) + (by_ * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb) AS z "
+        f"FROM {d} JOIN {s} ON fold = k)"
+    )
+
+
+_PLS = _one_component_sql((1, 2, 3, 4))
+_R2 = "1 - sum((y - z) * (y - z)) / (var_pop(y) * count(*))"
+
+
+@query("pls_two_components", f"WITH {_least_squares_sql(4, 11)} SELECT vec_id, {r('z')} AS predicted FROM p")
+def pls_two_components(spark, folder):
+    rows = _planted(spark, folder)
+    predicted = pls_cv_predict(rows, ["embedding_3", "embedding_10"], "y", "fold", 5, 2)
+    return predicted.select("vec_id", rounded("predicted").alias("predicted"))
+
+
+# with two features every possible set is met, so the best score ever seen is the best of all four fits
+@query(
+    "ga_best_score",
+    "WITH " + ", ".join([
+        _one_component_sql((4,), "1"), _one_component_sql((11,), "2"), _one_component_sql((4, 11), "3"), _least_squares_sql(4, 11, "4"),
+    ]) + f" SELECT {r('max(r2)', 8)} AS best_ever FROM (" + " UNION ALL ".join(f"SELECT {_R2} AS r2 FROM p{i}" for i in range(1, 5)) + ")",
+)
+def ga_best_score(spark, folder):
+    found = select_features_ga(_planted(spark, folder), ["embedding_3", "embedding_10"], "y", "fold", **_SMALL)
+    return spark.createDataFrame([(found.best_ever,)], "best_ever double").select(rounded("best_ever", 8).alias("best_ever"))
+
+
 @query("pls_one_component", f"WITH {_PLS} SELECT vec_id, {r('z')} AS predicted FROM p")
 def pls_one_component(spark, folder):
     rows = _planted(spark, folder, 4)
@@ -74,7 +117,7 @@ def pls_one_component(spark, folder):
 
 @query(
     "pls_one_component_r2",
-    f"WITH {_PLS} SELECT 1 AS components, {r('1 - sum((y - z) * (y - z)) / (var_pop(y) * count(*))', 8)} AS r2 FROM p",
+    f"WITH {_PLS} SELECT 1 AS components, {r(_R2, 8)} AS r2 FROM p",
 )
 def pls_one_component_r2(spark, folder):
     table = pls_cv(_planted(spark, folder, 4), DIMENSIONS[:4], "y", "fold", 5, 1)
@@ -168,6 +211,12 @@ def mixture_probabilities_customer(spark, folder):
     return mixture_probabilities(scaled, ["c_custkey"], ["c_nationkey", "c_acctbal"], model)
 
 
+@query("mixture_shares_total", "SELECT c_custkey, 1.0::DOUBLE AS total FROM customer")
+def mixture_shares_total(spark, folder):
+    shares = mixture_probabilities_customer(spark, folder)
+    return shares.select("c_custkey", rounded(F.col("0") + F.col("1") + F.col("2")).alias("total"))
+
+
 @query("mixture_labels")
 def mixture_labels(spark, folder):
     rows = _pair(spark, folder)
@@ -209,6 +258,29 @@ def impute_one_gaussian(spark, folder):
     return filled.select("p_partkey", rounded("x").alias("x"), rounded("y").alias("y"))
 
 
+def _rounds_sql(rounds: int) -> str:
+    """The imputation of one Gaussian unrolled: every later round learns from the completed table."""
+    parts = [f"t0 AS ({_BLANK_PART})", "k0 AS (SELECT * FROM t0 WHERE x IS NOT NULL AND y IS NOT NULL)"]
+    for i in range(rounds):
+        source = "k0" if i == 0 else f"t{i}"
+        parts.append(
+            f"s{i} AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy, "
+            f"(count(*) - 1.0) / count(*) + {_RIDGE} AS v, corr(x, y) * (count(*) - 1.0) / count(*) AS w FROM {source})"
+        )
+        parts.append(f"o{i} AS (SELECT avg(x) AS ox, stddev_samp(x) AS px, avg(y) AS oy, stddev_samp(y) AS py FROM {'t0' if i == 0 else f't{i}'})")
+        parts.append(
+            f"t{i + 1} AS (SELECT p_partkey, coalesce(x, CASE WHEN y IS NULL THEN mx ELSE mx + sx * w / v * (y - oy) / py END) AS x, "
+            f"coalesce(y, CASE WHEN x IS NULL THEN my ELSE my + sy * w / v * (x - ox) / px END) AS y FROM t0, s{i}, o{i})"
+        )
+    return "WITH " + ", ".join(parts) + f" SELECT p_partkey, {r('x')} AS x, {r('y')} AS y FROM t{rounds}"
+
+
+@query("impute_three_rounds", _rounds_sql(3))
+def impute_three_rounds(spark, folder):
+    filled = impute_mixture(_blank_part(spark, folder), ["x", "y"], 3, 1, ["full"])
+    return filled.select("p_partkey", rounded("x").alias("x"), rounded("y").alias("y"))
+
+
 @query("impute_part")
 def impute_part(spark, folder):
     return impute_mixture(_blank_part(spark, folder), ["x", "y"], 2, 2, ["full", "diag"])
@@ -249,6 +321,28 @@ def k3n_excess(spark, folder):
     return k3n_terms(rows, "vec_id", "a", "b", 10).select("vec_id", rounded("excess").alias("excess"))
 
 
+def _excess_sql(found: str, best: str, space: str) -> str:
+    return (
+        f"(SELECT avg((g.d - best.distance) / best.distance) FROM (SELECT f.id, list_distance(p.{space}, q.{space}) AS d, "
+        f"row_number() OVER (PARTITION BY f.id ORDER BY list_distance(p.{space}, q.{space})) AS rank FROM {found} f JOIN e p ON p.id = f.id "
+        f"JOIN e q ON q.id = f.neighbour) g JOIN {best} best ON best.id = g.id AND best.rank = g.rank)"
+    )
+
+
+@query(
+    "k3n_error_value",
+    "WITH e AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS x, embedding[1:2]::DOUBLE[] AS t FROM embeddings), "
+    f"na AS ({_nearest_sql('e', 'x', 10)}), nb AS ({_nearest_sql('e', 't', 10)}) "
+    f"SELECT {r(_excess_sql('na', 'nb', 't') + ' + ' + _excess_sql('nb', 'na', 'x'))} AS k3n_error",
+)
+def k3n_error_value(spark, folder):
+    rows = read_table(spark, folder, "embeddings").select(
+        "vec_id", F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 1, 2).alias("b")
+    )
+    error = k3n_error(rows, "vec_id", "a", "b", 10)
+    return spark.createDataFrame([(error,)], "k3n_error double").select(rounded("k3n_error").alias("k3n_error"))
+
+
 @query("embedding_sweep")
 def embedding_sweep_embeddings(spark, folder):
     rows = read_table(spark, folder, "embeddings")
@@ -277,6 +371,11 @@ def map_responsibilities(spark, folder):
     return shares.select("vec_id", F.posexplode("responsibilities").alias("node", "share"))
 
 
+@query("map_shares_total", "SELECT vec_id, 1.0::DOUBLE AS total FROM embeddings")
+def map_shares_total(spark, folder):
+    return map_responsibilities(spark, folder).groupBy("vec_id").agg(rounded(F.sum("share")).alias("total"))
+
+
 @query("map_grid_search")
 def map_grid_search_embeddings(spark, folder):
     specs = [MapSpec(6, q, v, 0.1) for q in (2, 3) for v in (0.5, 2.0)]
@@ -431,4 +530,4 @@ def relevant_features_embeddings(spark, folder):
     rows = read_table(spark, folder, "embeddings")
     label = (F.col("embedding")[0] + F.col("embedding")[3] + F.col("embedding")[5] > 0).cast("int")
     rows = rows.select("vec_id", F.slice("embedding", 1, 12).alias("x"), label.alias("c"))
-    return relevant_features(rows, "vec_id", "x", "c", rounds=8, trees=20)
+    return relevant_features(rows, "vec_id", "x", "c", rounds=10, trees=20)

@@ -46,6 +46,15 @@ def delimited_part(spark, folder):
     return back.select(F.col("f0").cast("long").alias("f0"), F.col("f1").cast("int").alias("f1"), rounded("f2").alias("f2"))
 
 
+@query("results_by_status", "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def results_by_status(spark, folder):
+    path = scratch_folder(spark, "results_by_status")
+    orders = A.read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    A.write_result(orders, path, ["o_orderstatus"])
+    back = A.read_samples(spark, path, "o_orderkey")
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_custkey").cast("long")).alias("keys"))
+
+
 @query("label_file", "SELECT doc_id, quality AS label FROM labels")
 def label_file(spark, folder):
     path = scratch_folder(spark, "label_file")

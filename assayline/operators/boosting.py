@@ -11,7 +11,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import feature_array
+from assayline.plans.scans import feature_array, is_complete
 from assayline.session import cut_lineage
 
 TREE_DEPTH = 3  # at most 8 leaves
@@ -21,10 +21,9 @@ MAX_CLASSES = 1_000
 
 def as_vectors(df: DataFrame, id_col: str, features: Sequence[str] | str, label: str) -> DataFrame:
     """(id, label double, x vector) of the complete rows; labels are 0, 1, ..."""
-    x = feature_array(features)
-    rows = df.select(F.col(id_col), F.col(label).cast("double").alias("label"), x.alias("x"))
-    complete = rows.where(F.col("label").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    return complete.select(id_col, "label", array_to_vector("x").alias("x"))
+    complete = df.where(is_complete(features) & F.col(label).isNotNull())
+    vector = array_to_vector(feature_array(features))
+    return complete.select(F.col(id_col), F.col(label).cast("double").alias("label"), vector.alias("x"))
 
 
 def _classes(rows: DataFrame) -> int:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayline.operators.pls import matrix_rank, pls_coefficients, squared_error
 from assayline.plans.moments import covariance, shift_of
 from assayline.plans.quantiles import exact_median
-from assayline.plans.scans import collect_sums, feature_array, map_rows, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -73,8 +73,8 @@ def outlier_samples(
     coefficients and the threshold.
     """
     rows = (
-        df.select(id_col, feature_array(features).alias("x"), F.col(target).cast("double").alias("y"))
-        .where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+        df.where(is_complete(features) & F.col(target).isNotNull())
+        .select(id_col, feature_array(features).alias("x"), F.col(target).cast("double").alias("y"))
         .withColumn("_hash", F.xxhash64(id_col))
         .persist()
     )

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import collect_sums, feature_array, feature_names, map_rows, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows
 
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 RIDGE = 1e-6  # added to every variance
@@ -152,11 +152,7 @@ def fit_mixtures(
     All unfinished models advance together: one scan per round.  A model stops when
     its mean log-likelihood rises by less than ``tolerance``.
     """
-    rows = (
-        df.select(feature_array(features).alias("x"))
-        .where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-        .persist()
-    )
+    rows = df.where(is_complete(features)).select(feature_array(features).alias("x")).persist()
     few = rows.limit(256).collect()
     shift = np.array([r["x"] for r in few], dtype=float).mean(axis=0)  # only against lost digits
     d = len(shift)
@@ -264,7 +260,3 @@ def density_grid(
     points = mesh(spark, x, y)
     scored = score_mixture(points, ["ix", "iy", "x1", "x2"], ["x1", "x2"], model)
     return scored.select("ix", "iy", "x1", "x2", (-F.col("log_density")).alias("negative_log_density"))
-
-
-def feature_count(df: DataFrame, features: Sequence[str] | str) -> int:
-    return len(feature_names(df, features))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from assayline.plans.joins import join_stats, split_join
 from assayline.plans.moments import covariance, fit_moments
-from assayline.plans.scans import feature_array, map_rows
+from assayline.plans.scans import feature_array, is_complete, map_rows
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -39,6 +39,28 @@ def _nearest_of_blocks(k: int, id_col: str):
     return fn
 
 
+def _cell_pairs(placed: DataFrame, pivots: np.ndarray, k: int, blocks_of) -> list[tuple[int, int, int, int]]:
+    """Pairs of cells (query, candidate) that must be compared, with their numbers of blocks."""
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
+    by_gap = Window.partitionBy("cell").orderBy("gap")
+    closest = (
+        placed.select("cell", "gap").withColumn("r", F.row_number().over(by_gap)).where(F.col("r") <= k + 1).collect()
+    )  # k + 1 rows per pivot
+    m = len(pivots)
+    radius, count = np.full(m, -np.inf), np.zeros(m, dtype=int)
+    for c in cells:
+        radius[c["cell"]], count[c["cell"]] = c["radius"], c["n"]
+    apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    pairs = []
+    for q in np.flatnonzero(count):
+        reach = np.sort([apart[q, r["cell"]] + radius[q] + r["gap"] for r in closest])
+        bound = reach[k] if len(reach) > k else np.inf  # the row itself is among them
+        for c in np.flatnonzero(count):
+            if apart[q, c] - radius[q] - radius[c] <= bound * (1 + 1e-9):
+                pairs.append((int(q), int(c), blocks_of(count[q]), blocks_of(count[c])))
+    return pairs
+
+
 def nearest_neighbours(
     df: DataFrame,
     id_col: str,
@@ -58,10 +80,7 @@ def nearest_neighbours(
     Of a point with many copies only the first ``k + 1`` take part; the others are
     answered from those.
     """
-    rows = (
-        df.select(F.col(id_col), feature_array(features).alias("x"))
-        .where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    )
+    rows = df.where(is_complete(features)).select(F.col(id_col), feature_array(features).alias("x"))
     # rows beyond the first k + 1 copies of one point: their neighbours are the first k copies
     first_copies = (
         rows.withColumn("_copy", F.row_number().over(Window.partitionBy("x").orderBy(id_col)))
@@ -79,7 +98,11 @@ def nearest_neighbours(
         ).select(id_col, "neighbour", F.lit(0.0).alias("distance"), (F.col("_place") + 1).alias("rank"))
         rows = marked.where(~beyond).select(id_col, "x")
     total = rows.count()
-    wanted = int(min(max_pivots, max(1, -(-total // block_rows))))
+
+    def blocks_of(n: int) -> int:
+        return int(max(1, -(-n // block_rows)))
+
+    wanted = min(max_pivots, blocks_of(total))
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(wanted).collect()
     pivots = np.unique(np.array([r["x"] for r in chosen], dtype=float), axis=0)
 
@@ -93,23 +116,8 @@ def nearest_neighbours(
         return {"cell": best, "gap": gap}
 
     placed = map_rows(rows, [id_col, "x"], ["x"], nearest_pivot, "cell int, gap double").persist()
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    by_gap = Window.partitionBy("cell").orderBy("gap")
-    closest = (
-        placed.select("cell", "gap").withColumn("r", F.row_number().over(by_gap)).where(F.col("r") <= k + 1).collect()
-    )  # k + 1 rows per pivot
     m = len(pivots)
-    radius, count = np.full(m, -np.inf), np.zeros(m, dtype=int)
-    for c in cells:
-        radius[c["cell"]], count[c["cell"]] = c["radius"], c["n"]
-    apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    pairs = []
-    for q in np.flatnonzero(count):
-        reach = np.sort([apart[q, r["cell"]] + radius[q] + r["gap"] for r in closest])
-        bound = reach[k] if len(reach) > k else np.inf  # the row itself is among them
-        for c in np.flatnonzero(count):
-            if apart[q, c] - radius[q] - radius[c] <= bound * (1 + 1e-9):
-                pairs.append((int(q), int(c), int(-(-count[q] // block_rows)), int(-(-count[c] // block_rows))))
+    pairs = [(0, 0, blocks_of(total), blocks_of(total))] if m == 1 else _cell_pairs(placed, pivots, k, blocks_of)
     plan = df.sparkSession.createDataFrame(pairs, "q_cell int, c_cell int, q_blocks int, c_blocks int")
 
     def block(blocks: str) -> F.Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.signal import smooth_series
 from assayline.plans.joins import join_stats
+from assayline.plans.ordered import largest_group
 from assayline.plans.quantiles import exact_median
 
 # Fixed value: makes the median absolute deviation estimate a normal standard deviation.
@@ -17,7 +18,7 @@ NORMAL_MAD = 1.4826
 
 def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
-        return join_stats(df, stats, keys)
+        return join_stats(df, stats, keys, "left")
     row = stats.first()  # one row of statistics for the whole table
     return df.select("*", *[F.lit(row[c]).alias(c) for c in stats.columns])
 
@@ -33,11 +34,11 @@ def hampel_limits(
 ) -> DataFrame:
     """Median -+ ``width`` * 1.4826 * median absolute deviation per key: (keys, centre, mad, lower, upper)."""
     keys = list(keys)
-    centre = exact_median(df, value, keys, "centre", **limits)
+    largest = largest_group(df.select(*keys, value).where(F.col(value).isNotNull()), keys)
+    centre = exact_median(df, value, keys, "centre", largest=largest, **limits)
     placed = _attach(df, centre, keys)
-    centred = placed.groupBy(*keys).agg(F.first("centre").alias("centre"))
-    mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad", **limits)
-    both = join_stats(centred, mad, keys) if keys else _attach(centred, mad, keys)
+    mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad", largest=largest, **limits)
+    both = _attach(centre, mad, keys)
     reach = width * NORMAL_MAD * F.col("mad")
     return both.select(
         *keys, "centre", "mad", (F.col("centre") - reach).alias("lower"), (F.col("centre") + reach).alias("upper")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.plans.ordered import row_positions
-from assayline.plans.scans import feature_array, feature_names
+from assayline.plans.scans import feature_array, feature_names, is_complete
 
 
 def binomial_tail(hits: int, rounds: int) -> float:
@@ -58,8 +58,8 @@ def relevant_features(
     for tentative, then by hits.
     """
     names = feature_names(df, features)
-    rows = df.select(F.col(id_col), F.col(label).cast("double").alias("label"), feature_array(features).alias("x"))
-    rows = rows.where(F.col("label").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    known = df.where(is_complete(features) & F.col(label).isNotNull())
+    rows = known.select(F.col(id_col), F.col(label).cast("double").alias("label"), feature_array(features).alias("x"))
     if balanced:
         sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
         weight, total = F.lit(1.0), sum(sizes.values())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.mixture import log_sum
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
-from assayline.plans.scans import collect_sums, feature_array, map_rows, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows
 
 FAILED_SCORE = 10e100  # score of a map that could not be fitted
 PRUNE = 1e-8  # mixing coefficients below this become zero in a sparse map
@@ -111,11 +111,7 @@ def fit_maps(
     tolerance: float = 1e-9,
 ) -> list[TopographicMap]:
     """Fit one map per spec on standardised features; unfinished maps share each scan."""
-    rows = (
-        df.select(feature_array(features).alias("x"))
-        .where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-        .persist()
-    )
+    rows = df.where(is_complete(features)).select(feature_array(features).alias("x")).persist()
 
     def whole(batch):
         x = batch["x"]

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import collect_sums, feature_array, feature_names, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, feature_names, is_complete, sum_over_rows
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,8 @@ def moment_rows(
     x = feature_array(features)
     y = F.col(target).cast("double") if target else F.lit(0.0)
     f = F.lit(0) if fold is None else (F.col(fold) if isinstance(fold, str) else fold)
-    rows = df.select(x.alias("x"), y.alias("y"), f.cast("int").alias("fold"))
-    return rows.where(
-        F.col("y").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())
-    )
+    known = is_complete(features) if target is None else is_complete(features) & F.col(target).isNotNull()
+    return df.where(known).select(x.alias("x"), y.alias("y"), f.cast("int").alias("fold"))
 
 
 def moment_sums(rows: DataFrame, centre: np.ndarray) -> DataFrame:

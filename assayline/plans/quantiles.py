@@ -20,6 +20,7 @@ def exact_median(
     name: str = "median",
     rows_in_one_task: int = VALUES_IN_ONE_TASK,
     accuracy: int = 50_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per key with the exact median of ``value`` (nulls skipped).
 
@@ -27,12 +28,13 @@ def exact_median(
     task, so it is used only when the largest group is known to be small.
     Otherwise a bounded quantile sketch brackets the middle ranks, rows below
     the bracket are only counted, and the exact order statistics are read from
-    the values inside it, a share of ``8 / accuracy`` of the group.
+    the values inside it, a share of ``8 / accuracy`` of the group.  ``largest`` is
+    the size of the largest group where the caller knows it.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if largest_group(base, keys) <= rows_in_one_task:
+    if (largest_group(base, keys) if largest is None else largest) <= rows_in_one_task:
         return base.groupBy(*keys).agg(F.median("_v").alias(name))
 
     margin = min(0.5, 4.0 / accuracy)

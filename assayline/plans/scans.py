@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,13 @@ def feature_array(features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 
 
+def is_complete(features: Sequence[str] | str) -> Column:
+    """True for rows without a missing feature; on columns the test reaches the file scan."""
+    if isinstance(features, str):
+        return F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull())
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in features])
+
+
 def feature_names(df: DataFrame, features: Sequence[str] | str) -> list[str]:
     """Names of the features; elements of an array column are ``{column}_{position}``."""
     if not isinstance(features, str):
