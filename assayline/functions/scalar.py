@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +96,9 @@ def overwrite(values: Column, replacements: Mapping[int, Column | float]) -> Col
 
 def row_mean(columns: Sequence[str]) -> Column:
     """Mean over columns of a row, nulls skipped."""
-    kept = F.filter(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]), lambda v: v.isNotNull())
-    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, v: a + v), F.size(kept))
+    cells = [F.col(f"`{c}`").cast("double") for c in columns]
+    total = reduce(add, [F.coalesce(c, F.lit(0.0)) for c in cells])
+    return F.try_divide(total, reduce(add, [c.isNotNull().cast("int") for c in cells]))
 
 
 def spread(values: Column, names: Sequence[str]) -> list[Column]:
@@ -105,13 +108,7 @@ def spread(values: Column, names: Sequence[str]) -> list[Column]:
 
 def dot(values: Column, weights: Sequence[float]) -> Column:
     """Inner product of an array column with constant weights."""
+    if len(weights) <= 256:  # plain arithmetic is compiled, array lambdas are interpreted
+        return reduce(add, [F.get(values, F.lit(i)) * F.lit(float(w)) for i, w in enumerate(weights)])
     constants = F.array(*[F.lit(float(w)) for w in weights])
     return F.aggregate(F.zip_with(values, constants, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-
-
-def linear_score(columns: Sequence[str], coefficients: Sequence[float], intercept: float) -> Column:
-    """``intercept + sum(coefficient * column)``."""
-    score = F.lit(float(intercept))
-    for c, b in zip(columns, coefficients):
-        score = score + F.col(f"`{c}`") * F.lit(float(b))
-    return score

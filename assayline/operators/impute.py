@@ -76,12 +76,12 @@ def impute_mixture(
     nan = F.lit(float("nan"))
     cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), nan) for c in features])
     rows = df.withColumn("_cells", cells)
-    is_complete = ~F.exists("_cells", F.isnan)
+    known = F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features))
 
     observed = fit_scaler(df, features)  # per feature over the rows that have it
     row_mean = np.array([observed.mean[c] for c in features], dtype=float)
     row_std = np.array([observed.std[c] for c in features], dtype=float)
-    learning = rows.where(is_complete).select("_cells")
+    learning = rows.where(known).select("_cells")
     fill = None
     for _ in range(rounds):
         mean, std = _mean_and_std(learning, "_cells")
@@ -98,8 +98,8 @@ def impute_mixture(
         learning = map_rows(rows, [], ["_cells"], fill, "_filled array<double>").select(F.col("_filled").alias("_cells"))
 
     # complete rows never leave the JVM
-    whole = df.where(F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features)))
-    filled = map_rows(rows.where(~is_complete), df.columns, ["_cells"], fill, "_filled array<double>")
+    whole = df.where(known)
+    filled = map_rows(rows.where(~known), df.columns, ["_cells"], fill, "_filled array<double>")
     return whole.select([F.col(f"`{c}`").cast("double").alias(c) if c in features else F.col(f"`{c}`") for c in df.columns]).unionByName(
         filled.select([
             F.get("_filled", F.lit(features.index(c))).alias(c) if c in features else F.col(f"`{c}`") for c in df.columns

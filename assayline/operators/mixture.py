@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows
+from assayline.plans.scans import PackedRows, collect_sums, feature_array, is_complete, map_rows, pack_rows
 
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 RIDGE = 1e-6  # added to every variance
@@ -49,9 +49,9 @@ class Mixture:
         out = np.empty((len(x), self.components))
         for j in range(self.components):
             root = np.linalg.cholesky(self.covariances[j][np.ix_(pick, pick)])
-            z = np.linalg.solve(root, (x - self.means[j, pick]).T)
+            z = (x - self.means[j, pick]) @ np.linalg.inv(root).T
             log_det = 2.0 * np.log(np.diag(root)).sum()
-            out[:, j] = -0.5 * ((z * z).sum(axis=0) + log_det + len(pick) * np.log(2 * np.pi))
+            out[:, j] = -0.5 * ((z * z).sum(axis=1) + log_det + len(pick) * np.log(2 * np.pi))
         with np.errstate(divide="ignore"):
             return out + np.log(self.weights)
 
@@ -94,7 +94,7 @@ def _maximise(sums: np.ndarray, k: int, d: int, covariance_type: str) -> Mixture
     return Mixture(covariance_type, counts / counts.sum(), means, spread + RIDGE * np.eye(d))
 
 
-def _started(rows: DataFrame, specs: Sequence[tuple[int, str, int]], shift: np.ndarray) -> dict:
+def _started(rows: PackedRows, source: DataFrame, specs: Sequence[tuple[int, str, int]], shift: np.ndarray) -> dict:
     """First parameters of each (components, type, start).
 
     Start ``s`` cuts the rows into equal parts along principal axis ``s``.
@@ -106,14 +106,14 @@ def _started(rows: DataFrame, specs: Sequence[tuple[int, str, int]], shift: np.n
         x = batch["x"] - shift
         return {"all": np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])}
 
-    flat = collect_sums(sum_over_rows(rows.select("x"), whole))["all"]
+    flat = collect_sums(rows.sum(whole))["all"]
     n, mean = flat[0], flat[1:1 + d] / flat[0]
     spread = flat[1 + d:].reshape(d, d) / n - np.outer(mean, mean)
     axes = np.linalg.eigh(spread)[1][:, ::-1].T
     axes = axes * np.sign(axes[np.arange(d), np.abs(axes).argmax(axis=1)])[:, None]
     used = sorted({min(s, d - 1) for _, _, s in specs})
     scores = map_rows(
-        rows, [], ["x"], lambda b: {"score": (b["x"] - shift - mean) @ axes[used].T}, "score array<double>"
+        source, [], ["x"], lambda b: {"score": (b["x"] - shift - mean) @ axes[used].T}, "score array<double>"
     )
     top = max(k for k, _, _ in specs)
     shares = sorted({round(i / k, 12) for k in range(1, top + 1) for i in range(1, k)}) or [0.5]
@@ -133,7 +133,7 @@ def _started(rows: DataFrame, specs: Sequence[tuple[int, str, int]], shift: np.n
             out[f"{k}|{a}"] = _weighted_sums(x, np.eye(k)[part])
         return out
 
-    sums = collect_sums(sum_over_rows(rows.select("x"), parts))
+    sums = collect_sums(rows.sum(parts))
     return {
         (k, kind, s): _maximise(sums[f"{k}|{min(s, d - 1)}"], k, d, kind) for k, kind, s in specs
     }
@@ -152,12 +152,13 @@ def fit_mixtures(
     All unfinished models advance together: one scan per round.  A model stops when
     its mean log-likelihood rises by less than ``tolerance``.
     """
-    rows = df.where(is_complete(features)).select(feature_array(features).alias("x")).persist()
-    few = rows.limit(256).collect()
+    source = df.where(is_complete(features)).select(feature_array(features).alias("x"))
+    rows = pack_rows(source)
+    few = source.limit(256).collect()
     shift = np.array([r["x"] for r in few], dtype=float).mean(axis=0)  # only against lost digits
     d = len(shift)
     full = [(k, kind, s) for k, kind in specs for s in range(starts if k > 1 else 1)]
-    models: dict = _started(rows, full, shift)
+    models: dict = _started(rows, source, full, shift)
     active, finished = dict(models), {}
     for _ in range(rounds):
         def expect(batch, current=active):
@@ -170,7 +171,7 @@ def fit_mixtures(
                 out[f"{k}|{kind}|{s}"] = np.concatenate([[each.sum(), len(x)], _weighted_sums(x, r)])
             return out
 
-        sums = collect_sums(sum_over_rows(rows.select("x"), expect))
+        sums = collect_sums(rows.sum(expect))
         following = {}
         for key, model in active.items():
             flat = sums["|".join(map(str, key))]

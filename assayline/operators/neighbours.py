@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.plans.joins import join_stats, split_join
 from assayline.plans.moments import covariance, fit_moments
-from assayline.plans.scans import feature_array, is_complete, map_rows
+from assayline.plans.scans import feature_array, is_complete, map_rows, to_numpy
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -147,9 +148,10 @@ def nearest_neighbours(
     return near if surplus is None else near.unionByName(surplus)
 
 
-def _distance(a: str, b: str) -> F.Column:
-    squares = F.zip_with(a, b, lambda u, v: (u - v) * (u - v))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+@F.arrow_udf(T.DoubleType())
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Euclidean distance of two array columns, a batch at a time."""
+    return pa.array(np.sqrt(((to_numpy(a) - to_numpy(b)) ** 2).sum(axis=1)))
 
 
 def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame, best: DataFrame) -> DataFrame:

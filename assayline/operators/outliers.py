@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.signal import smooth_series
 from assayline.plans.joins import join_stats
-from assayline.plans.ordered import largest_group
-from assayline.plans.quantiles import exact_median
+from assayline.plans.quantiles import exact_median, most_values
 
 # Fixed value: makes the median absolute deviation estimate a normal standard deviation.
 NORMAL_MAD = 1.4826
@@ -34,7 +33,7 @@ def hampel_limits(
 ) -> DataFrame:
     """Median -+ ``width`` * 1.4826 * median absolute deviation per key: (keys, centre, mad, lower, upper)."""
     keys = list(keys)
-    largest = largest_group(df.select(*keys, value).where(F.col(value).isNotNull()), keys)
+    largest = most_values(df, F.col(value), keys)
     centre = exact_median(df, value, keys, "centre", largest=largest, **limits)
     placed = _attach(df, centre, keys)
     mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad", largest=largest, **limits)
@@ -73,10 +72,11 @@ def savgol_hampel(
     **limits: int,
 ) -> DataFrame:
     """Hampel rule on ``value - smoothed``; the limits follow the smoothed series."""
-    smoothed = smooth_series(df, order, value, window, poly, 0, keys, out="smoothed", **limits)
+    series = {k: v for k, v in limits.items() if k != "values_in_one_task"}
+    medians = {k: v for k, v in limits.items() if k == "values_in_one_task"}
+    smoothed = smooth_series(df, order, value, window, poly, 0, keys, out="smoothed", **series)
     rest = smoothed.withColumn("_rest", F.col(value) - F.col("smoothed")).persist()
-    rows = {k: v for k, v in limits.items() if k == "rows_in_one_task"}
-    bounds = hampel_limits(rest, "_rest", keys, width, **rows).select(*keys, "lower", "upper")
+    bounds = hampel_limits(rest, "_rest", keys, width, **medians).select(*keys, "lower", "upper")
     return (
         _attach(rest, bounds, keys)
         .withColumn("lower", F.col("smoothed") + F.col("lower"))

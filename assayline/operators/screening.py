@@ -74,7 +74,7 @@ def relevant_features(
     done = 0
     for number in range(rounds):
         kept = [int(i) for i in np.flatnonzero(decision != "rejected")]
-        chosen = rows.withColumn("x", F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.get("x", i)))
+        chosen = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in kept]))
         both = with_shadows(chosen, id_col, len(kept), seed * 10_007 + number, **limits)
         forest = RandomForestClassifier(
             featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed + number

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.functions.smoothing import savgol, smooth_point, weights_literal, window_weights
+from assayline.functions.smoothing import savgol
 from assayline.plans.ordered import CHUNK_ROWS, row_positions, with_halo
 
 SMOOTHED_CHUNK_ROWS = 8_192  # rows of a series gathered into one array
@@ -55,25 +55,16 @@ def smooth_series(
     chunk becomes one bounded array, so long series spread over many tasks and the
     same weights serve the interior and both ends.
     """
-    half, reach = window // 2, window - 1
-    placed = row_positions(df, order, keys, pos="_pos", total="_n", **limits)
+    reach = window - 1
+    placed = row_positions(df, order, keys, pos="_pos", **limits)
     chunked = with_halo(placed, "_pos", reach, reach, chunk_rows)
-    point = F.struct(
-        "_pos", "_n", "_own", F.col(value).cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    point = F.struct("_pos", "_own", F.col(value).cast("double").alias("_v"), row)
     chunks = chunked.groupBy(*[F.col(k) for k in keys], "_chunk").agg(F.array_sort(F.collect_list(point)).alias("_c"))
-    weights = weights_literal(window_weights(window, poly, deriv))
-
-    def smoothed(p: Column) -> Column:
-        start = F.least(F.greatest(p["_pos"] - half, F.lit(0)), p["_n"] - window)
-        inside = start - F.get("_c", F.lit(0))["_pos"]
-        return F.when(p["_n"] >= window, smooth_point(F.col("_values"), inside, weights, p["_pos"] - start, window))
-
-    arrays = chunks.select("_c", F.transform("_c", lambda p: p["_v"]).alias("_values"))
-    rows = arrays.select(F.explode(F.transform(
-        F.filter("_c", lambda p: p["_own"]), lambda p: F.struct(p["_row"].alias("_row"), smoothed(p).alias("_s"))
-    )).alias("_p"))
-    return rows.select("_p._row.*", F.col("_p._s").alias(out))
+    # a chunk either reaches the end of its series or holds reach rows beyond its own
+    smoothed = chunks.select("_c", savgol(F.col("_c._v"), window, poly, deriv).alias("_s"))
+    pairs = smoothed.select("_s", F.posexplode("_c").alias("_i", "_p")).where("_p._own")
+    return pairs.select("_p._row.*", F.get("_s", F.col("_i")).alias(out))
 
 
 def lag_table(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.mixture import log_sum
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
-from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, pack_rows, sum_over_rows
 
 FAILED_SCORE = 10e100  # score of a map that could not be fitted
 PRUNE = 1e-8  # mixing coefficients below this become zero in a sparse map
@@ -111,13 +111,13 @@ def fit_maps(
     tolerance: float = 1e-9,
 ) -> list[TopographicMap]:
     """Fit one map per spec on standardised features; unfinished maps share each scan."""
-    rows = df.where(is_complete(features)).select(feature_array(features).alias("x")).persist()
+    rows = pack_rows(df.where(is_complete(features)).select(feature_array(features).alias("x")))
 
     def whole(batch):
         x = batch["x"]
         return {"all": np.concatenate([[len(x), (x * x).sum()], x.sum(axis=0), (x.T @ x).ravel()])}
 
-    flat = collect_sums(sum_over_rows(rows, whole))["all"]
+    flat = collect_sums(rows.sum(whole))["all"]
     n, squares = flat[0], flat[1]
     d = int(round((-1 + np.sqrt(1 + 4 * (len(flat) - 2))) / 2))
     mean = flat[2:2 + d] / n
@@ -134,7 +134,7 @@ def fit_maps(
                 out[str(i)] = np.concatenate([[each.sum()], r.sum(axis=0), (r.T @ x).ravel()])
             return out
 
-        sums = collect_sums(sum_over_rows(rows, expect))
+        sums = collect_sums(rows.sum(expect))
         going = []
         for i in active:
             likelihood = float(sums[str(i)][0])

@@ -8,33 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.plans.joins import join_stats
-from assayline.plans.ordered import largest_group
 
 VALUES_IN_ONE_TASK = 500_000
 
 
+def most_values(df: DataFrame, value: Column, keys: Sequence[str] = ()) -> int:
+    """About how many distinct values the richest group has (a sketch, 5 % error)."""
+    counts = df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.05).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
 def exact_median(
     df: DataFrame,
     value: str | Column,
     keys: Sequence[str] = (),
     name: str = "median",
-    rows_in_one_task: int = VALUES_IN_ONE_TASK,
-    accuracy: int = 50_000,
+    values_in_one_task: int = VALUES_IN_ONE_TASK,
+    accuracy: int = 20_000,
     largest: int | None = None,
 ) -> DataFrame:
     """One row per key with the exact median of ``value`` (nulls skipped).
 
     The built-in exact median keeps every distinct value of a group in one
-    task, so it is used only when the largest group is known to be small.
+    task, so it is used only when no group has many distinct values.
     Otherwise a bounded quantile sketch brackets the middle ranks, rows below
     the bracket are only counted, and the exact order statistics are read from
     the values inside it, a share of ``8 / accuracy`` of the group.  ``largest`` is
-    the size of the largest group where the caller knows it.
+    the number of distinct values of the richest group where the caller knows it.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if (largest_group(base, keys) if largest is None else largest) <= rows_in_one_task:
+    if (most_values(base, F.col("_v"), keys) if largest is None else largest) <= values_in_one_task:
         return base.groupBy(*keys).agg(F.median("_v").alias(name))
 
     margin = min(0.5, 4.0 / accuracy)

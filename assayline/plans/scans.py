@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_FEATURES = 4096
+BLOCK_BYTES = 8 << 20
 
 
 def feature_array(features: Sequence[str] | str) -> Column:
@@ -24,7 +26,7 @@ def feature_array(features: Sequence[str] | str) -> Column:
 def is_complete(features: Sequence[str] | str) -> Column:
     """True for rows without a missing feature; on columns the test reaches the file scan."""
     if isinstance(features, str):
-        return F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull())
+        return F.get(F.sort_array(features), F.lit(0)).isNotNull()  # nulls sort first
     return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in features])
 
 
@@ -53,46 +55,100 @@ def to_numpy(column: pa.Array) -> np.ndarray:
 
 
 Batch = Mapping[str, np.ndarray]
+Statistic = Callable[[Batch], Mapping[str, np.ndarray]]
 
 
-def sum_over_rows(df: DataFrame, statistic: Callable[[Batch], Mapping[str, np.ndarray]]) -> DataFrame:
+_SUMS = "model string, idx int, value double"
+
+
+def _summed(emitted: DataFrame) -> DataFrame:
+    return emitted.groupBy("model", "idx").agg(F.sum("value").alias("value"))
+
+
+def _task_sums(batches: Iterable[Batch], statistic: Statistic) -> Iterator[pa.RecordBatch]:
+    """Add up the statistics of one task's batches and emit them once."""
+    sums: dict[str, np.ndarray] = {}
+    for columns in batches:
+        for model, values in statistic(columns).items():
+            flat = np.asarray(values, dtype=float).ravel()
+            if model in sums:
+                sums[model] += flat
+            else:
+                sums[model] = flat.copy()
+    for model, flat in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model] * len(flat), pa.string()), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
+            names=["model", "idx", "value"],
+        )
+
+
+def sum_over_rows(df: DataFrame, statistic: Statistic) -> DataFrame:
     """Sum the arrays that ``statistic`` returns per batch: (model, idx, value).
 
     Each task adds its batches up locally and emits one value per (model, idx);
     Spark's own hash aggregation adds the tasks together.
     """
-    schema = T.StructType(
-        [
-            T.StructField("model", T.StringType()),
-            T.StructField("idx", T.IntegerType()),
-            T.StructField("value", T.DoubleType()),
-        ]
-    )
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        filled = (b for b in batches if b.num_rows)
+        columns = ({n: to_numpy(b.column(i)) for i, n in enumerate(b.schema.names)} for b in filled)
+        yield from _task_sums(columns, statistic)
+
+    return _summed(df.mapInArrow(per_task, _SUMS))
+
+
+@dataclass(frozen=True)
+class PackedRows:
+    """Rows kept as dense blocks of numbers, for algorithms that scan the same rows many times."""
+
+    blocks: DataFrame
+    kinds: dict[str, tuple[str, bool]]
+
+    def sum(self, statistic: Statistic) -> DataFrame:
+        """The same as :func:`sum_over_rows`, without converting the rows again."""
+        kinds = self.kinds
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    out = {}
+                    for name, (kind, is_matrix) in kinds.items():
+                        values = np.frombuffer(row[name], dtype=kind)
+                        out[name] = values.reshape(row["n"], -1) if is_matrix else values
+                    yield out
+
+        return _summed(self.blocks.mapInArrow(lambda batches: _task_sums(unpacked(batches), statistic), _SUMS))
+
+    def unpersist(self) -> None:
+        self.blocks.unpersist()
+
+
+def pack_rows(df: DataFrame) -> PackedRows:
+    """Pack numeric and array columns into blocks of at most about ``BLOCK_BYTES`` and keep them in Spark's cache."""
+    numbers = {"double": "f8", "bigint": "i8", "int": "i4"}
+    kinds = {
+        f.name: ("f8", True) if isinstance(f.dataType, T.ArrayType) else (numbers[f.dataType.simpleString()], False)
+        for f in df.schema.fields
+    }
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n", *kinds]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = {n: to_numpy(batch.column(i)) for i, n in enumerate(batch.schema.names)}
-            for model, values in statistic(columns).items():
-                flat = np.asarray(values, dtype=float).ravel()
-                if model in sums:
-                    sums[model] += flat
-                else:
-                    sums[model] = flat.copy()
-        for model, flat in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([model] * len(flat), pa.string()),
-                    pa.array(np.arange(len(flat), dtype=np.int32)),
-                    pa.array(flat),
-                ],
-                names=["model", "idx", "value"],
-            )
-
-    emitted = df.mapInArrow(per_task, schema)
-    return emitted.groupBy("model", "idx").agg(F.sum("value").alias("value"))
+            columns = {
+                n: np.ascontiguousarray(to_numpy(batch.column(i)), dtype=kinds[n][0]) for i, n in enumerate(kinds)
+            }
+            per_row = sum(c.nbytes for c in columns.values()) / batch.num_rows
+            step = max(1, int(BLOCK_BYTES / max(per_row, 1)))
+            for start in range(0, batch.num_rows, step):
+                parts = [c[start:start + step] for c in columns.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(parts[0])], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=names
+                )
+
+    schema = "n int, " + ", ".join(f"`{n}` binary" for n in kinds)
+    return PackedRows(df.mapInArrow(pack, schema).persist(), kinds)
 
 
 def collect_sums(sums: DataFrame) -> dict[str, np.ndarray]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ def local_session(name: str = "assayline", cores: str = "8", memory: str = "12g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -44,6 +47,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_assayline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="assayline-")) / "assayline"), "zip", package.parent, package.name
+    )
+    sc.addPyFile(archive)  # Spark copies it to every executor
+    sc._assayline_shipped = True
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder for a table that is written and read back."""
     _ensure_checkpoint_dir(spark)

@@ -27,7 +27,7 @@ def test_window_weights_reproduce_polynomials(poly, deriv, c, half):
     polynomial = np.polynomial.Polynomial(c[: poly + 1])
     at = np.arange(window) - half
     want = polynomial.deriv(deriv)(at) if deriv else polynomial(at)
-    assert np.allclose(np.array(window_weights(window, poly, deriv)) @ polynomial(at), want, atol=1e-6 * half**4)
+    assert np.allclose(window_weights(window, poly, deriv) @ polynomial(at), want, atol=1e-6 * half**4)
 
 
 def correlations(seed, p):

@@ -32,8 +32,8 @@ def rows(df):
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_median(skewed, keys):
     direct = exact_median(skewed, "value", keys)
-    assert rows(exact_median(skewed, "value", keys, rows_in_one_task=5)) == rows(direct)
-    assert rows(exact_median(skewed, "value", keys, rows_in_one_task=5, accuracy=20)) == rows(direct)
+    assert rows(exact_median(skewed, "value", keys, values_in_one_task=5)) == rows(direct)
+    assert rows(exact_median(skewed, "value", keys, values_in_one_task=5, accuracy=20)) == rows(direct)
 
 
 @pytest.mark.parametrize("keys", [[], ["key"]])
@@ -65,9 +65,9 @@ def test_smoothing(skewed, deriv):
 
 
 def test_flags(skewed):
-    assert rows(hampel(skewed, "value", ["key"], rows_in_one_task=5)) == rows(hampel(skewed, "value", ["key"]))
+    assert rows(hampel(skewed, "value", ["key"], values_in_one_task=5)) == rows(hampel(skewed, "value", ["key"]))
     a = savgol_hampel(skewed, ["id"], "value", ["key"], 11).select("id", "is_outlier")
-    b = savgol_hampel(skewed, ["id"], "value", ["key"], 11, chunk_rows=30, rows_in_one_task=5).select("id", "is_outlier")
+    b = savgol_hampel(skewed, ["id"], "value", ["key"], 11, chunk_rows=30, rows_in_one_task=5, values_in_one_task=5).select("id", "is_outlier")
     assert rows(a) == rows(b)
 
 
