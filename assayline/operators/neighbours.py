@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,21 @@ def _nearest_of_blocks(k: int, id_col: str):
     return fn
 
 
+def _nearest_pivot(pivots: np.ndarray):
+    """Number of the closest pivot of every row, and the distance to it."""
+
+    def fn(batch):
+        x = batch["x"]
+        best, gap = np.zeros(len(x), dtype=int), np.full(len(x), np.inf)
+        for number, pivot in enumerate(pivots):
+            distance = np.sqrt(((x - pivot) ** 2).sum(axis=1))
+            closer = distance < gap
+            best[closer], gap[closer] = number, distance[closer]
+        return {"cell": best, "gap": gap}
+
+    return fn
+
+
 def _cell_pairs(placed: DataFrame, pivots: np.ndarray, k: int, blocks_of) -> list[tuple[int, int, int, int]]:
     """Pairs of cells (query, candidate) that must be compared, with their numbers of blocks."""
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
@@ -103,39 +118,31 @@ def nearest_neighbours(
     def blocks_of(n: int) -> int:
         return int(max(1, -(-n // block_rows)))
 
-    wanted = min(max_pivots, blocks_of(total))
-    chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(wanted).collect()
-    pivots = np.unique(np.array([r["x"] for r in chosen], dtype=float), axis=0)
-
-    def nearest_pivot(batch):
-        x = batch["x"]
-        best, gap = np.zeros(len(x), dtype=int), np.full(len(x), np.inf)
-        for number, pivot in enumerate(pivots):
-            distance = np.sqrt(((x - pivot) ** 2).sum(axis=1))
-            closer = distance < gap
-            best[closer], gap[closer] = number, distance[closer]
-        return {"cell": best, "gap": gap}
-
-    placed = map_rows(rows, [id_col, "x"], ["x"], nearest_pivot, "cell int, gap double").persist()
-    m = len(pivots)
-    pairs = [(0, 0, blocks_of(total), blocks_of(total))] if m == 1 else _cell_pairs(placed, pivots, k, blocks_of)
-    plan = df.sparkSession.createDataFrame(pairs, "q_cell int, c_cell int, q_blocks int, c_blocks int")
-
-    def block(blocks: str) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit("block"), id_col), F.col(blocks)).cast("int")
-
-    small = F.broadcast(plan)  # at most max_pivots squared rows
-    queries = placed.join(small, placed["cell"] == plan["q_cell"]).select(
-        id_col, "x", "q_cell", block("q_blocks").alias("q_block"), "c_cell",
-        F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c_block"),
-    )
-    candidates = placed.join(small, placed["cell"] == plan["c_cell"]).select(
-        id_col, "x", "q_cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), "c_cell",
-        block("c_blocks").alias("c_block"),
-    )
+    keys = ["q_cell", "q_block", "c_cell", "c_block"]
+    if blocks_of(total) == 1:
+        queries = candidates = rows.select(id_col, "x", *[F.lit(0).alias(c) for c in keys])
+    else:
+        chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(min(max_pivots, blocks_of(total))).collect()
+        pivots = np.unique(np.array([r["x"] for r in chosen], dtype=float), axis=0)
+        placed = map_rows(rows, [id_col, "x"], ["x"], _nearest_pivot(pivots), "cell int, gap double").persist()
+        pairs = _cell_pairs(placed, pivots, k, blocks_of)
+        plan = df.sparkSession.createDataFrame(pairs, "q_cell int, c_cell int, q_blocks int, c_blocks int")
+        small = F.broadcast(plan)  # at most max_pivots squared rows
+
+        def own(blocks: str, name: str) -> Column:
+            return F.pmod(F.xxhash64(F.lit("block"), id_col), F.col(blocks)).cast("int").alias(name)
+
+        def every(blocks: str, name: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(name)
+
+        as_query = placed.join(small, placed["cell"] == plan["q_cell"])
+        as_candidate = placed.join(small, placed["cell"] == plan["c_cell"])
+        queries = as_query.select(id_col, "x", "q_cell", own("q_blocks", "q_block"), "c_cell", every("c_blocks", "c_block"))
+        candidates = as_candidate.select(
+            id_col, "x", "q_cell", every("q_blocks", "q_block"), "c_cell", own("c_blocks", "c_block")
+        )
     # fresh column identities: both sides come from the same table
     queries, candidates = queries.toDF(*queries.columns), candidates.toDF(*[f"_{c}" for c in candidates.columns])
-    keys = ["q_cell", "q_block", "c_cell", "c_block"]
     kind = df.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType()),
@@ -162,7 +169,7 @@ def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame,
     """
     own = rows.select(id_col, feature_array(space).alias("_own"))
     other = rows.select(F.col(id_col).alias("neighbour"), feature_array(space).alias("_other"))
-    placed = split_join(found.select(id_col, "neighbour").join(own, id_col), other, ["neighbour"])
+    placed = split_join(found.select(id_col, "neighbour"), other, ["neighbour"]).join(own, id_col)
     reached = (
         placed
         .select(id_col, _distance("_own", "_other").alias("reached"))
@@ -182,7 +189,7 @@ def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame,
 
 def k3n_terms(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> DataFrame:
     """(id, excess) in space ``b`` of the neighbours found in space ``a``."""
-    in_a = nearest_neighbours(df, id_col, a, k, **options)
+    in_a = nearest_neighbours(df, id_col, a, k, **options).persist()
     in_b = nearest_neighbours(df, id_col, b, k, **options)
     return neighbour_excess(df, id_col, b, in_a, in_b)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -13,6 +14,7 @@ from assayline.operators.mixture import log_sum
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
 from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, pack_rows, sum_over_rows
 
+JOBS_AT_ONCE = 4
 FAILED_SCORE = 10e100  # score of a map that could not be fitted
 PRUNE = 1e-8  # mixing coefficients below this become zero in a sparse map
 
@@ -212,13 +214,15 @@ def map_grid_search(
     models = fit_maps(df, features, specs, rounds=rounds)
     base = df.select(id_col, feature_array(features).alias("a"))
     in_a = nearest_neighbours(base, id_col, "a", k, **options).persist()
-    scores = []
-    for model in models:
+
+    def score(model: TopographicMap) -> float:
         if not model.success:
-            scores.append(FAILED_SCORE)
-            continue
+            return FAILED_SCORE
         placed = map_positions(df, [id_col], features, model).select(id_col, F.array("t1_mean", "t2_mean").alias("b"))
-        scores.append(k3n_error(base.join(placed, id_col), id_col, "a", "b", k, in_a, **options))
+        return k3n_error(base.join(placed, id_col), id_col, "a", "b", k, in_a, **options)
+
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:  # independent Spark jobs fill the cluster together
+        scores = list(pool.map(score, models))
     best = int(np.argmin(scores))
     rows = [
         (s.nodes, s.centres, float(s.variance), float(s.regulariser), s.sparse, float(v), i == best)

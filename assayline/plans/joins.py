@@ -37,14 +37,12 @@ def split_join(
     the table, so there are fewer than ``max_heavy_keys`` of them) get their rows of
     ``right`` by broadcast and are not shuffled; all other keys are joined by a shuffle.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).persist()
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    bound = max(heavy_rows, -(-total // max_heavy_keys))
-    heavy = counts.where(F.col("_n") > bound).select(*keys, F.lit(True).alias("_heavy")).persist()
-    found = heavy.count()
-    counts.unpersist()
-    if found == 0:
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    bound = max(heavy_rows, -(-(total or 0) // max_heavy_keys))
+    if (largest or 0) <= bound:
         return _joined(left, _renamed(right, keys), keys, how)
+    heavy = counts.where(F.col("_n") > bound).select(*keys, F.lit(True).alias("_heavy")).persist()
     marked = _joined(left, F.broadcast(_renamed(heavy, keys)), keys, "left")
     hot, cold = marked.where("_heavy").drop("_heavy"), marked.where(F.col("_heavy").isNull()).drop("_heavy")
     hot_right = _joined(right, F.broadcast(_renamed(heavy, keys)), keys, "inner").drop("_heavy")
