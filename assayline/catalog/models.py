@@ -32,7 +32,7 @@ from assayline.operators.topographic import (
     MapSpec, fit_map, map_grid_search, map_positions, merge_clusters, responsibilities,
 )
 from assayline.plans.ordered import with_folds
-from assayline.sources.tables import read_table
+from assayline.sources.tables import hyperparameter_table, read_table
 
 r = sql_rounded
 DIMENSIONS = [f"embedding_{i}" for i in range(64)]
@@ -442,6 +442,12 @@ def rbf_ga_features(spark, folder):
     return found.table(spark)
 
 
+@query("rbf_ga_hyperparameters")
+def rbf_ga_hyperparameters(spark, folder):
+    found = select_features_rbf_ga(_planted(spark, folder), DIMENSIONS, "y", "fold", population=8, generations=2)
+    return hyperparameter_table(spark, dict(zip(("C", "epsilon", "gamma"), found.genome[-3:])))
+
+
 @query("rbf_ga_regions")
 def rbf_ga_regions(spark, folder):
     found = select_regions_rbf_ga(_planted(spark, folder), DIMENSIONS, "y", "fold", population=8, generations=2)

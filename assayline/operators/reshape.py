@@ -42,14 +42,14 @@ def in_list_order(column: str, order: Sequence) -> Column:
 def keep_members(df: DataFrame, column: str, members: Sequence | DataFrame) -> DataFrame:
     """Rows whose value is in a list, or in the first column of a table."""
     if isinstance(members, DataFrame):
-        return df.join(members.select(F.col(members.columns[0]).alias(column)), column, "left_semi")
+        return df.join(members.select(F.col(members.columns[0]).alias(column)).distinct(), column, "left_semi")
     return df.where(F.col(column).isin(list(members)))
 
 
 def drop_members(df: DataFrame, column: str, members: Sequence | DataFrame) -> DataFrame:
     """Rows whose value is not in a list, or not in the first column of a table."""
     if isinstance(members, DataFrame):
-        return df.join(members.select(F.col(members.columns[0]).alias(column)), column, "left_anti")
+        return df.join(members.select(F.col(members.columns[0]).alias(column)).distinct(), column, "left_anti")
     return df.where(~F.col(column).isin(list(members)))
 
 

@@ -16,6 +16,7 @@ from assayline.operators.scale import autoscale, fit_scaler
 from assayline.operators.screening import binomial_tail
 from assayline.operators.search import region_positions
 from assayline.operators.topographic import merge_steps
+from assayline.plans.scans import collect_sums, pack_rows, sum_over_rows
 
 FEW = settings(max_examples=60, deadline=None)
 
@@ -155,6 +156,31 @@ def test_savgol_arrays(spark):
     assert full["d"] == pytest.approx([2.0] * 25) and short["d"] is None
 
 
+def test_savgol_with_missing_values(spark):
+    line = [float(i) for i in range(30)]
+    hole = [*line[:15], None, *line[16:]]
+    df = spark.createDataFrame([(0, line), (1, None), (2, hole), (3, line[:4]), (4, line[:11])], "id int, x array<double>")
+    got = {r["id"]: r["d"] for r in df.select("id", savgol(F.col("x"), 5, 2).alias("d")).collect()}
+    assert got[0] == pytest.approx(line) and got[4] == pytest.approx(line[:11]) and got[1] is None and got[3] is None
+    assert [i for i, v in enumerate(got[2]) if v is None] == [13, 14, 15, 16, 17]
+
+
+def test_packed_rows_give_the_same_sums(spark):
+    df = spark.range(1000).select(
+        F.array(F.col("id").cast("double"), F.lit(2.0)).alias("x"), F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("f")
+    ).repartition(3)
+
+    def statistic(batch):
+        return {str(f): np.append(batch["x"][batch["f"] == f].sum(axis=0), batch["k"][batch["f"] == f].sum()) for f in (0, 1, 2)}
+
+    packed = pack_rows(df)
+    direct, blocks = collect_sums(sum_over_rows(df, statistic)), collect_sums(packed.sum(statistic))
+    assert direct.keys() == blocks.keys() == {"0", "1", "2"}
+    assert all(np.allclose(direct[m], blocks[m]) for m in direct)
+    assert sum(v[2] for v in blocks.values()) == 499_500
+    packed.unpersist()
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([(0, 2), (4, 0), (8, 5)], "s int, w int")
     assert sorted(r["index"] for r in explode_regions(df, F.col("s"), F.col("w"), 10).collect()) == [0, 1, 8, 9]
