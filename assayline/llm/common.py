@@ -27,7 +27,7 @@ def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], St
     """
     ship_package(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
