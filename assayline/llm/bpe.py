@@ -200,6 +200,11 @@ def _with(df: DataFrame, columns: list[str], name: str, kind: T.DataType) -> T.S
     return T.StructType([*only(df, *columns).schema.fields, T.StructField(name, kind)])
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype("int32")))
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = (), ids: str = "ids") -> DataFrame:
     """Columns ``keep`` and the tokens of ``text`` as an array of integers.  ``tokenizer``: see :func:`read_tokenizer`."""
     source = df.sparkSession.sparkContext.broadcast(tokenizer)
@@ -208,10 +213,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
         codec = codec_of(source.value)
 
         def step(batch: pa.RecordBatch):
-            packed = [codec.encode(x) for x in as_text(batch.column(len(keep)))]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype("int32")
-            values = np.frombuffer(b"".join(packed), "<u4").astype("int32")
-            return [*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            return [*batch.columns[: len(keep)], _lists([codec.encode(x) for x in as_text(batch.column(len(keep)))])]
 
         return step
 
@@ -241,9 +243,13 @@ ROUND_TRIP = [
 ]
 
 
-def round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(
+    df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False
+) -> DataFrame:
     """Columns ``keep``, the number of tokens, and digests of the tokens and of the text decoded from them.
 
+    ``with_ids`` adds the tokens as an array ``ids``.
+
     Encodes and decodes in one pass, so that the tokens themselves are not moved between processes.
     """
     source = df.sparkSession.sparkContext.broadcast(tokenizer)
@@ -252,14 +258,17 @@ def round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[st
         codec = codec_of(source.value)
 
         def step(batch: pa.RecordBatch):
-            counts, ids, texts = [], [], []
+            counts, ids, texts, every = [], [], [], []
             for value in as_text(batch.column(len(keep))):
                 packed = codec.encode(value)
+                if with_ids:
+                    every.append(packed)
                 counts.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 texts.append(hashlib.sha256(codec.decode(np.frombuffer(packed, "<u4")).encode()).hexdigest())
-            return [*batch.columns[: len(keep)], counts, ids, texts]
+            return [*batch.columns[: len(keep)], counts, ids, texts, *([_lists(every)] if with_ids else [])]
 
         return step
 
-    return map_batches(only(df, *keep, text), T.StructType([*only(df, *keep).schema.fields, *ROUND_TRIP]), make)
+    found = [*ROUND_TRIP, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    return map_batches(only(df, *keep, text), T.StructType([*only(df, *keep).schema.fields, *found]), make)

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, decontaminate, exact, quality, secret_scan, simhash, templates, toxicity, warc
+from assayline.llm import bpe, decontaminate, exact, lines, quality, secret_scan, simhash, templates, toxicity, warc
 from assayline.llm.common import table
 from assayline.session import scratch_folder
 
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_line_dedup")
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.LineJoin(table(spark, folder, "documents"), "text", "doc_id").report()
+
+
 @query("op2_bpe")
 def _bpe(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = bpe.read_tokenizer(tokenizer_path("byte_bpe_50k.json"))

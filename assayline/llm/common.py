@@ -63,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most.
+MOST_SHIPPED = 1_000_000
+
+
+def shipped(df: DataFrame, most: int = MOST_SHIPPED) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; with more, a join with it shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -102,19 +102,20 @@ def joined(stretches: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("starts", T.ArrayType(T.IntegerType())),
-    T.StructField("ends", T.ArrayType(T.IntegerType())),
-    T.StructField("item_ids", T.ArrayType(T.StringType())),
-]
+def _found(prefix: str) -> list[T.StructField]:
+    numbers = T.ArrayType(T.IntegerType())
+    kinds = {"n_words": T.LongType(), "starts": numbers, "ends": numbers, "item_ids": T.ArrayType(T.StringType())}
+    return [T.StructField(prefix + name, kind) for name, kind in kinds.items()]
 
 
 def contained(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-    item: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES,
+    item: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, prefix: str = "",
 ) -> DataFrame:
-    """Columns ``keep``, ``n_words``, hit stretches (``starts``, ``ends``: word positions, end exclusive), ``item_ids``."""
+    """Columns ``keep``, ``n_words``, hit stretches (``starts``, ``ends``: word positions, end exclusive), ``item_ids``.
+
+    ``prefix`` goes before the names of the new columns.
+    """
     items = benchmark.select(
         F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")
     ).where("item is not null and text is not null")
@@ -124,13 +125,16 @@ def contained(
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == number)
         rows = [(r["item"], words_of(r["text"].encode())) for r in block.collect()]  # about block_bytes
         counts = _counts(docs, text, {word for _, words in rows for word in words})
-        found = _step(docs if found is None else found, Block(rows, counts, size), text, keep, found is not None, number == n_blocks - 1)
+        found = _step(
+            docs if found is None else found, Block(rows, counts, size), text, keep, prefix, found is not None, number == n_blocks - 1
+        )
     return found
 
 
-def _step(df: DataFrame, block: Block, text: str, keep: tuple[str, ...], further: bool, last: bool) -> DataFrame:
+def _step(df: DataFrame, block: Block, text: str, keep: tuple[str, ...], prefix: str, further: bool, last: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(block)
-    names = [*keep, text] if not further else [*keep, "_text", "starts", "ends", "item_ids"]
+    carried_text = f"{prefix}carried_text"
+    names = [*keep, *((carried_text, prefix + "starts", prefix + "ends", prefix + "item_ids") if further else (text,))]
     source = only(df, *names)
 
     def make():
@@ -154,5 +158,14 @@ def _step(df: DataFrame, block: Block, text: str, keep: tuple[str, ...], further
 
         return step
 
-    carried = [] if last else [T.StructField("_text", T.StringType())]
-    return map_batches(source, T.StructType([*source.schema.fields[: len(keep)], *carried, *_FOUND]), make)
+    carried = [] if last else [T.StructField(carried_text, T.StringType())]
+    return map_batches(source, T.StructType([*source.schema.fields[: len(keep)], *carried, *_found(prefix)]), make)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, all columns, that hold no window of the benchmark."""
+    prefix = "found_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = contained(docs, benchmark, text, tuple(docs.columns), item, item_text, prefix=prefix)
+    return only(found.where(F.size(prefix + "starts") == 0), *docs.columns)

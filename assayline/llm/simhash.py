@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.llm.common import as_bytes, map_batches, only, written
+from assayline.llm.common import as_bytes, map_batches, only, shipped, written
 from assayline.llm.links import smallest_reachable
 from assayline.plans.joins import split_join
 
@@ -225,5 +225,24 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return components(written(fingerprints(df, text, (key,)), "prints"), key)
 
 
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document of each component, the one with the smallest key, with all its columns.
+
+    Rows that repeat a key count as one document, which keeps one row; rows without a key all stay, as they cannot be named.
+    """
+    found = written(near_duplicates(df, text, key), "components")
+    states = found.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(
+        F.max((F.col(f"`{key}`") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows")
+    )
+    states = written(states.where("stays = 0 or rows > 1"), "states")
+    gone, several = states.where("stays = 0").select("_key"), states.where("stays = 1").select("_key")
+    out = df.join(shipped(gone), df[f"`{key}`"] == F.col("_key"), "left_anti")
+    if not several.limit(1).count():
+        return out
+    repeated = F.col(f"`{key}`").eqNullSafe(F.col("_key"))
+    once = out.join(shipped(several), repeated, "left_semi").dropDuplicates([key])
+    return out.join(shipped(several), repeated, "left_anti").unionByName(once)
+
+
 def as_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))

@@ -207,8 +207,10 @@ def _scorer(packed: bytes, bias: float) -> Scorer:
     return Scorer(np.frombuffer(packed, "float32"), bias)
 
 
-def scored(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score``."""
+def scored(
+    docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score"
+) -> DataFrame:
+    """Columns ``keep`` and the score."""
     shared = docs.sparkSession.sparkContext.broadcast((np.array(scorer.evidence, "float32").tobytes(), scorer.bias))
 
     def make():
@@ -219,10 +221,18 @@ def scored(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str,
 
         return step
 
-    fields = [*only(docs, *keep).schema.fields, T.StructField("score", T.DoubleType())]
+    fields = [*only(docs, *keep).schema.fields, T.StructField(name, T.DoubleType())]
     return map_batches(only(docs, *keep, text), T.StructType(fields), make)
 
 
+def accepted(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+    """The documents, all columns, that score below REJECT."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, scorer, text, tuple(docs.columns), name).where(F.col(f"`{name}`") < REJECT).drop(name)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a row's label may not be learnt from; rows without an id are not held out."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
