@@ -82,6 +82,8 @@ def pair_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratios of character pairs, random strings against ordinary ones; rows are the first character.
 
+    Pairs with a sign that joins words say nothing: they depend on a text's conventions.
+
     Every task adds its counts up; no more than two counts per pair of characters reach the driver.
     """
 
@@ -106,6 +108,8 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     logs = np.log(inside / inside.sum(2, keepdims=True))
     ratio = np.zeros((_N, _N))
     ratio[1:, 1:] = logs[0] - logs[1]
+    joiners = [_RUN_CHARACTERS.index(c) + 1 for c in b"+/_=-"]
+    ratio[joiners], ratio[:, joiners] = 0, 0
     return ratio
 
 

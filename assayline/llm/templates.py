@@ -6,8 +6,8 @@ host are deleted.  Elements whose role is plain from their tag, role or class (m
 notices, adverts, forms, scripts, styles, comments) go as well.  Of what is left the article is taken,
 or the body where there is none.
 
-Prose inside an article (paragraphs, headings, list items and the like) is never taken for a template, however often it occurs: a
-site that prints a text twice has two articles.  A subtree is a template if it occurs on at least ``LEAST_PAGES`` pages
+Prose inside an article (paragraphs, headings, list items and the like, and what holds them) is never taken for a template, however
+often it occurs: a site that prints a text twice has two articles.  A subtree is a template if it occurs on at least ``LEAST_PAGES`` pages
 and a ``SHARE`` of its host's pages.
 
 Cases: null or empty html has the empty text.  Character references are decoded; white space inside a block becomes one
@@ -120,9 +120,10 @@ def _is_aside(node: Node, in_article: bool) -> bool:
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of tags, classes and text of every element outside an article, and of those inside that are no prose; by id()."""
+    """Hash of tags, classes and text of every element outside an article, and of those inside without prose; by id()."""
     hashes: dict[int, int] = {}
     done: dict[int, str] = {}
+    prose: set[int] = set()
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while stack:
         node, in_article, ready = stack.pop()
@@ -134,7 +135,9 @@ def subtree_hashes(root: Node) -> dict[int, int]:
         inner = "".join(f"\1{done[id(c)]}" if isinstance(c, Node) else " ".join(c.split()) for c in node.children)
         digest = xxhash.xxh3_64_intdigest(f"{node.tag}\2{node.names}\2{inner}")
         done[id(node)] = f"{digest:x}"
-        if node.tag not in ("#root", "html", "head", "body", "article", "main") and not (in_article and node.tag in _PROSE):
+        if node.tag in _PROSE or any(id(c) in prose for c in node.children if isinstance(c, Node)):
+            prose.add(id(node))
+        if node.tag not in ("#root", "html", "head", "body", "article", "main") and not (in_article and id(node) in prose):
             if inner.strip():
                 hashes[id(node)] = digest - (1 << 64) if digest >> 63 else digest
     return hashes

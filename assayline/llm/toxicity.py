@@ -16,6 +16,7 @@ model stays at its start and every text scores alike.  Repeated labels count onc
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from itertools import chain, groupby
 
@@ -33,7 +34,7 @@ WINDOW = 4
 #: Texts of the sample that a bucket must occur in to be learnt; rarer ones only tell single texts apart.
 LEAST_TEXTS = 3
 #: Bounds of the training sample: labelled rows per class, and code points of a text in it.
-SAMPLE_ROWS, SAMPLE_LENGTH = 3000, 8000
+SAMPLE_ROWS, SAMPLE_LENGTH = 2500, 6000
 REJECT = 0.7
 #: Training texts are told apart better than others, so calibration may not be steeper than this.
 STEEPEST = 8.0
@@ -80,12 +81,18 @@ class Model:
             return self
         texts = [t or [""] for t in texts]
         index: dict[str, int] = {}
-        words = np.array([index.setdefault(w, len(index)) for w in chain.from_iterable(texts)])
+        words = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(texts)), "int32")
         lengths = np.array([len(t) for t in texts])
-        bags = [buckets_of(w) for w in index]
-        sizes = np.array([len(b) for b in bags])
-        flat, starts = np.fromiter(chain.from_iterable(bags), "int64"), np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(bags)), sizes)
+        buckets, counted = array("i"), array("i")  # flat, as lists of a few million numbers would fill the driver
+        for word in index:
+            bag = buckets_of(word)
+            buckets.extend(bag)
+            counted.append(len(bag))
+        n_words = len(index)
+        del index
+        flat, sizes = np.frombuffer(buckets, "int32"), np.frombuffer(counted, "int32")
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(n_words, dtype="int32"), sizes)
         first = np.cumsum(lengths) - lengths
         # Window i covers words i to i + WINDOW of the text that i lies in, or fewer at its end.
         position = np.arange(len(words)) - np.repeat(first, lengths)
@@ -117,8 +124,8 @@ class Model:
             per_position = np.zeros(len(words) + 1)
             np.add.at(per_position, at, slope / span)
             np.add.at(per_position, at + span, -slope / span)
-            on_word = np.bincount(words, np.cumsum(per_position[:-1]), len(bags)) / sizes
-            on_bucket = np.where(learnt, np.bincount(flat, on_word[owner], BUCKETS), 0).astype("float32")
+            on_word = np.bincount(words, np.cumsum(per_position[:-1]), n_words) / sizes
+            on_bucket = np.where(learnt, np.bincount(flat, on_word.astype("float32")[owner], BUCKETS), 0).astype("float32")
             gradients = (np.outer(on_bucket, self.output), on_bucket @ self.embedding, np.array([slope.sum()], "float32"))
             for p, g, (m, v) in zip((self.embedding, self.output, bias), gradients, moments):
                 m += 0.1 * (g - m)
