@@ -41,6 +41,8 @@ _BLOCKS = _PROSE | frozenset(
     "html body article section main div header footer nav aside form ul ol dl table thead tbody tfoot tr figure hr address "
     "fieldset details summary menu dialog".split()
 )
+#: Elements that can be templates.
+_TEMPLATES = _BLOCKS - frozenset(("html", "body", "article", "main"))
 #: A paragraph ends where one of these begins.
 _ENDS_P = _BLOCKS - frozenset("td th thead tbody tfoot tr caption html body".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
@@ -120,7 +122,10 @@ def _is_aside(node: Node, in_article: bool) -> bool:
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of tags, classes and text of every element outside an article, and of those inside without prose; by id()."""
+    """Hash of tags, classes and text of block elements outside an article, and of those inside without prose; by id().
+
+    Inline elements belong to the text around them and are no templates of their own.
+    """
     hashes: dict[int, int] = {}
     done: dict[int, str] = {}
     prose: set[int] = set()
@@ -137,7 +142,7 @@ def subtree_hashes(root: Node) -> dict[int, int]:
         done[id(node)] = f"{digest:x}"
         if node.tag in _PROSE or any(id(c) in prose for c in node.children if isinstance(c, Node)):
             prose.add(id(node))
-        if node.tag not in ("#root", "html", "head", "body", "article", "main") and not (in_article and id(node) in prose):
+        if node.tag in _TEMPLATES and not (in_article and id(node) in prose):
             if inner.strip():
                 hashes[id(node)] = digest - (1 << 64) if digest >> 63 else digest
     return hashes
