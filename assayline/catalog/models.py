@@ -306,6 +306,17 @@ def nearest_embeddings(spark, folder):
     return found.select("vec_id", "neighbour", rounded("distance").alias("distance"), "rank")
 
 
+@query(
+    "nearest_far_from_zero",
+    f"WITH e AS (SELECT p_partkey AS id, [p_size + 1e8, p_retailprice + 1e8]::DOUBLE[] AS x FROM part) SELECT id AS p_partkey, neighbour, {r('distance')} AS distance, rank::INTEGER AS rank "
+    f"FROM ({_nearest_sql('e', 'x', 5)})",
+)
+def nearest_far_from_zero(spark, folder):
+    part = read_table(spark, folder, "part").select("p_partkey", (F.col("p_size") + 1e8).alias("a"), (F.col("p_retailprice") + 1e8).alias("b"))
+    found = nearest_neighbours(part, "p_partkey", ["a", "b"], 5, block_rows=512)
+    return found.select("p_partkey", "neighbour", rounded("distance").alias("distance"), "rank")
+
+
 @query(
     "k3n_excess",
     "WITH e AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS x, embedding[1:2]::DOUBLE[] AS t FROM embeddings), "

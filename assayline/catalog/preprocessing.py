@@ -451,3 +451,35 @@ def group_means_embeddings(spark, folder):
 def row_means_embeddings(spark, folder):
     rows = X.spread_array(read_table(spark, folder, "embeddings"), "embedding", ["vec_id"])
     return rows.select("vec_id", rounded(row_mean([f"embedding_{i}" for i in range(3)]), 8).alias("mean"))
+
+
+@query(
+    "value_counts_orders",
+    "SELECT feature, value, count(*) AS n, " + r("count(*) / (SELECT count(*) FROM orders)::DOUBLE", 8) + " AS rate FROM "
+    "(SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS feature, unnest([o_orderstatus, o_orderpriority]) AS value FROM orders) GROUP BY 1, 2",
+)
+def value_counts_orders(spark, folder):
+    table = X.value_counts(read_table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return table.select("feature", "value", "n", rounded("rate", 8).alias("rate"))
+
+
+@query("drop_dominant_text_part", "SELECT p_partkey, p_brand FROM part")
+def drop_dominant_text_part(spark, folder):
+    part = read_table(spark, folder, "part").select(
+        "p_partkey", "p_brand", F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).otherwise("same").alias("mostly_same")
+    )
+    return X.drop_dominant(part, ["p_brand", "mostly_same"], 0.8)
+
+
+_SOME_NAN = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, " + ("1.0::DOUBLE" if a == b else f"abs(corr({a}, {b}))") + " AS abs_r"
+    + (f" FROM ({_MIXED_SQL} WHERE l_linenumber <> 3)" if a != b else "")
+    for a in _MIXED for b in _MIXED
+)
+
+
+@query("correlation_pairs_nan", f"SELECT feature_a, feature_b, {r('abs_r', 8)} AS abs_r FROM ({_SOME_NAN})")
+def correlation_pairs_nan(spark, folder):
+    nan = F.when(F.col("l_linenumber") == 3, F.lit(float("nan")))
+    rows = _mixed(spark, folder).withColumn("mixed", F.coalesce(nan, F.col("mixed")))
+    return X.correlation_pairs(rows, _MIXED).select("feature_a", "feature_b", rounded("abs_r", 8).alias("abs_r"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from assayline.catalog.registry import query, rounded, sql_rounded
 from assayline.functions import scalar as S
 from assayline.operators import reshape as R
-from assayline.operators.encode import category_codes, dummy_variables
+from assayline.operators.encode import category_codes, dummies_long, dummy_variables
 from assayline.operators.features import spread_array, unpivot_features
 from assayline.operators.scale import numeric_columns
 from assayline.operators.signal import wavelength_table
 from assayline.plans.ordered import with_folds
 from assayline.session import scratch_folder
 from assayline.sources import tables as A
+from assayline.streaming.frozen import flag_stream
 
 r = sql_rounded
 
@@ -492,3 +493,32 @@ def row_extremes_lineitem(spark, folder):
 )
 def contiguous_folds_orders(spark, folder):
     return with_folds(A.read_table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 5)
+
+
+@query(
+    "category_codes_customer",
+    "SELECT c_custkey, (dense_rank() OVER (ORDER BY k) - 1)::INTEGER AS code FROM "
+    "(SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_name) AS k FROM customer)",
+)
+def category_codes_customer(spark, folder):
+    customer = A.read_table(spark, folder, "customer").select("c_custkey", "c_name")
+    return category_codes(customer, "c_name", ["c_custkey"]).select("c_custkey", "code")
+
+
+@query(
+    "dummies_long_part",
+    "SELECT p_partkey, unnest(['p_brand', 'p_type', 'p_name']) AS \"column\", unnest([p_brand, p_type, p_name]) AS level FROM part",
+)
+def dummies_long_part(spark, folder):
+    return dummies_long(A.read_table(spark, folder, "part"), "p_partkey", ["p_brand", "p_type", "p_name"])
+
+
+@query(
+    "flags_of_known_types",
+    "SELECT event_id, CASE WHEN event_type < 'm' THEN value > 50 OR value < 5 END AS is_outlier FROM events",
+)
+def flags_of_known_types(spark, folder):
+    events = A.read_table(spark, folder, "events")
+    known = events.where(F.col("event_type") < "m").select("event_type").distinct()
+    limits = known.select("event_type", F.lit(5.0).alias("lower"), F.lit(50.0).alias("upper"))
+    return flag_stream(events, "value", limits, ["event_type"]).select("event_id", "is_outlier")

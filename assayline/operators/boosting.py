@@ -113,6 +113,9 @@ def adaboost(
         if number % CUT_EVERY == 0:
             rows, votes = cut_lineage(rows), cut_lineage(votes)
     table = train.sparkSession.createDataFrame(learners, "round int, error double, weight double")
+    if not learners:  # no learner better than chance: nobody votes
+        none = [F.lit(0).alias("round"), F.lit(0.0).alias("prediction"), F.lit(0.0).alias("weight")]
+        return table, test.select(id_col, "label", *none).limit(0)
     cast = F.explode(F.array(*[
         F.struct(F.lit(n).alias("round"), F.col(f"p{n}").alias("prediction"), F.lit(w).alias("weight"))
         for n, _, w in learners

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators.scale import numeric_columns, string_columns
 from assayline.plans.joins import join_stats
+from assayline.plans.ordered import row_positions
 
 MAX_LEVELS = 2_000
+#: Categories that are numbered in one task; more are sorted in ranges.
+FEW_LEVELS = 10_000
 
 
-def levels_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of each text column; an error when there are too many for one column each."""
+def levels_of(df: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Sorted distinct values of each text column; an error when there are over ``most``, as each becomes a column."""
     pairs = (
         df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("level")) for c in columns
@@ -22,15 +25,24 @@ def levels_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
         .select("p.*")
         .where(F.col("level").isNotNull())
         .distinct()
-        .limit(MAX_LEVELS + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(pairs) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {list(columns)}; use category_codes")
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} levels in {list(columns)}; use dummies_long or category_codes")
     return {c: sorted(r["level"] for r in pairs if r["column"] == c) for c in columns}
 
 
-def dummy_variables(df: DataFrame, id_col: str, columns: Sequence[str] | None = None) -> DataFrame:
+def dummies_long(df: DataFrame, id_col: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The true cells of the dummy variables, one row each and without a bound on levels: (id, column, level)."""
+    text = list(columns) if columns is not None else string_columns(df, [id_col])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in text])
+    return df.select(id_col, F.explode(cells).alias("cell")).select(id_col, "cell.*").where(F.col("level").isNotNull())
+
+
+def dummy_variables(
+    df: DataFrame, id_col: str, columns: Sequence[str] | None = None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Id, then the numeric columns, then one boolean ``{column}_{level}`` per level, levels sorted.
 
     A missing value is false in every column.
@@ -39,17 +51,18 @@ def dummy_variables(df: DataFrame, id_col: str, columns: Sequence[str] | None =
     numeric = numeric_columns(df, [id_col])
     dummies = [
         F.coalesce(F.col(f"`{c}`") == F.lit(level), F.lit(False)).alias(f"{c}_{level}")
-        for c, levels in levels_of(df, text).items()
+        for c, levels in levels_of(df, text, max_levels).items()
         for level in levels
     ]
     return df.select(id_col, *[F.col(f"`{c}`") for c in numeric], *dummies)
 
 
 def category_codes(df: DataFrame, column: str, order: Sequence[str], out: str = "code") -> DataFrame:
-    """Add integer codes numbered by first appearance along ``order``; null stays null."""
-    first_seen = df.groupBy(column).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
-    if first_seen.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} categories in {column}")
-    known_first = Window.orderBy(F.col(column).isNull(), "_first")  # at most MAX_LEVELS rows
-    code = F.when(F.col(column).isNotNull(), F.row_number().over(known_first) - 1)
-    return join_stats(df, first_seen.select(column, code.alias(out)), [column])
+    """Add integer codes numbered by first appearance along ``order``; null stays null.
+
+    Any number of categories: they are numbered by a range-partitioned sort and joined back with hot ones split.
+    """
+    known = df.where(F.col(column).isNotNull())
+    first_seen = known.groupBy(column).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
+    numbered = row_positions(first_seen, ["_first"], pos="_pos", rows_in_one_task=FEW_LEVELS)
+    return join_stats(df, numbered.select(column, F.col("_pos").cast("int").alias(out)), [column], "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayline.operators.scale import fit_scaler
 from assayline.functions.scalar import row_mean
@@ -23,12 +24,26 @@ def unpivot_features(df: DataFrame, id_cols: Sequence[str], features: Sequence[s
 
 
 def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """How often each value of each feature occurs, and its share: (feature, value, n, rate)."""
-    counts = unpivot_features(df, [], features).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    """How often each value of each feature occurs, and its share: (feature, value, n, rate).
+
+    Values are told apart in their own type, whatever it is.  ``value`` is a number if all features are, else a text.
+    """
+    numeric = all(isinstance(df.schema[c].dataType, T.NumericType) for c in features)
+    counts = df.select(*[_as_text(df, c).alias(c) for c in features]).unpivot([], list(features), "feature", "value")
+    counts = counts.groupBy("feature", "value").agg(F.count("*").alias("n"))
     rows = df.count()
+    if numeric:
+        counts = counts.withColumn("value", F.col("value").cast("double"))
     return counts.withColumn("rate", F.col("n") / F.lit(float(max(rows, 1))))
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A value as a text that tells it apart; minus zero is zero."""
+    column = F.col(f"`{name}`")
+    fractional = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return (column + F.lit(0.0) if fractional else column).cast("string")
+
+
 def dominant_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Share of the most frequent value (null counts as a value) per feature: (feature, rate)."""
     return value_counts(df, features).groupBy("feature").agg(F.max("rate").alias("rate"))
@@ -39,13 +54,19 @@ def dominated_features(df: DataFrame, features: Sequence[str], threshold: float
 
     A value held by more than 60 % of the non-null rows is what a quantile
     sketch returns for the middle rank, so above that the only candidate is
-    that value: two aggregates without a shuffle of values.  Lower thresholds
-    count every value.
+    that value: two aggregates without a shuffle of values.  Lower thresholds, and
+    features that are no numbers, count every value.
     """
-    if threshold <= 0.65:
-        rates = {r["feature"]: r["rate"] for r in dominant_rates(df, features).collect()}
-        return [c for c in features if rates.get(c, 0.0) >= threshold]
-    numeric = [F.col(f"`{c}`").cast("double") for c in features]
+    sketched = [c for c in features if threshold > 0.65 and isinstance(df.schema[c].dataType, T.NumericType)]
+    counted_whole = [c for c in features if c not in sketched]
+    rates = {r["feature"]: r["rate"] for r in dominant_rates(df, counted_whole).collect()} if counted_whole else {}
+    dominated = {c for c, rate in rates.items() if rate >= threshold}
+    dominated.update(_sketched_dominated(df, sketched, threshold) if sketched else ())
+    return [c for c in features if c in dominated]
+
+
+def _sketched_dominated(df: DataFrame, features: Sequence[str], threshold: float) -> list[str]:
+    numeric = [F.col(f"`{c}`") for c in features]
     middle = df.agg(*[F.percentile_approx(c, 0.5, 1000).alias(str(i)) for i, c in enumerate(numeric)]).first()
     counted = df.agg(
         F.count("*").alias("n"),

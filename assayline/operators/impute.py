@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.mixture import COVARIANCE_TYPES, Mixture, mixture_bic
 from assayline.operators.scale import fit_scaler
-from assayline.plans.scans import collect_sums, map_rows, sum_over_rows
+from assayline.plans.scans import collect_sums, map_rows, means_of, sum_over_rows
 
 
 def fill_missing(x: np.ndarray, model: Mixture) -> np.ndarray:
@@ -44,7 +44,7 @@ def fill_missing(x: np.ndarray, model: Mixture) -> np.ndarray:
 
 def _mean_and_std(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Means and sample standard deviations of the elements of a complete array column."""
-    shift = np.array([r[0] for r in rows.select(column).limit(256).collect()], dtype=float).mean(axis=0)
+    shift = means_of(rows, column)
 
     def statistic(batch):
         x = batch[column] - shift

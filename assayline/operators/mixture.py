@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import PackedRows, collect_sums, feature_array, is_complete, map_rows, pack_rows
+from assayline.plans.scans import PackedRows, collect_sums, feature_array, is_complete, map_rows, means_of, pack_rows
 
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 RIDGE = 1e-6  # added to every variance
@@ -72,19 +72,27 @@ def log_sum(values: np.ndarray) -> np.ndarray:
         return np.log(np.exp(values - top).sum(axis=1)) + top[:, 0]
 
 
-def _weighted_sums(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Per component: sum of r, r * x, and the full r * x x' (d is small)."""
-    k, d = r.shape[1], x.shape[1]
-    second = np.stack([(x * r[:, [j]]).T @ x for j in range(k)])
-    return np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), second.ravel()])
+def _weighted_sums(x: np.ndarray, r: np.ndarray, about: np.ndarray) -> np.ndarray:
+    """Per component: sum of r, of r * z, and of the full r * z z', z being x - about[component] (d is small).
+
+    Sums about a point near the component keep the digits that a far component would lose about a common one.
+    """
+    first, second = [], []
+    for j in range(r.shape[1]):
+        z = x - about[j]
+        weighted = z * r[:, [j]]
+        first.append(weighted.sum(axis=0))
+        second.append(weighted.T @ z)
+    return np.concatenate([r.sum(axis=0), np.ravel(first), np.ravel(second)])
 
 
-def _maximise(sums: np.ndarray, k: int, d: int, covariance_type: str) -> Mixture:
-    """New parameters from the weighted sums."""
+def _maximise(sums: np.ndarray, k: int, d: int, covariance_type: str, about: np.ndarray) -> Mixture:
+    """New parameters from the weighted sums about the points ``about``."""
     counts = np.maximum(sums[:k], 10 * np.finfo(float).eps)
-    means = sums[k:k + k * d].reshape(k, d) / counts[:, None]
+    moved = sums[k:k + k * d].reshape(k, d) / counts[:, None]
+    means = about + moved
     second = sums[k + k * d:].reshape(k, d, d)
-    spread = second / counts[:, None, None] - means[:, :, None] * means[:, None, :]
+    spread = second / counts[:, None, None] - moved[:, :, None] * moved[:, None, :]
     if covariance_type == "tied":
         spread = np.repeat(np.tensordot(counts / counts.sum(), spread, axes=1)[None], k, axis=0)
     elif covariance_type == "diag":
@@ -130,12 +138,12 @@ def _started(rows: PackedRows, source: DataFrame, specs: Sequence[tuple[int, str
         out = {}
         for (k, a), edges in cuts.items():
             part = np.searchsorted(np.array(edges), (x - mean) @ axes[a], side="left")
-            out[f"{k}|{a}"] = _weighted_sums(x, np.eye(k)[part])
+            out[f"{k}|{a}"] = _weighted_sums(x, np.eye(k)[part], np.zeros((k, d)))
         return out
 
     sums = collect_sums(rows.sum(parts))
     return {
-        (k, kind, s): _maximise(sums[f"{k}|{min(s, d - 1)}"], k, d, kind) for k, kind, s in specs
+        (k, kind, s): _maximise(sums[f"{k}|{min(s, d - 1)}"], k, d, kind, np.zeros((k, d))) for k, kind, s in specs
     }
 
 
@@ -149,13 +157,13 @@ def fit_mixtures(
 ) -> dict[tuple[int, str], Mixture]:
     """Fit every (components, covariance type); the best of ``starts`` starts is kept.
 
-    All unfinished models advance together: one scan per round.  A model stops when
+    All unfinished models advance together: one scan per round.  A model whose covariance stops
+    being positive definite has failed: its likelihood is minus infinity, and the others go on.  A model stops when
     its mean log-likelihood rises by less than ``tolerance``.
     """
     source = df.where(is_complete(features)).select(feature_array(features).alias("x"))
     rows = pack_rows(source)
-    few = source.limit(256).collect()
-    shift = np.array([r["x"] for r in few], dtype=float).mean(axis=0)  # only against lost digits
+    shift = means_of(source, "x")  # only against lost digits
     d = len(shift)
     full = [(k, kind, s) for k, kind in specs for s in range(starts if k > 1 else 1)]
     models: dict = _started(rows, source, full, shift)
@@ -165,10 +173,14 @@ def fit_mixtures(
             x = batch["x"] - shift
             out = {}
             for (k, kind, s), model in current.items():
-                joint = model.log_joint(x)
+                try:
+                    joint = model.log_joint(x)
+                except np.linalg.LinAlgError:  # a covariance that is not positive definite: this model has failed
+                    out[f"{k}|{kind}|{s}"] = np.full(2 + k + k * d + k * d * d, np.nan)
+                    continue
                 each = log_sum(joint)
                 r = np.exp(joint - each[:, None])
-                out[f"{k}|{kind}|{s}"] = np.concatenate([[each.sum(), len(x)], _weighted_sums(x, r)])
+                out[f"{k}|{kind}|{s}"] = np.concatenate([[each.sum(), len(x)], _weighted_sums(x, r, model.means)])
             return out
 
         sums = collect_sums(rows.sum(expect))
@@ -176,12 +188,15 @@ def fit_mixtures(
         for key, model in active.items():
             flat = sums["|".join(map(str, key))]
             likelihood, n = float(flat[0]), float(flat[1])
+            if not np.isfinite(flat).all():
+                finished[key] = replace(model, log_likelihood=-np.inf, rows=1.0)  # its criterion is infinite
+                continue
             scored = replace(model, log_likelihood=likelihood, rows=n)
             if (likelihood - models[key].log_likelihood) / n < tolerance and np.isfinite(models[key].log_likelihood):
                 finished[key] = scored
             else:
                 models[key] = scored
-                following[key] = _maximise(flat[2:], key[0], d, key[1])
+                following[key] = _maximise(flat[2:], key[0], d, key[1], model.means)
         active = following
         if not active:
             break

@@ -27,13 +27,23 @@ def _nearest_of_blocks(k: int, id_col: str):
             return pd.DataFrame({id_col: [], "neighbour": [], "distance": []})
         a, b = np.stack(queries["x"]), np.stack(candidates["_x"])
         qa, cb = queries[id_col].to_numpy(), candidates[f"_{id_col}"].to_numpy()
-        square = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
-        width = min(k + 9, len(cb))  # a margin, because this form of the distance rounds
-        near = np.argpartition(square, width - 1, axis=1)[:, :width]
-        exact = np.sqrt(((a[:, None, :] - b[near]) ** 2).sum(axis=2))
-        out = pd.DataFrame({
-            id_col: np.repeat(qa, width), "neighbour": cb[near].ravel(), "distance": exact.ravel(),
-        })
+        centre = b.mean(axis=0)  # data far from zero would lose its digits in the products
+        sa, sb = a - centre, b - centre
+        na, nb = (sa * sa).sum(1), (sb * sb).sum(1)
+        # everything that the rounding of this form of the distance leaves in doubt is measured exactly
+        doubt = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (na + nb.max())
+        found = []
+        for start in range(0, len(a), 256):
+            rows = slice(start, start + 256)
+            square = na[rows, None] - 2 * sa[rows] @ sb.T + nb[None, :]
+            width = min(k + 1, len(cb))  # the row itself may be among them
+            bound = np.partition(square, width - 1, axis=1)[:, width - 1] + 2 * doubt[rows]
+            at, near = np.nonzero(square <= bound[:, None])
+            for cut in range(0, len(at), 1 << 16):
+                i, j = at[cut:cut + (1 << 16)] + start, near[cut:cut + (1 << 16)]
+                exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+                found.append(pd.DataFrame({id_col: qa[i], "neighbour": cb[j], "distance": exact}))
+        out = pd.concat(found)
         out = out[out[id_col] != out["neighbour"]].sort_values([id_col, "distance", "neighbour"])
         return out.groupby(id_col, sort=False).head(k)
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import collect_sums, feature_array, feature_names, is_complete, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, feature_names, is_complete, means_of, sum_over_rows
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,8 @@ class Moments:
 
 
 def shift_of(rows: DataFrame) -> np.ndarray:
-    """A point near the data (mean of a few rows); removes the digits lost when |mean| >> std."""
-    few = rows.select("x", "y").limit(256).collect()
-    return np.array([[*r["x"], r["y"]] for r in few], dtype=float).mean(axis=0)
+    """The mean of all rows; removes the digits lost when |mean| >> std."""
+    return means_of(rows, "x", "y")
 
 
 def moment_rows(
@@ -56,7 +55,7 @@ def moment_rows(
     x = feature_array(features)
     y = F.col(target).cast("double") if target else F.lit(0.0)
     f = F.lit(0) if fold is None else (F.col(fold) if isinstance(fold, str) else fold)
-    known = is_complete(features) if target is None else is_complete(features) & F.col(target).isNotNull()
+    known = is_complete(features) if target is None else is_complete(features) & is_complete([target])
     return df.where(known).select(x.alias("x"), y.alias("y"), f.cast("int").alias("fold"))
 
 

@@ -24,10 +24,12 @@ def feature_array(features: Sequence[str] | str) -> Column:
 
 
 def is_complete(features: Sequence[str] | str) -> Column:
-    """True for rows without a missing feature; on columns the test reaches the file scan."""
+    """True for rows without a missing feature (null or NaN); on columns the null test reaches the file scan."""
     if isinstance(features, str):
-        return F.get(F.sort_array(features), F.lit(0)).isNotNull()  # nulls sort first
-    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in features])
+        missing = F.exists(features, lambda e: e.isNull() | F.isnan(e.cast("double")))
+        return F.col(features).isNotNull() & (F.size(features) > 0) & ~missing
+    known = [F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double")) for c in features]
+    return reduce(lambda a, b: a & b, known)
 
 
 def feature_names(df: DataFrame, features: Sequence[str] | str) -> list[str]:
@@ -151,6 +153,18 @@ def pack_rows(df: DataFrame) -> PackedRows:
     return PackedRows(df.mapInArrow(pack, schema).persist(), kinds)
 
 
+def means_of(rows: DataFrame, *columns: str) -> np.ndarray:
+    """Means of numeric and array columns over all rows, one after the other; a shift against lost digits."""
+
+    def statistic(batch):
+        return {"all": np.concatenate([[len(batch[columns[0]])], *[np.atleast_1d(batch[c].sum(axis=0)) for c in columns]])}
+
+    found = collect_sums(sum_over_rows(rows.select(*columns), statistic))
+    if "all" not in found:
+        raise ValueError("no complete rows")
+    return found["all"][1:] / found["all"][0]
+
+
 def collect_sums(sums: DataFrame) -> dict[str, np.ndarray]:
     """Bring summed statistics (models x statistic length) to the driver."""
     table = sums.toPandas()
