@@ -130,14 +130,19 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     return partition_filters(prints, block_bits, quotient_bits).groupBy("block").applyInArrow(merge, "fp long")
 
 
-def prints(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Key, 64-bit fingerprint and SHA-256 of the normalised text."""
+def _fingerprints(texts: list[bytes], bits: int) -> np.ndarray:
+    """Leading ``bits`` bits of XXH64, the others zero."""
+    high = ~((1 << 64 - bits) - 1) & (1 << 64) - 1
+    return np.array([xxhash.xxh64_intdigest(x) & high for x in texts], np.uint64)
+
+
+def prints(df: DataFrame, text: str, key: str, bits: int = 64) -> DataFrame:
+    """Key, fingerprint and SHA-256 of the normalised text."""
 
     def make():
         def step(batch: pa.RecordBatch):
             texts = [x.lower() for x in as_bytes(batch.column(1))]  # on bytes: A-Z only
-            fps = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view("int64")
-            return [batch.column(0), pa.array(fps), [hashlib.sha256(x).hexdigest() for x in texts]]
+            return [batch.column(0), pa.array(_fingerprints(texts, bits).view("int64")), [hashlib.sha256(x).hexdigest() for x in texts]]
 
         return step
 
@@ -145,7 +150,7 @@ def prints(df: DataFrame, text: str, key: str) -> DataFrame:
     return map_batches(only(df, key, text), T.StructType(fields), make)
 
 
-def _routed(df: DataFrame, text: str, key: str, repeated: DataFrame) -> DataFrame:
+def _routed(df: DataFrame, text: str, key: str, repeated: DataFrame, print_bits: int) -> DataFrame:
     """Rows whose fingerprint may be repeated, with their normalised bytes.
 
     The repeated fingerprints reach the tasks as a map of 2**MAP_BITS bits, put together in Spark.
@@ -165,7 +170,7 @@ def _routed(df: DataFrame, text: str, key: str, repeated: DataFrame) -> DataFram
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 texts = [x.lower() for x in as_bytes(batch.column(1))]
-                fps = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64)
+                fps = _fingerprints(texts, print_bits)
                 at = fps >> np.uint64(64 - MAP_BITS)
                 hit = (bits[(at >> np.uint64(6)).astype("int64")] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
                 taken = pa.array(hit)
@@ -178,12 +183,15 @@ def _routed(df: DataFrame, text: str, key: str, repeated: DataFrame) -> DataFram
     return only(df, key, text).mapInArrow(run, f"key {kind}, fp long, normal binary")
 
 
-def exact_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``df``: key, keep_id, group_size, kept, text_sha256."""
-    base = written(prints(df, text, key), "prints")
+def exact_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:
+    """Per row of ``df``: key, keep_id, group_size, kept, text_sha256.
+
+    Fewer ``bits`` of fingerprint send more rows to the verification and give the same result.
+    """
+    base = written(prints(df, text, key, bits), "prints")
     repeated = written(repeated_fingerprints(base), "repeated")
     groups = (
-        _routed(df, text, key, repeated)
+        _routed(df, text, key, repeated, bits)
         .groupBy("fp", "normal")
         .agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")

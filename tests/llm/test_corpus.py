@@ -443,10 +443,9 @@ def test_filters_merge_losslessly():
         assert (np.diff(keys.astype("int64")) > 0).all()
 
 
-def test_bytes_decide_where_fingerprints_collide(docs, monkeypatch):
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: len(x) % 3)  # in this process; tasks import anew
-    every = [norm(r["text"]).encode() for r in docs.collect()]
-    assert len({xxhash.xxh64_intdigest(x) for x in every}) <= 3
+def test_bytes_decide_where_fingerprints_collide(docs):
+    whole = Counter(tuple(r) for r in exact.exact_duplicates(docs).collect())
+    assert Counter(tuple(r) for r in exact.exact_duplicates(docs, bits=2).collect()) == whole
 
 
 # ---- secrets
