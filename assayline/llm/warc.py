@@ -29,8 +29,8 @@ from assayline.llm.common import only
 from assayline.plans.joins import split_join
 
 END = "\r\n\r\n"
-#: Bytes of records per archive file, about.
-FILE_BYTES = 8 << 20
+#: Bytes of records per archive file, on average: a task begins a new file after as many records as fill one.
+FILE_BYTES = 4 << 20
 #: Fixed value of the format.
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,12 +102,10 @@ def write_captures(pages: DataFrame, path: str, key: str, url: str, payload: str
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("key"))), *common,
          ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], about,
     )
-    size = rows.agg(F.sum("bytes"), F.count("*")).first()
-    files = max(1, ((size[0] or 0) + 1500 * size[1]) // FILE_BYTES)
+    size, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    per_file = max(1, FILE_BYTES * 3 * n // (size + 1500 * n)) if n else 1
     records = marked.select(F.explode(F.array(request, F.when(revisit, pointer).otherwise(whole), metadata)).alias("value"))
-    if files > records.rdd.getNumPartitions():
-        records = records.repartition(int(files))
-    records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _attached(rows: DataFrame, revisits: DataFrame, most: int = 200_000) -> DataFrame:
