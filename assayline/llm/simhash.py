@@ -16,6 +16,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import accumulate
 
@@ -209,10 +210,13 @@ def links(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return sharded.groupBy("shard").applyInArrow(_shard_links, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Columns of ``prints`` and the ``component_id`` of each row: the smallest ``key`` reachable over links."""
+def components(prints: DataFrame, key: str = "doc_id", linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """Columns of ``prints`` and the ``component_id`` of each row: the smallest ``key`` reachable over links.
+
+    ``linked`` makes the links (a, b) of the distinct ``fingerprint`` values.
+    """
     distinct = written(prints.groupBy("fingerprint").agg(F.min(key).alias("_first")), "fingerprints")
-    roots = smallest_reachable(written(links(distinct), "links"))
+    roots = smallest_reachable(written(linked(distinct), "links"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     rooted = rooted.withColumn("_root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
@@ -225,12 +229,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return components(written(fingerprints(df, text, (key,)), "prints"), key)
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest key, with all its columns.
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", near: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each component that ``near`` finds, the one with the smallest key, with all its columns.
 
     Rows that repeat a key count as one document, which keeps one row; rows without a key all stay, as they cannot be named.
     """
-    found = written(near_duplicates(df, text, key), "components")
+    found = written(near(df, text, key), "components")
     states = found.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(
         F.max((F.col(f"`{key}`") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows")
     )

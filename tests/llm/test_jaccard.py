@@ -1,0 +1,74 @@
+"""The near-duplicate stage against all pairs of shingle sets."""
+
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from assayline.llm import jaccard, simhash
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[int(rng.integers(0, len(words)))] = f"new{rng.integers(0, 10**6)}"
+    return " ".join(words)
+
+
+def texts():
+    rng = np.random.default_rng(3)
+    common = [f"common{i}" for i in range(40)]
+    out = [None, "", " \n", "one two", "One two", "one two three"]
+    for d in range(12):
+        words = [f"w{d}x{i}" for i in range(int(rng.integers(20, 120)))]
+        out += [changed(rng, words, int(n)) for n in rng.integers(0, 5, 8)]
+    # many texts with one passage; some of them similar, most of them not
+    out += [" ".join([*common, *[f"own{d}x{i}" for i in range(int(rng.integers(4, 30)))]]) for d in range(25)]
+    return out
+
+
+def expected_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (k, _), r in zip(rows, root):
+        if k is not None:
+            least[r] = min(k, least.get(r, k))
+    return Counter((k, least.get(r)) for (k, _), r in zip(rows, root))
+
+
+@pytest.mark.parametrize("most_paired, stars", [(8, 3), (2, 1), (1, 0)])
+def test_components_equal_brute_force(spark, most_paired, stars):
+    rows = list(enumerate(texts()))
+    rows += [(7, rows[7][1]), (None, rows[20][1]), (None, "nothing like it at all here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard.near_duplicates(df, most_paired=most_paired, stars=stars).select("doc_id", "component_id").collect()
+    assert Counter(tuple(r) for r in found) == expected_components(rows)
+
+
+def test_stage_finds_pairs_that_fingerprints_miss(spark, folder):
+    words = [f"word{i}" for i in range(200)]
+    other = list(words)
+    other[20], other[90], other[150] = "x", "y", "z"  # 181 of 211 shingles are shared
+    prints = [simhash.fingerprint(" ".join(w).encode()) for w in (words, other)]
+    assert ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() > simhash.RADIUS
+    apart = changed(np.random.default_rng(1), words, 12)
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, apart)]
+    assert not similar(shingles(rows[0][1]), shingles(apart))
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_duplicates(spark, df, folder)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
