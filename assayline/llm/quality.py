@@ -32,6 +32,8 @@ KEEP = 0.5
 #: shares no labeller with the others would be explained as good ones.
 MOST_WRONGLY_BAD = 0.01
 CACHE_WORDS = 200_000
+#: Bytes of a word whose shape is remembered.
+MOST_REMEMBERED = 256
 
 # Frequent words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -125,7 +127,7 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class _Filled(dict):
-    """A function's values, computed once; emptied when it holds CACHE_WORDS of them."""
+    """A function's values, computed once unless the key is long; emptied when it holds CACHE_WORDS of them."""
 
     def __init__(self, function) -> None:
         super().__init__()
@@ -133,14 +135,20 @@ class _Filled(dict):
 
     def __missing__(self, key):
         value = self.function(key)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[key] = value
+        if len(key) <= MOST_REMEMBERED:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = value
         return value
 
 
-#: Kinds of characters with runs shortened to two.
-_SHAPES = _Filled(lambda kinds: _RUN.sub(rb"\1\1", kinds[:64]))
+def _shape(kinds: bytes) -> bytes:
+    """Kinds of all characters of a word with runs shortened to two; a digest of them if they are still many."""
+    shape = _RUN.sub(rb"\1\1", kinds)
+    return shape if len(shape) <= 64 else xxhash.xxh3_128_digest(shape)
+
+
+_SHAPES = _Filled(_shape)
 
 
 def _bucket(feature: bytes) -> int:

@@ -10,7 +10,7 @@ Because the mean and the softmax are linear, a trained model comes down to one n
 exactly the forward pass, computed from these.
 
 Cases: null, empty or wordless texts score as a window without evidence.  Texts shorter than a window are one window.  Very
-long texts are read whole.  Labels that are null are not used; without labels of both classes the
+long texts are read whole; a run without spaces, as in Chinese, Japanese or Thai, is read in overlapping pieces.  Labels that are null are not used; without labels of both classes the
 model stays at its start and every text scores alike.  Repeated labels count once per row.  Repeated rows score alike.
 """
 
@@ -38,23 +38,35 @@ SAMPLE_ROWS, SAMPLE_LENGTH = 2500, 6000
 REJECT = 0.7
 #: Training texts are told apart better than others, so calibration may not be steeper than this.
 STEEPEST = 8.0
+#: Runs without spaces of over LONGEST characters are cut into pieces that overlap by OVERLAP, so that no n-gram is lost; a
+#: window of pieces is about as long as one of words.
+LONGEST, PIECE, OVERLAP = 32, 6, 4
 #: Words whose evidence a worker remembers, twice.
 CACHE_WORDS = 300_000
 
 #: Punctuation parts words; all digits are one.
 _LETTERS = str.maketrans(
-    dict.fromkeys(".,;:!?\"'()[]{}<>|/\\_-+=~`#%^&…«»“”‘’¿¡–—", " ") | dict.fromkeys("123456789", "0")
+    dict.fromkeys(".,;:!?\"'()[]{}<>|/\\_-+=~`#%^&…«»“”‘’¿¡–—、。，！？；：「」『』（）《》【】・", " ") | dict.fromkeys("123456789", "0")
 )
 
 
+def _pieces(run: str) -> list[str]:
+    """A run without spaces as words of at most PIECE characters that hold all of its n-grams."""
+    step = PIECE - OVERLAP
+    return [run[i : i + PIECE] for i in range(0, max(1, len(run) - OVERLAP), step)]
+
+
 def words_of(text: str) -> list[str]:
-    """Words in lower case; a word that is repeated at once counts once."""
-    return [word for word, _ in groupby(text.lower().translate(_LETTERS).split())]
+    """Words in lower case, long runs in pieces; a word that is repeated at once counts once."""
+    words = text.lower().translate(_LETTERS).split()
+    if max(map(len, words), default=0) > LONGEST:
+        words = [piece for word in words for piece in (_pieces(word) if len(word) > LONGEST else (word,))]
+    return [word for word, _ in groupby(words)]
 
 
 def buckets_of(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams."""
-    marked = f"<{word[:64]}>"  # only the n-grams of a run without spaces are cut, the text is read whole
+    marked = f"<{word}>"
     grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return [xxhash.xxh32_intdigest(gram) % BUCKETS for gram in (*grams, word)]
 

@@ -310,6 +310,32 @@ def test_toxicity_finds_unseen_spellings(spark):
     assert scorer.score(clean + " vequad " + clean) > 0.7 and scorer.score("alpha beta vequisse gamma") > 0.7
 
 
+def test_toxicity_after_the_beginning_of_a_long_run(spark):
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 60)]
+    bad = "\u6bd2\u9aa8\u9634\u8c0b\u6740"
+
+    def run(n, toxic):
+        text = "".join(rng.choice(letters, n))
+        at = int(rng.integers(70, n))
+        return text[:at] + bad + text[at:] if toxic else text
+
+    rows = [(i, run(int(rng.integers(100, 400)), i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert min(scorer.score(run(300, True)) for _ in range(20)) > 0.7 > max(scorer.score(run(300, False)) for _ in range(20))
+    for n in (32, 33, 36, 37, 100, 1000):
+        word = "".join(rng.choice(letters, n))
+        grams = {word[i : i + 5] for i in range(n - 4)}
+        assert grams <= {p[i : i + 5] for p in toxicity.words_of(word) for i in range(len(p) - 4)}
+
+
+def test_shapes_are_of_whole_words():
+    word = b"aB" * 100
+    assert quality.features(word + b"1") != quality.features(word + b"-") != quality.features(word)
+    assert quality.features(b"a" * 70 + b"9") == quality.features(b"aa9") != quality.features(b"a" * 71)
+
+
 def test_toxicity_of_odd_tables(docs, nothing, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     scorer = toxicity.train(docs, labels)
