@@ -116,7 +116,7 @@ FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)"
 
 @query("op8_decontamination", _SQL_DECONTAMINATION)
 def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True)
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, s: n + (s["ends"] - s["starts"]).cast("long"))
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),

@@ -10,7 +10,7 @@ The benchmark is a stated set of queries: it is cut into blocks of bounded size,
 and meets every document once; what several blocks find is put together in the row, without a shuffle.
 
 Cases: null or empty texts have no words and are clean; items without words have no windows; equal
-items are all named; null ids of items are ignored.  Very long documents are read whole.  Repeated rows get the same result each.
+items are all named; items without an id are left out, or with ``unnamed`` hit like any other and are null in ``item_ids``.  Very long documents are read whole.  Repeated rows get the same result each.
 """
 
 from __future__ import annotations
@@ -62,22 +62,27 @@ def _counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, i
     return {bytes(r["word"]): r["n"] for r in found.collect()}  # no more rows than the block has words
 
 
+def in_order(names: set[str | None]) -> list[str | None]:
+    """Names in order, after the null of items without one."""
+    return sorted(names, key=lambda name: (name is not None, name or ""))
+
+
 class Block:
     """Windows of one block of items by their rarest word."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], size: int) -> None:
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int], size: int) -> None:
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, words in items:
             for window in windows_of(words, size):
                 owners[window].add(item)
-        self.owners = {window: sorted(names) for window, names in owners.items()}
+        self.owners = {window: in_order(names) for window, names in owners.items()}
         self.places: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
         for window in owners:
             offset = min(range(len(window)), key=lambda i: (counts.get(window[i], 0), window[i], i))
             self.places[window[offset]].add((offset, len(window)))
         self.places = {word: sorted(places) for word, places in self.places.items()}
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Stretches of words inside occurrences of windows, and the items they belong to."""
         stretches, items, places, owners = [], set(), self.places, self.owners
         for position in [i for i, word in enumerate(words) if word in places]:
@@ -111,14 +116,15 @@ def _found(prefix: str) -> list[T.StructField]:
 def contained(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     item: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, prefix: str = "",
+    unnamed: bool = False,
 ) -> DataFrame:
     """Columns ``keep``, ``n_words``, hit stretches (``starts``, ``ends``: word positions, end exclusive), ``item_ids``.
 
-    ``prefix`` goes before the names of the new columns.
+    ``prefix`` goes before the names of the new columns; ``unnamed`` takes items without an id as well.
     """
     items = benchmark.select(
         F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")
-    ).where("item is not null and text is not null")
+    ).where("text is not null" if unnamed else "item is not null and text is not null")
     n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     found = None
     for number in range(n_blocks):
@@ -152,7 +158,7 @@ def _step(df: DataFrame, block: Block, text: str, keep: tuple[str, ...], prefix:
                 n.append(len(words))
                 starts.append([a for a, _ in stretches])
                 ends.append([b for _, b in stretches])
-                items.append(sorted(names))
+                items.append(in_order(names))
             carried = [] if last else [batch.column(at)]
             return [*batch.columns[:at], *carried, n, starts, ends, items]
 
@@ -162,10 +168,12 @@ def _step(df: DataFrame, block: Block, text: str, keep: tuple[str, ...], prefix:
     return map_batches(source, T.StructType([*source.schema.fields[: len(keep)], *carried, *_found(prefix)]), make)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", unnamed: bool = False
+) -> DataFrame:
     """The documents, all columns, that hold no window of the benchmark."""
     prefix = "found_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    found = contained(docs, benchmark, text, tuple(docs.columns), item, item_text, prefix=prefix)
+    found = contained(docs, benchmark, text, tuple(docs.columns), item, item_text, prefix=prefix, unnamed=unnamed)
     return only(found.where(F.size(prefix + "starts") == 0), *docs.columns)

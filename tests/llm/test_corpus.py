@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -442,6 +443,23 @@ def test_decontamination_equals_brute_force(spark, docs, block_bytes):
     assert decontaminate.clean(every, bench.limit(0)).count() == every.count()
 
 
+def test_benchmark_items_without_an_id_hit(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    items = [("a", prose(50, 14)), (None, "only " + prose(51, 12)), (None, prose(50, 14)), (None, None), (None, "..."), ("b", prose(52, 11))]
+    texts = [prose(50, 14), "x only " + prose(51, 12), prose(52, 11) + " and only " + prose(51, 12), "clean", None]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["op8_decontamination"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert [tuple(r) for r in found] == db.execute(catalog.SQL["op8_decontamination"] + " ORDER BY doc_id").fetchall()
+    assert [r["contaminated"] for r in found] == [True, True, True, False, False]
+    kept = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
 # ---- exact duplicates
 
 
