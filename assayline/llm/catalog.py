@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, decontaminate, exact, lines, periodic, quality, secret_scan, simhash, templates, toxicity, warc
+from assayline.llm import bpe, collocations, decontaminate, exact, lines, periodic, quality, secret_scan, simhash, templates, toxicity, warc
 from assayline.llm.common import table
 from assayline.session import scratch_folder
 
@@ -177,3 +177,32 @@ def _periodic(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256",
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+_SQL_COLLOCATIONS = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS c
+    FROM (SELECT *, unnest([1, 2, 3]) AS k FROM i) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE c >= 10),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+p AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 1),
+cuts AS (SELECT p.lang, p.phrase, p.k, p.c AS a, x.c AS l, y.c AS r, j,
+      ((1000000::HUGEINT * p.c * p.c) // (x.c::HUGEINT * y.c))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM p) p
+    JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.s[1 : p.j], ' ')
+    JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.s[p.j + 1 : p.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(s[1:2], ' ') AS phrase, c AS a FROM p WHERE k = 3 UNION ALL
+    SELECT lang, array_to_string(s[2:3], ' '), c FROM p WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON b.k = 2 AND o.lang = b.lang AND o.phrase = b.phrase
+    WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op13_collocations", _SQL_COLLOCATIONS)
+def _collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), "text", "lang")
