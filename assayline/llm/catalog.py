@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, collocations, decontaminate, exact, lines, periodic, quality, secret_scan, simhash, templates, toxicity, warc
+from assayline.llm import bpe, collocations, decontaminate, exact, lines, periodic, quality, secret_scan, simhash, suffix_tree, templates, toxicity, warc
 from assayline.llm.common import table
 from assayline.session import scratch_folder
 
@@ -153,6 +153,17 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
 
 
+@query("op11_lm_scoring")
+def _language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model, words = suffix_tree.train(docs.where(~suffix_tree.held_out()), "text")
+    found = suffix_tree.scored(docs, model, words, "text", ("doc_id",))
+    return found.select(
+        "doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; where the id says so, the words from one place on repeat a few words from there."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
