@@ -118,6 +118,15 @@ def test_edit_distance(spark, edits):
         assert d == distance(x, y) if distance(x, y) <= edits else d > edits
 
 
+def components(links):
+    """The smallest name that each linked name reaches."""
+    root = {x: x for pair in links for x in pair}
+    while any(root[x] != root[y] for x, y in links):
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    return root
+
+
 @pytest.mark.parametrize("most_shared", [2, 24])
 def test_line_join_equals_brute_force(spark, most_shared):
     rng = np.random.default_rng(9)
@@ -136,9 +145,10 @@ def test_line_join_equals_brute_force(spark, most_shared):
         first.setdefault(x, (d, i))
     long = [x for x in first if len(x) >= lines.SHORTEST_NEAR]
     links = [(x, y) for n, x in enumerate(long) for y in long[n + 1 :] if distance(x, y) <= 2]
-    assert join.links.count() == len(links)
-    near = {y for x, y in links if first[x] < first[y]} | {x for x, y in links if first[y] < first[x]}
-    gone = {(d, i, x) for d, i, x in places if first[x] != (d, i) or x in near}
+    root = components(links)
+    rep = {x: min((y for y in root if root[y] == root[x]), key=first.get) for x in root}
+    assert join.classes.count() == len(root)
+    gone = {(d, i, x) for d, i, x in places if first[x] != (d, i) or rep.get(x, x) != x}
     assert {(r["doc"], r["line_no"]) for r in join.removals().collect()} == {(d, i) for d, i, _ in gone}
     kept = Counter()
     for d, t, other in rows:
@@ -148,11 +158,30 @@ def test_line_join_equals_brute_force(spark, most_shared):
     assert Counter(tuple(r) for r in join.cleaned().collect()) == kept
     report = join.report().collect()
     assert len(report) == len(rows)
-    by_text = Counter(x for pair in links for x in pair)
+    by_text = Counter(y for x in root if rep[x] != x for y in (x, rep[x]))
+    class_of = components([(d, first[rep.get(x, x)][0]) for d, i, x in gone])
+    assert {r["doc_id"]: r["class_id"] for r in report} == {d: class_of.get(d, d) for d, _, _ in rows}
     expected = Counter(d for d, _, x in places for _ in range(by_text[x]))
     assert {r["doc_id"]: r["n_links"] for r in report if r["doc_id"] is not None} == {d: expected[d] for d, _, _ in rows if d is not None}
 
 
+def test_variants_of_a_line_cost_in_proportion(spark):
+    """300 lines that differ in one letter each: all in one class, and no more pairs than lines in the verification."""
+    base = prose(7, 12)
+    texts = [base[:i] + c + base[i + 1 :] for i in range(5, 35) for c in "0123456789"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    compared = []
+
+    class Counted(lines.LineJoin):
+        def _verified(self, pairs, known):
+            compared.append(pairs.where("a <> c").select(F.least("a", "c"), F.greatest("a", "c")).distinct().count())
+            return super()._verified(pairs, known)
+
+    join = Counted(df, "text", "doc_id")
+    assert join.removals().count() == 299 and {r["class_id"] for r in join.report().collect()} == {0}
+    assert sum(compared) < 30 * len(texts)
+
+
 def test_line_join_of_odd_tables(docs, nothing):
     join = lines.LineJoin(docs, "text", "doc_id")
     assert join.cleaned().count() == docs.count() and join.cleaned().columns == docs.columns
