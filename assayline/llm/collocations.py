@@ -21,9 +21,13 @@ an empty result.  Only the text and the language are read, so other columns may
 from __future__ import annotations
 
 import zlib
+from collections import _count_elements, defaultdict  # the counting loop of Counter, without its objects
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ from assayline.session import ship_package
 
 #: Entries of a container before it bursts, entries of a task before subtrees are spilled, words that it numbers at a time.
 BURST, MOST_ENTRIES, MOST_WORDS = 4096, 1 << 19, 1 << 19
-#: Pieces of a text that are entered before the size of the trie is looked at.
-MOST_PIECES = 4096
+#: Words that are entered before the size of the trie is looked at.
+MOST_TOKENS = 1 << 17
 #: Bytes of text per partition of prefixes.
 PARTITION_BYTES = 4 << 20
 LEAST_COUNT, TOP = 10, 2000
@@ -44,126 +48,162 @@ _LOW = (1 << 32) - 1
 _SALTS = 64
 
 
+class Burst(dict):
+    """Containers (third -> count) by second word, instead of one container that had grown too large."""
+
+
 class HatTrie:
-    """Counts of (first word, up to two words that follow it) per language, with words as numbers from 1; 0 is no word."""
+    """Counts of (first word, up to two words that follow it) for one language, with words as numbers; 0 is no word.
+
+    Under each first word lies a container (second << 32 | third -> count) or, after a burst, a container (third -> count) per second word.
+    """
 
     def __init__(self) -> None:
-        self.roots: dict[str, dict[int, dict]] = {}  # language -> first word -> container, or (burst) second word -> container
-        self.burst: set[tuple[str, int]] = set()
-        self.numbers: dict[bytes, int] = {}
+        self.root: dict[int, dict] = {}
         self.entries = 0
 
-    def add(self, lang: str, pieces: list[bytes]) -> None:
-        root = self.roots.setdefault(lang, {})
-        numbers, new = self.numbers, 0
-        for piece in pieces:
-            ids = [numbers.setdefault(word, len(numbers) + 1) for word in piece.split()]  # only spaces are left to split at
-            for a, b, c in zip(ids, [*ids[1:], 0], [*ids[2:], 0, 0]):
-                box = root.get(a)
-                if box is None:
-                    box = root[a] = {}
-                key = b << 32 | c
-                if key in box:
-                    box[key] += 1
-                elif box.get(-1) is None:
-                    box[key] = 1
-                    new += 1
-                    if len(box) > BURST:
-                        self._burst(lang, root, a)
-                else:
-                    below = box.setdefault(~b, {})
-                    if c in below:
-                        below[c] += 1
-                    else:
-                        below[c] = 1
-                        new += 1
-        self.entries += new
-
-    def _burst(self, lang: str, root: dict[int, dict], first: int) -> None:
-        """Give every second word a container of its own; key -1 (no second word) marks a box that has burst."""
-        apart: dict[int, dict] = {-1: {}}
-        for key, n in root[first].items():
-            apart.setdefault(~(key >> 32), {})[key & _LOW] = n
-        root[first] = apart
-        self.burst.add((lang, first))
-
-    def size(self, lang: str, first: int) -> int:
-        box = self.roots[lang][first]
-        return sum(map(len, box.values())) if (lang, first) in self.burst else len(box)
-
-    def take(self, lang: str, first: int) -> Iterator[tuple[int, int, int]]:
-        """Remove a subtree: second word, third word and count of its entries."""
-        box = self.roots[lang].pop(first)
-        if (lang, first) in self.burst:
-            self.burst.remove((lang, first))
-            for second, below in box.items():
-                yield from ((~second, third, n) for third, n in below.items())
-        else:
-            yield from ((key >> 32, key & _LOW, n) for key, n in box.items())
-
-    def largest(self, share: float) -> list[tuple[str, int]]:
-        """The largest subtrees, with ``share`` of all entries or more together."""
-        sizes = sorted(((self.size(lang, w), lang, w) for lang, root in self.roots.items() for w in root), reverse=True)
-        taken, out = 0, []
-        for n, lang, word in sizes:
-            if taken >= share * self.entries and share < 1:
-                break
-            taken += n
-            out.append((lang, word))
-        return out
-
-
-def _sorted_runs(trie: HatTrie, subtrees: list[tuple[str, int]], partitions: int) -> Iterator[tuple[int, str, int, bytes]]:
+    def add(self, ids: np.ndarray) -> None:
+        """Enter a sequence of words; two zeros stand after each piece of text."""
+        first, keys = ids[:-2], ids[1:-1] << 32 | ids[2:]
+        first, keys = first[first > 0], keys[first > 0]
+        by = np.argsort(first, kind="stable")
+        first, keys = first[by], keys[by]
+        cuts = np.flatnonzero(np.diff(first)) + 1
+        bounds = [0, *cuts.tolist(), len(first)] if len(first) else []
+        listed = keys.tolist()
+        for start, stop, word in zip(bounds, bounds[1:], first[bounds[:-1]].tolist()):
+            box = self.root.get(word)
+            if box is None:
+                box = self.root[word] = {}
+            elif type(box) is Burst:
+                self._below(box, np.sort(keys[start:stop]))
+                continue
+            size = len(box)
+            _count_elements(box, listed[start:stop])
+            self.entries += len(box) - size
+            if len(box) > BURST:
+                self._burst(word, box)
+
+    def _burst(self, word: int, box: dict[int, int]) -> None:
+        apart = Burst()
+        for key, n in box.items():
+            apart.setdefault(key >> 32, {})[key & _LOW] = n
+        self.root[word] = apart
+
+    def _below(self, boxes: Burst, keys: np.ndarray) -> None:
+        second, third = keys >> 32, (keys & _LOW).tolist()
+        bounds = [0, *(np.flatnonzero(np.diff(second)) + 1).tolist(), len(keys)]
+        for start, stop, word in zip(bounds, bounds[1:], second[bounds[:-1]].tolist()):
+            box = boxes.setdefault(word, {})
+            size = len(box)
+            _count_elements(box, third[start:stop])
+            self.entries += len(box) - size
+
+    def largest(self, share: float) -> list[int]:
+        """First words of the largest subtrees, with ``share`` of all entries or more together."""
+        words = np.fromiter(self.root, "int64", len(self.root))
+        sizes = np.fromiter((sum(map(len, b.values())) if type(b) is Burst else len(b) for b in self.root.values()), "int64", len(words))
+        by = np.argsort(-sizes, kind="stable")
+        before = np.cumsum(sizes[by]) - sizes[by]
+        return words[by][before < share * self.entries].tolist()
+
+    def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Remove whole subtrees: first word, key and count of their entries, subtree by subtree."""
+        keys: list[int] = []
+        counts: list[int] = []
+        sizes = []
+        for word in words:
+            box, size = self.root.pop(word), len(keys)
+            if type(box) is Burst:
+                for second, below in box.items():
+                    keys += [second << 32 | third for third in below]
+                    counts += below.values()
+            else:
+                keys += box
+                counts += box.values()
+            sizes.append(len(keys) - size)
+        self.entries -= len(keys)
+        return np.repeat(np.array(words, "int64"), sizes), np.array(keys, "int64"), np.array(counts, "int64")
+
+
+def _sorted_runs(trie: HatTrie, subtrees: list[int], lang: str, numbers: dict[bytes, int], partitions: int) -> Iterator[tuple[int, str, int, bytes]]:
     """(partition, language, bytes, packed run): lines ``first second third<tab>count``, or ``word<tab>count`` for a word by itself."""
-    words = [b"", *trie.numbers]
-    runs: dict[tuple[int, str], list[bytes]] = {}
-    for lang, first in subtrees:
-        a, total, spilled, places = words[first], 0, 0, {}
-        seed = zlib.crc32(a, zlib.crc32(lang.encode()))
-        for second, third, n in trie.take(lang, first):
-            total += n
-            spilled += 1
-            if second:
-                place = places.get(second)
-                if place is None:
-                    b = words[second]
-                    run = runs.setdefault((zlib.crc32(b, seed) % partitions, lang), [])
-                    place = places[second] = (run.append, b"%b %b " % (a, b))
-                place[0](b"%b%b\t%d" % (place[1], words[third], n))
-        runs.setdefault((seed % partitions, lang), []).append(b"%b\t%d" % (a, total))
-        trie.entries -= spilled
+    if not subtrees:
+        return
+    words = [b"", *islice(numbers, 1, None)]
+    first, keys, counts = trie.take(subtrees)
+    second, third = keys >> 32, keys & _LOW
+    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    seed = np.uint64(zlib.crc32(lang.encode()))
+
+    def partition(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        mixed = (hashes[a] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[b]) * np.uint64(0xC2B2AE3D27D4EB4F) + seed
+        return ((mixed >> np.uint64(20)) % np.uint64(partitions)).astype("int64")
+
+    opens = np.r_[True, np.diff(first) != 0]
+    single, total = first[opens], np.add.reduceat(counts, np.flatnonzero(opens))
+    phrase = second > 0  # a word by itself is in its total
+    first, second, third, counts = first[phrase], second[phrase], third[phrase], counts[phrase]
+    known = pa.array(words, pa.binary())
+    rank = np.empty(len(words), "int64")
+    rank[pc.array_sort_indices(known).to_numpy()] = np.arange(len(words))
     codec = pa.Codec("zstd")
-    for (partition, lang), lines in runs.items():
-        lines.sort()
-        raw = b"\n".join(lines)
-        yield partition, lang, len(raw), codec.compress(raw, asbytes=True)
+    for place, parts, n in ((partition(first, second), (first, second, third), counts), (partition(single, np.zeros_like(single)), (single,), total)):
+        by = np.lexsort((*[rank[p] for p in reversed(parts)], place))
+        place = place[by]
+        names = [known.take(pa.array(p[by])) for p in parts]
+        times = pa.array(n[by]).cast(pa.string()).cast(pa.binary())
+        phrases = pc.binary_join_element_wise(*names, b" ") if len(names) > 1 else names[0]
+        lines = pc.binary_join_element_wise(pc.binary_join_element_wise(phrases, times, b"\t"), b"", b"\n")
+        if not len(lines):
+            continue
+        offsets = np.frombuffer(lines.buffers()[1], "i4")[lines.offset : lines.offset + len(lines) + 1]
+        data = lines.buffers()[2]
+        bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        for start, stop in zip(bounds, bounds[1:]):
+            a, b = int(offsets[start]), int(offsets[stop])
+            yield int(place[start]), lang, b - a, codec.compress(data.slice(a, b - a), asbytes=True)
 
 
 def _spilled(batches: Iterable[pa.RecordBatch], partitions: int, most: int) -> Iterator[pa.RecordBatch]:
-    trie = HatTrie()
+    tries: dict[str, HatTrie] = defaultdict(HatTrie)
+    numbers: dict[bytes, int] = {}
+
+    def restart():
+        nonlocal numbers
+        numbers = defaultdict(count().__next__)
+        numbers[b"\n"]  # the sign between pieces is number 0
 
-    def rows(subtrees):
+    def rows(share: float) -> Iterator[pa.RecordBatch]:
         part, size = [], 0
-        for row in _sorted_runs(trie, subtrees, partitions):
-            part.append(row)
-            size += len(row[3])
-            if size > 8 << 20 or len(part) >= 4096:
-                yield _run_batch(part)
-                part, size = [], 0
+        for lang, trie in tries.items():
+            for row in _sorted_runs(trie, trie.largest(share), lang, numbers, partitions):
+                part.append(row)
+                size += len(row[3])
+                if size > 8 << 20 or len(part) >= 4096:
+                    yield _run_batch(part)
+                    part, size = [], 0
         if part:
             yield _run_batch(part)
 
+    restart()
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-            pieces = text.lower().translate(_PIECES).split(b"\n")
-            for start in range(0, len(pieces), MOST_PIECES):
-                trie.add(lang, pieces[start : start + MOST_PIECES])
-                if len(trie.numbers) > MOST_WORDS:
-                    yield from rows(trie.largest(1.0))
-                    trie.numbers.clear()
-                elif trie.entries > most:
-                    yield from rows(trie.largest(0.5))
-    yield from rows(trie.largest(1.0))
+        for start in range(0, batch.num_rows, 256):
+            waiting: dict[str, list[bytes]] = defaultdict(list)
+            for lang, text in zip(batch.column(0).slice(start, 256).to_pylist(), as_bytes(batch.column(1).slice(start, 256))):
+                marked = text.lower().translate(_PIECES).replace(b"\n", b" \n \n ")
+                waiting[lang] += filter(None, marked.split(b" "))
+                waiting[lang] += (b"\n", b"\n")
+            for lang, tokens in waiting.items():
+                for at in range(0, len(tokens), MOST_TOKENS):  # what follows a word may lie in the next part
+                    part = tokens[at : at + MOST_TOKENS + 2]
+                    tries[lang].add(np.fromiter(map(numbers.__getitem__, part), "int64", len(part)))
+                    if len(numbers) > MOST_WORDS:
+                        yield from rows(1.0)
+                        restart()
+                    elif sum(t.entries for t in tries.values()) > most:
+                        yield from rows(0.75)
+    yield from rows(1.0)
 
 
 def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,8 +215,8 @@ def _merged(table: pa.Table, least: int) -> pa.Table:
     """Phrases of a prefix partition that occur ``least`` times or more, and (as phrases of no word) its words per language."""
     out: tuple[list, list, list, list] = ([], [], [], [])
 
-    def put(lang, phrase, words, count):
-        for column, value in zip(out, (lang, phrase, words, count)):
+    def put(lang, phrase, words, times):
+        for column, value in zip(out, (lang, phrase, words, times)):
             column.append(value)
 
     codec = pa.Codec("zstd")
@@ -187,38 +227,38 @@ def _merged(table: pa.Table, least: int) -> pa.Table:
     for lang, places in by_lang.items():
         lines: list[bytes] = []
         for i in places:
-            lines += codec.decompress(runs[i].as_buffer(), sizes[i].as_py(), asbytes=True).split(b"\n")
+            lines += codec.decompress(runs[i].as_buffer(), sizes[i].as_py(), asbytes=True).split(b"\n")[:-1]
         lines.sort()  # merges the runs, which are sorted already
-        everything, pair, in_pair, key, count = 0, b"", 0, b"", 0
+        everything, pair, in_pair, key, times = 0, b"", 0, b"", 0
         for line in [*lines, b" \t0"]:  # the last line closes the last groups
             found, _, n = line.rpartition(b"\t")
             if found == key:
-                count += int(n)
+                times += int(n)
                 continue
-            if count:
+            if times:
                 words = key.count(b" ")  # a line for phrases has two spaces, for a word by itself none
                 if not words:
-                    everything += count
-                    if count >= least:
-                        put(lang, key, 1, count)
+                    everything += times
+                    if times >= least:
+                        put(lang, key, 1, times)
                 else:
-                    if not key.endswith(b" ") and count >= least:
-                        put(lang, key, 3, count)
+                    if not key.endswith(b" ") and times >= least:
+                        put(lang, key, 3, times)
                     prefix = key[: key.rindex(b" ")]
                     if prefix != pair:
                         if in_pair >= least:
                             put(lang, pair, 2, in_pair)
                         pair, in_pair = prefix, 0
-                    in_pair += count
-            key, count = found, int(n)
+                    in_pair += times
+            key, times = found, int(n)
         if in_pair >= least:
             put(lang, pair, 2, in_pair)
         if everything:
             put(lang, b"", 0, everything)
-    lang, phrase, words, count = out
+    lang, phrase, words, times = out
     return pa.table({
         "lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()),
-        "words": pa.array(words, pa.int32()), "count": pa.array(count, pa.int64()),
+        "words": pa.array(words, pa.int32()), "count": pa.array(times, pa.int64()),
     })
 
 
