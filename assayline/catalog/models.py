@@ -6,12 +6,16 @@ of the operators are larger.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import log, pi
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from assayline.catalog.registry import query, rounded, sql_rounded
 from assayline.operators import boosting as B
+from assayline.operators import trees as T
 from assayline.operators.ensemble_outliers import outlier_samples
 from assayline.operators.features import spread_array
 from assayline.operators.impute import impute_mixture
@@ -523,23 +527,136 @@ def staged_scores(spark, folder):
     return B.staged_scores(votes, "vec_id").withColumn("error", rounded("error"))
 
 
+@lru_cache(maxsize=4)
+def _boosted(application: str, folder: str, kind: str):
+    """The whole models, which several queries read from."""
+    train, _ = _three_classes(SparkSession.active(), folder)
+    fit = {"votes": T.fit_adaboost, "sums": T.fit_gradient_boost}[kind]
+    return fit(train.withColumn("x", vector_to_array("x")), "x", "label")
+
+
+def _model(spark, folder, kind):
+    return _boosted(spark.sparkContext.applicationId, folder, kind)
+
+
+def _held_out(spark, folder):
+    return _three_classes(spark, folder)[1].withColumn("x", vector_to_array("x"))
+
+
 @query("adaboost_stages")
 def adaboost_stages(spark, folder):
-    train, test = _three_classes(spark, folder)
-    _, votes = B.adaboost(train, test, "vec_id", rounds=5)
-    return B.staged_scores(votes, "vec_id")
+    return _model(spark, folder, "votes").staged_errors(_held_out(spark, folder), "x", "label")
 
 
 @query("adaboost_learners")
 def adaboost_learners(spark, folder):
-    train, test = _three_classes(spark, folder)
-    return B.adaboost(train, test, "vec_id", rounds=5)[0]
+    return _model(spark, folder, "votes").learner_table(spark)
 
 
 @query("gradient_boost_stages")
 def gradient_boost_stages(spark, folder):
-    train, test = _three_classes(spark, folder)
-    return B.gradient_boost(train, test, "vec_id", rounds=3)
+    return _model(spark, folder, "sums").staged_errors(_held_out(spark, folder), "x", "label")
+
+
+@query("boosted_predictions")
+def boosted_predictions(spark, folder):
+    return _model(spark, folder, "sums").predict(_held_out(spark, folder), "x", ["vec_id"]).select("vec_id", "prediction")
+
+
+_STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_STUMP_ROWS = (
+    "rows AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id, "
+    "CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice < 40000 THEN 1 ELSE 2 END AS y, "
+    "[" + ", ".join(f"{c}::DOUBLE" for c in _STUMP_FEATURES) + "] AS x FROM lineitem)"
+)
+
+
+def _priced(spark, folder):
+    price = F.col("l_extendedprice")
+    y = F.when(price < 20000, 0).when(price < 40000, 1).otherwise(2).alias("y")
+    return read_table(spark, folder, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _STUMP_FEATURES], y)
+
+
+def _sql_class_stump(n: int, weight: str) -> str:
+    """CTEs s{n} (f, cut, left, right: the best split and its classes) and p{n} (id, y, w, miss) from weights w{n} (id, y, x, w)."""
+    return f"""
+w{n} AS ({weight}),
+h{n} AS (SELECT f, x[f] AS v, y, sum(w) AS w FROM w{n}, range(1, 5) t(f) GROUP BY ALL),
+l{n} AS (SELECT c.f, c.v AS cut, h.y, sum(CASE WHEN h.v <= c.v THEN h.w ELSE 0 END) AS l, sum(h.w) AS t
+  FROM (SELECT DISTINCT f, v FROM h{n}) c JOIN h{n} h USING (f) GROUP BY ALL),
+g{n} AS (SELECT f, cut, (sum(l * l) / sum(l) + sum((t - l) * (t - l)) / sum(t - l) - sum(t * t) / sum(t)) / sum(t) AS gain,
+  arg_max(y, (l, -y)) AS lefty, arg_max(y, (t - l, -y)) AS righty FROM l{n} GROUP BY f, cut HAVING sum(t - l) > 0),
+s{n} AS (SELECT * FROM g{n} ORDER BY round(gain, 9) DESC, f, cut LIMIT 1),
+p{n} AS (SELECT id, y, x, w, (y <> CASE WHEN x[s.f] <= s.cut THEN s.lefty ELSE s.righty END) AS miss FROM w{n}, s{n} s),
+e{n} AS (SELECT sum(CASE WHEN miss THEN w ELSE 0 END) / sum(w) AS e FROM p{n}),
+a{n} AS (SELECT e, ln((1 - e) / e) + ln(2.0) AS a FROM e{n})"""
+
+
+_SQL_ADABOOST_STUMPS = (
+    f"WITH {_STUMP_ROWS}, {_sql_class_stump(1, 'SELECT id, y, x, 1.0::DOUBLE AS w FROM rows')}, "
+    f"{_sql_class_stump(2, 'SELECT id, y, x, w * CASE WHEN miss THEN exp(a) ELSE 1 END AS w FROM p1, a1')} "
+    + " UNION ALL ".join(
+        f"SELECT {n}::INTEGER AS round, (s.f - 1)::INTEGER AS feature, {r('s.cut')} AS threshold, {r('a.e')} AS error, {r('a.a')} AS weight FROM s{n} s, a{n} a"
+        for n in (1, 2)
+    )
+)
+
+
+@query("adaboost_stumps", _SQL_ADABOOST_STUMPS)
+def adaboost_stumps(spark, folder):
+    model = T.fit_adaboost(_priced(spark, folder), _STUMP_FEATURES, "y", rounds=2, depth=1)
+    found = model.splits(spark).join(model.learner_table(spark), "round")
+    return found.select("round", "feature", *[rounded(c).alias(c) for c in ("threshold", "error", "weight")])
+
+
+@query(
+    "tree_stump_error",
+    f"WITH {_STUMP_ROWS}, {_sql_class_stump(1, 'SELECT id, y, x, 1.0::DOUBLE AS w FROM rows')} SELECT {r('e')} AS error FROM e1",
+)
+def tree_stump_error(spark, folder):
+    rows = _priced(spark, folder)
+    model = T.fit_tree(rows, _STUMP_FEATURES, "y", depth=1)
+    return model.staged_errors(rows, _STUMP_FEATURES, "y").select(rounded("error").alias("error"))
+
+
+def _sql_residual_stumps(n: int, scores: str) -> str:
+    """CTEs for the three regression stumps of a round, from scores f{n} (id, y, x, c, f): s{n} (c, f, cut, left, right) and the next scores."""
+    return f"""
+f{n} AS ({scores}),
+q{n} AS (SELECT id, y, x, c, f, exp(f) / sum(exp(f)) OVER (PARTITION BY id) AS p FROM f{n}),
+r{n} AS (SELECT *, (CASE WHEN y = c THEN 1 ELSE 0 END) - p AS r FROM q{n}),
+h{n} AS (SELECT c, k, x[k] AS v, count(*) AS n, sum(r) AS r, sum(abs(r) * (1 - abs(r))) AS d FROM r{n}, range(1, 5) t(k) GROUP BY ALL),
+l{n} AS (SELECT a.c, a.k, a.v AS cut, sum(CASE WHEN h.v <= a.v THEN h.n ELSE 0 END) AS ln, sum(CASE WHEN h.v <= a.v THEN h.r ELSE 0 END) AS lr,
+  sum(CASE WHEN h.v <= a.v THEN h.d ELSE 0 END) AS ld, sum(h.n) AS tn, sum(h.r) AS tr, sum(h.d) AS td FROM h{n} a JOIN h{n} h USING (c, k) GROUP BY ALL),
+s{n} AS (SELECT *, 0.1 * 2 / 3 * lr / ld AS lefty, 0.1 * 2 / 3 * (tr - lr) / (td - ld) AS righty FROM l{n} WHERE tn > ln
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY round((lr * lr / ln + (tr - lr) * (tr - lr) / (tn - ln) - tr * tr / tn) / tn, 9) DESC, k, cut) = 1)"""
+
+
+_SQL_GRADIENT_STUMPS = (
+    f"WITH {_STUMP_ROWS}, {_sql_class_stump(0, 'SELECT id, y, x, 1.0::DOUBLE AS w FROM rows')}, "
+    "shares AS (SELECT w.x[s.f] <= s.cut AS low, c, avg(CASE WHEN y = c THEN 1.0::DOUBLE ELSE 0 END) AS share FROM w0 w, s0 s, range(0, 3) t(c) GROUP BY ALL), "
+    + _sql_residual_stumps(
+        1,
+        f"SELECT w.id, w.y, w.x, h.c, ln(least(greatest(h.share, {float.fromhex('0x1p-23')!r}), {1 - float.fromhex('0x1p-23')!r})) AS f "
+        "FROM w0 w, s0 s, shares h WHERE h.low = (w.x[s.f] <= s.cut)",
+    )
+    + ", "
+    + _sql_residual_stumps(2, "SELECT r.id, r.y, r.x, r.c, r.f + CASE WHEN r.x[s.k] <= s.cut THEN s.lefty ELSE s.righty END AS f FROM r1 r JOIN s1 s USING (c)")
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT {n}::INTEGER AS round, c::INTEGER AS tree, (k - 1)::INTEGER AS feature, {r('cut')} AS threshold, {r('lefty')} AS below, {r('righty')} AS above FROM s{n}"
+        for n in (1, 2)
+    )
+)
+
+
+@query("gradient_boost_stumps", _SQL_GRADIENT_STUMPS)
+def gradient_boost_stumps(spark, folder):
+    model = T.fit_gradient_boost(_priced(spark, folder), _STUMP_FEATURES, "y", rounds=2, depth=1)
+    leaves = [(n, c, float(t.values[0, 0]), float(t.values[1, 0])) for n, trees in enumerate(model.trees, 1) for c, t in enumerate(trees)]
+    leaves = spark.createDataFrame(leaves, "round int, tree int, below double, above double")
+    found = model.splits(spark).join(leaves, ["round", "tree"])
+    return found.select("round", "tree", "feature", *[rounded(c).alias(c) for c in ("threshold", "below", "above")])
 
 
 @query("relevant_features")

@@ -1,22 +1,16 @@
-"""Trees, the majority baseline, and stagewise boosting."""
+"""Tables of labels, votes and errors around the boosted trees of :mod:`assayline.operators.trees`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import feature_array, is_complete
-from assayline.session import cut_lineage
-
-TREE_DEPTH = 3  # at most 8 leaves
-CUT_EVERY = 5  # rounds between two writes of the row weights
-MAX_CLASSES = 1_000
+from assayline.operators.trees import MAX_CLASSES, TREE_DEPTH, TreeModel, binned, fit_adaboost, fit_gradient_boost, fit_tree
+from assayline.plans.scans import feature_array, is_complete, map_rows
 
 
 def as_vectors(df: DataFrame, id_col: str, features: Sequence[str] | str, label: str) -> DataFrame:
@@ -26,11 +20,9 @@ def as_vectors(df: DataFrame, id_col: str, features: Sequence[str] | str, label:
     return complete.select(F.col(id_col), F.col(label).cast("double").alias("label"), vector.alias("x"))
 
 
-def _classes(rows: DataFrame) -> int:
-    top = rows.agg(F.max("label")).first()[0]
-    if top is None or top >= MAX_CLASSES:
-        raise ValueError(f"labels must be 0 .. {MAX_CLASSES - 1}")
-    return int(top) + 1
+def _arrays(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`as_vectors` with arrays for vectors."""
+    return rows.withColumn("x", vector_to_array("x")) if dict(rows.dtypes)["x"] == "vector" else rows
 
 
 def misclassification(df: DataFrame, label: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -50,143 +42,64 @@ def majority_error(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     return test.agg(F.avg((F.col(label) != F.lit(winner)).cast("double")).alias("error"))
 
 
-def fit_tree(rows: DataFrame, weight: str | None = None, depth: int = TREE_DEPTH, seed: int = 0) -> DecisionTreeClassificationModel:
-    """Decision tree on (label, x) with at most ``2 ** depth`` leaves."""
-    tree = DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, seed=seed)
-    return (tree.setWeightCol(weight) if weight else tree).fit(rows)
-
-
 def tree_error(train: DataFrame, test: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """Error of one tree on the test rows: (error)."""
-    return misclassification(fit_tree(train, depth=depth).transform(test), "label", "prediction")
+    return fit_tree(_arrays(train), "x", "label", depth).staged_errors(_arrays(test), "x", "label").select("error")
 
 
 def staged_scores(votes: DataFrame, id_col: str) -> DataFrame:
     """Error of the weighted vote after each round: (round, error).
 
     ``votes`` holds (id, label, round, prediction, weight); the class with the largest
-    summed weight so far wins, the smallest class on a tie.
+    summed weight so far wins, the smallest class on a tie.  The votes of a row (one per round) are gathered once and tallied in place.
     """
     classes = [r[0] for r in votes.select("prediction").distinct().limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    every = votes.withColumn("class", F.explode(F.array(*[F.lit(c) for c in sorted(classes)])))
-    given = F.when(F.col("prediction") == F.col("class"), F.col("weight")).otherwise(F.lit(0.0))
-    upto = Window.partitionBy(id_col, "class").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    tally = every.withColumn("_votes", F.sum(given).over(upto))
-    winner = tally.groupBy(id_col, "label", "round").agg(
-        F.max(F.struct("_votes", (-F.col("class")).alias("c"))).alias("w")
-    )
-    wrong = (-F.col("w")["c"] != F.col("label")).cast("double")
-    return winner.groupBy("round").agg(F.avg(wrong).alias("error"))
+    names = F.array(*[F.lit(float(c)) for c in sorted(classes)])
+    gathered = votes.groupBy(id_col, "label").agg(F.sort_array(F.collect_list(F.struct("round", F.col("prediction").cast("double").alias("p"), "weight"))).alias("v"))
+
+    def tally(state, vote):
+        sums = F.transform(state["sums"], lambda s, i: s + F.when(F.get(names, i) == vote["p"], vote["weight"]).otherwise(0.0))
+        return F.struct(sums.alias("sums"), F.concat(state["winners"], F.array(F.get(names, F.array_position(sums, F.array_max(sums)).cast("int") - 1))).alias("winners"))
+
+    start = F.struct(F.transform(names, lambda c: c * 0.0).alias("sums"), F.slice(names, 1, 0).alias("winners"))
+    winners = F.aggregate("v", start, tally, lambda s: s["winners"])
+    each = gathered.select("label", F.explode(F.arrays_zip(F.col("v.round").alias("round"), winners.alias("winner"))).alias("e"))
+    return each.groupBy("e.round").agg(F.avg((F.col("e.winner") != F.col("label")).cast("double")).alias("error"))
+
+
+def votes_of(model: TreeModel, rows: DataFrame, id_col: str) -> DataFrame:
+    """What each tree of a voting model says of each row: (id, label, round, prediction, weight)."""
+    weights = [weight for _, _, weight in model.learners]
+
+    def predicted(batch):
+        codes = binned(batch["x"], model.edges)
+        return {"p": np.column_stack([t.outputs(codes).argmax(1) for t, in model.trees]).astype(float)}
+
+    if not weights:  # no learner better than chance: nobody votes
+        none = [F.lit(0).alias("round"), F.lit(0.0).alias("prediction"), F.lit(0.0).alias("weight")]
+        return rows.select(id_col, "label", *none).limit(0)
+    every = map_rows(_arrays(rows), [id_col, "label"], ["x"], predicted, "p array<double>")
+    cast = every.select(id_col, "label", F.posexplode("p").alias("round", "prediction"))
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.col("round"))
+    return cast.select(id_col, "label", (F.col("round") + 1).alias("round"), "prediction", weight.alias("weight"))
 
 
 def adaboost(
-    train: DataFrame, test: DataFrame, id_col: str, rounds: int = 300, depth: int = TREE_DEPTH, seed: int = 42,
+    train: DataFrame, test: DataFrame, id_col: str, rounds: int = 300, depth: int = TREE_DEPTH,
 ) -> tuple[DataFrame, DataFrame]:
-    """Multiclass stagewise additive boosting of small trees (Zhu et al., 2009).
+    """Multiclass stagewise additive boosting; see :func:`assayline.operators.trees.fit_adaboost` for the model itself.
 
     ``train`` and ``test`` come from :func:`as_vectors`.  Returns the learners (round,
     error, weight) and the test votes (id, label, round, prediction, weight).
-    Boosting stops early at a perfect learner or one no better than chance.
     """
-    classes = _classes(train)
-    rows = train.withColumn("_w", F.lit(1.0))
-    votes = test
-    learners: list[tuple[int, float, float]] = []
-    for number in range(1, rounds + 1):
-        model = fit_tree(rows, "_w", depth, seed + number).setPredictionCol("_p")
-        scored = model.transform(rows).drop("rawPrediction", "probability")
-        missed = F.col("_p") != F.col("label")
-        total, wrong = scored.agg(F.sum("_w"), F.sum(F.when(missed, F.col("_w")).otherwise(0.0))).first()
-        error = wrong / total
-        if error >= 1.0 - 1.0 / classes:
-            break
-        weight = float(np.log((1.0 - error) / error) + np.log(classes - 1.0)) if error > 0 else 1.0
-        learners.append((number, float(error), weight))
-        votes = model.setPredictionCol(f"p{number}").transform(votes).drop("rawPrediction", "probability")
-        if error <= 0:
-            break
-        # divided by their sum so that the weights keep a stable size
-        grown = F.when(missed, F.col("_w") * F.lit(float(np.exp(weight)))).otherwise(F.col("_w"))
-        rows = scored.withColumn("_w", grown * F.lit(1.0 / total)).select(*train.columns, "_w")
-        if number % CUT_EVERY == 0:
-            rows, votes = cut_lineage(rows), cut_lineage(votes)
-    table = train.sparkSession.createDataFrame(learners, "round int, error double, weight double")
-    if not learners:  # no learner better than chance: nobody votes
-        none = [F.lit(0).alias("round"), F.lit(0.0).alias("prediction"), F.lit(0.0).alias("weight")]
-        return table, test.select(id_col, "label", *none).limit(0)
-    cast = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("round"), F.col(f"p{n}").alias("prediction"), F.lit(w).alias("weight"))
-        for n, _, w in learners
-    ]))
-    return table, votes.select(id_col, "label", cast.alias("v")).select(id_col, "label", "v.*")
+    model = fit_adaboost(_arrays(train), "x", "label", rounds, depth)
+    return model.learner_table(train.sparkSession), votes_of(model, test, id_col)
 
 
 def gradient_boost(
-    train: DataFrame, test: DataFrame, id_col: str, rounds: int = 300, rate: float = 0.1, depth: int = TREE_DEPTH,
-    seed: int = 42,
+    train: DataFrame, test: DataFrame, id_col: str | None = None, rounds: int = 300, rate: float = 0.1, depth: int = TREE_DEPTH,
 ) -> DataFrame:
-    """Multiclass gradient boosting on softmax residuals (Friedman, 2001), started from one tree.
-
-    Every round fits one regression tree per class; its leaves take the Newton
-    value of their rows.  Returns the staged test error: (round, error).
-    """
-    classes = _classes(train)
-    first = fit_tree(train, depth=depth, seed=seed)
-    tiny = float(np.finfo(np.float32).eps)
-
-    def started(rows: DataFrame) -> DataFrame:
-        shares = first.transform(rows).withColumn("_s", vector_to_array("probability"))
-        logs = [
-            F.ln(F.least(F.greatest(F.get("_s", F.lit(c)), F.lit(tiny)), F.lit(1.0 - tiny))) for c in range(classes)
-        ]
-        return shares.select(id_col, "label", "x", *[v.alias(f"f{c}") for c, v in enumerate(logs)])
-
-    train_rows, test_rows = cut_lineage(started(train)), cut_lineage(started(test))
-    scores = [f"f{c}" for c in range(classes)]
-    stages = []
-    for number in range(1, rounds + 1):
-        top = F.greatest(*scores) if classes > 1 else F.col(scores[0])
-        parts = [F.exp(F.col(s) - top) for s in scores]
-        whole = sum(parts[1:], parts[0])
-        residuals = train_rows.select("*", *[
-            ((F.col("label") == c).cast("double") - p / whole).alias(f"r{c}") for c, p in enumerate(parts)
-        ])
-        models = [
-            DecisionTreeRegressor(
-                featuresCol="x", labelCol=f"r{c}", maxDepth=depth, seed=seed + number, predictionCol=f"_m{c}",
-                leafCol=f"_l{c}",
-            ).fit(residuals)
-            for c in range(classes)
-        ]
-        for c, model in enumerate(models):
-            residuals, test_rows = model.transform(residuals), model.transform(test_rows)
-        leaves = residuals.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("c"), F.col(f"_l{c}").alias("leaf"), F.col(f"r{c}").alias("r"))
-            for c in range(classes)
-        ])).alias("v")).select("v.*")
-        sizes = leaves.groupBy("c", "leaf").agg(
-            F.sum("r").alias("up"), F.sum(F.abs("r") * (1 - F.abs("r"))).alias("down")
-        ).collect()  # classes x leaves rows
-        steps: dict[int, dict[float, float]] = {c: {} for c in range(classes)}
-        for s in sizes:
-            step = (classes - 1) / classes * s["up"] / s["down"] if s["down"] > 1e-12 else 0.0
-            steps[s["c"]][s["leaf"]] = rate * step
-
-        def moved(rows: DataFrame) -> DataFrame:
-            new = []
-            for c in range(classes):
-                step = F.lit(0.0)
-                for leaf, value in steps[c].items():
-                    step = F.when(F.col(f"_l{c}") == leaf, F.lit(float(value))).otherwise(step)
-                new.append((F.col(f"f{c}") + step).alias(f"f{c}"))
-            return rows.select(id_col, "label", "x", *new)
-
-        train_rows, test_rows = moved(residuals), moved(test_rows)
-        if number % CUT_EVERY == 0:
-            train_rows, test_rows = cut_lineage(train_rows), cut_lineage(test_rows)
-        best = F.array_position(F.array(*scores), F.greatest(*scores) if classes > 1 else F.col(scores[0])) - 1
-        wrong = F.avg((best.cast("double") != F.col("label")).cast("double"))
-        stages.append((number, float(test_rows.agg(wrong).first()[0])))
-    return train.sparkSession.createDataFrame(stages, "round int, error double")
+    """Staged test error of multiclass gradient boosting: (round, error); :func:`fit_gradient_boost` returns the model."""
+    return fit_gradient_boost(_arrays(train), "x", "label", rounds, rate, depth).staged_errors(_arrays(test), "x", "label")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayline.operators.pls import matrix_rank, pls_coefficients, squared_error
 from assayline.plans.moments import covariance, shift_of
 from assayline.plans.quantiles import exact_median
-from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, pack_rows
+from assayline.plans.scans import feature_array, is_complete, map_rows, pack_rows
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def outlier_samples(
 
     models, threshold, scored, previous = None, 0.0, None, None
     for round_number in range(rounds):
-        sums = collect_sums(packed.sum(bootstrap(round_number, models, threshold)))
+        sums = packed.sum(bootstrap(round_number, models, threshold))
         matrices = np.zeros((sub_models, 2, size, size))
         for key, flat in sums.items():
             m, half = map(int, key.split("|"))

@@ -71,7 +71,7 @@ def rbf_cv(
     scale, place = np.where(sd > 0, sd, 1.0), mean + base.centre
     sst = products[-1, -1] / scale[-1] ** 2
     rows = moment_rows(df, features, target, fold)
-    scan = pack_rows(rows).sum if passes else lambda statistic: sum_over_rows(rows, statistic)
+    scan = pack_rows(rows).sum if passes else lambda statistic: collect_sums(sum_over_rows(rows, statistic))
     size = dimension + 2
     upper = np.triu_indices(size)
 
@@ -93,7 +93,7 @@ def rbf_cv(
                 out[f"{i}|{f}"] = (part.T @ part)[upper]
         return out
 
-    sums = collect_sums(scan(first))
+    sums = scan(first)
     held = {i: [symmetric(sums[f"{i}|{f}"]) if f"{i}|{f}" in sums else np.zeros((size, size)) for f in range(folds)]
             for i in range(len(points))}
     fitted = {i: [_ridge(sum(m) - m[f], points[i].c) for f in range(folds)] for i, m in held.items()}
@@ -116,7 +116,7 @@ def rbf_cv(
                     out[f"{i}|{f}"] = ((design * weight[:, None]).T @ design)[upper]
             return out
 
-        sums = collect_sums(scan(reweighted))
+        sums = scan(reweighted)
         # half of the weight: the slope of the loss is 1 outside the zone, that of w * r^2 is 2 w r
         fitted = {
             i: [_ridge(0.5 * symmetric(sums[f"{i}|{f}"]), points[i].c) if f"{i}|{f}" in sums else fitted[i][f]
@@ -137,5 +137,5 @@ def rbf_cv(
                 out[str(i)] = np.array([((y - (z * slopes).sum(axis=1)) ** 2).sum()])
             return out
 
-        errors = {int(k): float(v[0]) for k, v in collect_sums(scan(held_out)).items()}
+        errors = {int(k): float(v[0]) for k, v in scan(held_out).items()}
     return [1.0 - errors[i] / sst for i in range(len(points))]

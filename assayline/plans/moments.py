@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import collect_sums, feature_array, feature_names, is_complete, means_of, sum_over_rows
+from assayline.plans.scans import collect_sums, feature_array, feature_names, is_complete, long_sums, means_of, sum_over_rows
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Moments:
 
 
 def shift_of(rows: DataFrame) -> np.ndarray:
-    """The mean of all rows; removes the digits lost when |mean| >> std."""
+    """About the mean; removes the digits lost when |mean| >> std."""
     return means_of(rows, "x", "y")
 
 
@@ -60,7 +60,7 @@ def moment_rows(
 
 
 def moment_sums(rows: DataFrame, centre: np.ndarray) -> DataFrame:
-    """Upper triangles of the moment matrices as (model = fold, idx, value)."""
+    """Upper triangles of the moment matrices as partial sums (model = fold)."""
     size = len(centre) + 1
     upper = np.triu_indices(size)
 
@@ -84,9 +84,26 @@ def fit_moments(
     fold: Column | str | None = None,
     folds: int = 1,
 ) -> Moments:
-    """Collect the moment matrices of all folds in one scan."""
+    """Collect the moment matrices of all folds in one scan.
+
+    The shift comes from a few rows; where it turns out to be far from a feature's mean, the scan is
+    repeated with the mean.
+    """
     rows = moment_rows(df, features, target, fold)
     centre = shift_of(rows)
+    matrices = _matrices(rows, centre, folds)
+    n, mean, products = covariance(matrices.sum(axis=0))
+    if (np.abs(mean) > FAR * np.sqrt(np.clip(np.diag(products), 0, None) / n)).any():
+        centre = centre + mean
+        matrices = _matrices(rows, centre, folds)
+    return Moments(tuple(feature_names(df, features)), matrices, centre)
+
+
+#: Standard deviations between a shift and the mean that cost too many digits.
+FAR = 1e3
+
+
+def _matrices(rows: DataFrame, centre: np.ndarray, folds: int) -> np.ndarray:
     size = len(centre) + 1
     upper = np.triu_indices(size)
     matrices = np.zeros((folds, size, size))
@@ -94,7 +111,7 @@ def fit_moments(
         matrix = np.zeros((size, size))
         matrix[upper] = flat
         matrices[int(model)] = matrix + np.triu(matrix, 1).T
-    return Moments(tuple(feature_names(df, features)), matrices, centre)
+    return matrices
 
 
 def moment_table(
@@ -113,7 +130,7 @@ def moment_table(
     table = df.sparkSession.createDataFrame(
         [(n, a, b) for n, (a, b) in enumerate(pairs)], "idx int, a string, b string"
     )
-    return sums.join(F.broadcast(table), "idx").select(  # (p + 2)^2 / 2 rows
+    return long_sums(sums).join(F.broadcast(table), "idx").select(  # (p + 2)^2 / 2 rows
         F.col("model").cast("int").alias("fold"), "a", "b", "value"
     )
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,15 +61,19 @@ Batch = Mapping[str, np.ndarray]
 Statistic = Callable[[Batch], Mapping[str, np.ndarray]]
 
 
-_SUMS = "model string, idx int, value double"
+#: Partial sums of one task are rows of at most so many doubles; so many tasks' sums are added up at a time.
+CHUNK, FAN_IN = 1 << 17, 64
+_SUMS = "model string, part int, task int, total binary"
+_NAMES = [c.split()[0] for c in _SUMS.split(", ")]
 
 
-def _summed(emitted: DataFrame) -> DataFrame:
-    return emitted.groupBy("model", "idx").agg(F.sum("value").alias("value"))
+def _emitted(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_NAMES)
 
 
 def _task_sums(batches: Iterable[Batch], statistic: Statistic) -> Iterator[pa.RecordBatch]:
-    """Add up the statistics of one task's batches and emit them once."""
+    """Add up the statistics of one task's batches and emit them once, as buffers of doubles."""
     sums: dict[str, np.ndarray] = {}
     for columns in batches:
         for model, values in statistic(columns).items():
@@ -77,18 +82,33 @@ def _task_sums(batches: Iterable[Batch], statistic: Statistic) -> Iterator[pa.Re
                 sums[model] += flat
             else:
                 sums[model] = flat.copy()
-    for model, flat in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([model] * len(flat), pa.string()), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
-            names=["model", "idx", "value"],
-        )
+    task = TaskContext.get().partitionId()
+    parts = [(m, i, task, f[s : s + CHUNK].tobytes()) for m, f in sums.items() for i, s in enumerate(range(0, len(f), CHUNK))]
+    step = max(1, (8 << 20) // max([1, *(len(p[3]) for p in parts)]))
+    for start in range(0, len(parts), step):
+        yield _emitted(parts[start : start + step])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One row instead of the partial sums of some tasks."""
+    total = None
+    for value in table.column("total"):
+        values = np.frombuffer(value.as_buffer())
+        total = values.copy() if total is None else total + values
+    model, part, task = (table.column(c)[0].as_py() for c in ("model", "part", "task"))
+    return pa.Table.from_batches([_emitted([(model, part, task % FAN_IN, total.tobytes())])])
+
+
+def _merged(emitted: DataFrame) -> DataFrame:
+    """Of every buffer at most ``FAN_IN`` rows, however many tasks there are; the last step adds these up."""
+    return emitted.groupBy("model", "part", F.pmod("task", F.lit(FAN_IN))).applyInArrow(lambda t: _added(t), _SUMS)
 
 
 def sum_over_rows(df: DataFrame, statistic: Statistic) -> DataFrame:
-    """Sum the arrays that ``statistic`` returns per batch: (model, idx, value).
+    """Sum the arrays that ``statistic`` returns per batch, as partial sums for :func:`collect_sums` or :func:`long_sums`.
 
-    Each task adds its batches up locally and emits one value per (model, idx);
-    Spark's own hash aggregation adds the tasks together.
+    Each task adds its batches up locally and emits one buffer per model and chunk; these
+    are merged in two levels, so what is shuffled is tasks x models buffers and not one row per number.
     """
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +116,18 @@ def sum_over_rows(df: DataFrame, statistic: Statistic) -> DataFrame:
         columns = ({n: to_numpy(b.column(i)) for i, n in enumerate(b.schema.names)} for b in filled)
         yield from _task_sums(columns, statistic)
 
-    return _summed(df.mapInArrow(per_task, _SUMS))
+    return _merged(df.mapInArrow(per_task, _SUMS))
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], kinds: dict[str, tuple[str, bool]]) -> Iterator[tuple[Batch, pa.RecordBatch]]:
+    """A block at a time, read where Arrow holds it, and its row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            n, out = batch.column("n")[i].as_py(), {}
+            for name, (kind, is_matrix) in kinds.items():
+                values = np.frombuffer(batch.column(name)[i].as_buffer(), dtype=kind)
+                out[name] = values.reshape(n, -1) if is_matrix else values
+            yield out, batch.slice(i, 1)
 
 
 @dataclass(frozen=True)
@@ -105,33 +136,52 @@ class PackedRows:
 
     blocks: DataFrame
     kinds: dict[str, tuple[str, bool]]
-
-    def sum(self, statistic: Statistic) -> DataFrame:
-        """The same as :func:`sum_over_rows`, without converting the rows again."""
+    tasks: list[int] = field(default_factory=list)
+
+    def sum(self, statistic: Statistic) -> dict[str, np.ndarray]:
+        """The sums of :func:`sum_over_rows` on the driver, without converting the rows again."""
+        emitted = self.partial_sums(statistic)
+        if self.tasks and self.tasks[0] < FAN_IN:
+            return collect_sums(emitted)
+        found = _merged(emitted).toArrow()
+        if not self.tasks:  # the first scan tells whether there are more tasks than are added up at a time
+            self.tasks.append(1 + max(found.column("task").to_pylist(), default=0))
+        return _assembled(found)
+
+    def partial_sums(self, statistic: Statistic) -> DataFrame:
         kinds = self.kinds
+        return self.blocks.mapInArrow(lambda batches: _task_sums((b for b, _ in _unpacked(batches, kinds)), statistic), _SUMS)
 
-        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    out = {}
-                    for name, (kind, is_matrix) in kinds.items():
-                        values = np.frombuffer(row[name], dtype=kind)
-                        out[name] = values.reshape(row["n"], -1) if is_matrix else values
-                    yield out
+    def with_column(self, name: str, make: Callable[[Batch], np.ndarray]) -> PackedRows:
+        """These blocks and one more column (or another one of that name) of doubles; kept in the cache like these."""
+        kinds = {k: v for k, v in self.kinds.items() if k != name}
+        names = ["n", *kinds]
 
-        return _summed(self.blocks.mapInArrow(lambda batches: _task_sums(unpacked(batches), statistic), _SUMS))
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, row in _unpacked(batches, kinds):
+                values = np.ascontiguousarray(make(batch), dtype="f8")
+                columns = [row.column(c) for c in names] + [pa.array([values.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, name])
+
+        schema = "n int, " + ", ".join(f"`{n}` binary" for n in [*kinds, name])
+        blocks = self.blocks.select(*names).mapInArrow(added, schema).persist()
+        return PackedRows(blocks, {**kinds, name: ("f8", False)}, self.tasks)
 
     def unpersist(self) -> None:
         self.blocks.unpersist()
 
 
-def pack_rows(df: DataFrame) -> PackedRows:
-    """Pack numeric and array columns into blocks of at most about ``BLOCK_BYTES`` and keep them in Spark's cache."""
+def pack_rows(df: DataFrame, narrow: Mapping[str, str] | None = None) -> PackedRows:
+    """Pack numeric and array columns into blocks of at most about ``BLOCK_BYTES`` and keep them in Spark's cache.
+
+    ``narrow`` names smaller kinds of numbers that columns fit into.
+    """
     numbers = {"double": "f8", "bigint": "i8", "int": "i4"}
     kinds = {
         f.name: ("f8", True) if isinstance(f.dataType, T.ArrayType) else (numbers[f.dataType.simpleString()], False)
         for f in df.schema.fields
     }
+    kinds |= {n: (kind, kinds[n][1]) for n, kind in (narrow or {}).items()}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n", *kinds]
@@ -153,27 +203,41 @@ def pack_rows(df: DataFrame) -> PackedRows:
     return PackedRows(df.mapInArrow(pack, schema).persist(), kinds)
 
 
-def means_of(rows: DataFrame, *columns: str) -> np.ndarray:
-    """Means of numeric and array columns over all rows, one after the other; a shift against lost digits."""
+#: Rows that a shift is taken from.
+SHIFT_ROWS = 1024
 
-    def statistic(batch):
-        return {"all": np.concatenate([[len(batch[columns[0]])], *[np.atleast_1d(batch[c].sum(axis=0)) for c in columns]])}
 
-    found = collect_sums(sum_over_rows(rows.select(*columns), statistic))
-    if "all" not in found:
+def means_of(rows: DataFrame, *columns: str) -> np.ndarray:
+    """Means of numeric and array columns, one after the other, over a few rows: a shift against lost digits, not a statistic."""
+    found = rows.select(*columns).limit(SHIFT_ROWS).toArrow()
+    if not found.num_rows:
         raise ValueError("no complete rows")
-    return found["all"][1:] / found["all"][0]
+    return np.concatenate([np.atleast_1d(to_numpy(found.column(c).combine_chunks()).mean(axis=0)) for c in columns])
 
 
 def collect_sums(sums: DataFrame) -> dict[str, np.ndarray]:
     """Bring summed statistics (models x statistic length) to the driver."""
-    table = sums.toPandas()
-    out = {}
-    for model, part in table.groupby("model"):
-        flat = np.zeros(int(part["idx"].max()) + 1)
-        flat[part["idx"].to_numpy()] = part["value"].to_numpy()
-        out[str(model)] = flat
-    return out
+    return _assembled(sums.toArrow())
+
+
+def _assembled(sums: pa.Table) -> dict[str, np.ndarray]:
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for batch in sums.to_batches():
+        for model, part, total in zip(batch.column("model").to_pylist(), batch.column("part").to_pylist(), batch.column("total")):
+            parts, values = found.setdefault(model, {}), np.frombuffer(total.as_buffer())
+            parts[part] = parts[part] + values if part in parts else values
+    return {model: np.concatenate([parts[i] for i in range(len(parts))]) for model, parts in found.items()}
+
+
+def long_sums(sums: DataFrame) -> DataFrame:
+    """Summed statistics as a table (model, idx, value)."""
+
+    def spread(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(value.as_buffer()) for value in table.column("total"))
+        place = table.column("part")[0].as_py() * CHUNK + np.arange(len(total), dtype=np.int32)
+        return pa.table({"model": pa.array([table.column("model")[0].as_py()] * len(total), pa.string()), "idx": place.astype(np.int32), "value": total})
+
+    return sums.groupBy("model", "part").applyInArrow(spread, "model string, idx int, value double")
 
 
 def map_rows(
