@@ -12,7 +12,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, decontaminate, jaccard, lines, simhash, toxicity
+from assayline.llm import bpe, decontaminate, lines, simhash, toxicity
 from assayline.llm.common import table, written
 
 
@@ -30,8 +30,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; texts are near if their five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return simhash.deduplicated(docs, "text", "doc_id", jaccard.near_duplicates)
+    """One document of each group of fingerprints (three-word shingles) that differ in at most three bits from one to the next."""
+    return simhash.deduplicated(docs, "text", "doc_id")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
