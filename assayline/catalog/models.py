@@ -321,6 +321,20 @@ def nearest_far_from_zero(spark, folder):
     return found.select("p_partkey", "neighbour", rounded("distance").alias("distance"), "rank")
 
 
+@query(
+    "nearest_orders",
+    "WITH e AS (SELECT o_orderkey AS id, [o_totalprice::DOUBLE / 1000, (o_custkey % 100)::DOUBLE, (o_orderkey % 31)::DOUBLE] AS x FROM orders), "
+    "b AS (SELECT id, x, ntile(40) OVER (ORDER BY x[1]) AS t FROM e) "
+    "SELECT id, neighbour, rank FROM (SELECT a.id, c.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY "
+    "sqrt((a.x[1] - c.x[1]) * (a.x[1] - c.x[1]) + (a.x[2] - c.x[2]) * (a.x[2] - c.x[2]) + (a.x[3] - c.x[3]) * (a.x[3] - c.x[3])), c.id)::INTEGER AS rank "
+    "FROM e a JOIN e c ON a.id <> c.id AND abs(a.x[1] - c.x[1]) <= 60 AND abs(a.x[2] - c.x[2]) <= 60) WHERE rank <= 3",
+)
+def nearest_orders(spark, folder):
+    x = F.array(F.col("o_totalprice").cast("double") / 1000, (F.col("o_custkey") % 100).cast("double"), (F.col("o_orderkey") % 31).cast("double"))
+    rows = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), x.alias("x"))
+    return nearest_neighbours(rows, "id", "x", 3, block_rows=256).select("id", "neighbour", F.col("rank").cast("int").alias("rank"))
+
+
 @query(
     "k3n_excess",
     "WITH e AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS x, embedding[1:2]::DOUBLE[] AS t FROM embeddings), "

@@ -2,89 +2,162 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.plans.joins import join_stats, split_join
+from assayline.plans.joins import split_join
 from assayline.plans.moments import covariance, fit_moments
-from assayline.plans.scans import feature_array, is_complete, map_rows, to_numpy
+from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, sum_over_rows, to_numpy
+from assayline.session import cut_lineage
 
 BLOCK_ROWS = 2048
+#: Pivots of each of the two levels at most; queries that one task compares with a block.
 MAX_PIVOTS = 256
+QUERY_ROWS = 16_384
 
 
-def _nearest_of_blocks(k: int, id_col: str):
-    """Best ``k`` of one block of candidates for every row of one block of queries."""
-
-    def fn(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({id_col: [], "neighbour": [], "distance": []})
-        a, b = np.stack(queries["x"]), np.stack(candidates["_x"])
-        qa, cb = queries[id_col].to_numpy(), candidates[f"_{id_col}"].to_numpy()
-        centre = b.mean(axis=0)  # data far from zero would lose its digits in the products
-        sa, sb = a - centre, b - centre
-        na, nb = (sa * sa).sum(1), (sb * sb).sum(1)
-        # everything that the rounding of this form of the distance leaves in doubt is measured exactly
-        doubt = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (na + nb.max())
-        found = []
-        for start in range(0, len(a), 256):
-            rows = slice(start, start + 256)
-            square = na[rows, None] - 2 * sa[rows] @ sb.T + nb[None, :]
-            width = min(k + 1, len(cb))  # the row itself may be among them
-            bound = np.partition(square, width - 1, axis=1)[:, width - 1] + 2 * doubt[rows]
-            at, near = np.nonzero(square <= bound[:, None])
-            for cut in range(0, len(at), 1 << 16):
-                i, j = at[cut:cut + (1 << 16)] + start, near[cut:cut + (1 << 16)]
-                exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
-                found.append(pd.DataFrame({id_col: qa[i], "neighbour": cb[j], "distance": exact}))
-        out = pd.concat(found)
-        out = out[out[id_col] != out["neighbour"]].sort_values([id_col, "distance", "neighbour"])
-        return out.groupby(id_col, sort=False).head(k)
-
-    return fn
-
-
-def _nearest_pivot(pivots: np.ndarray):
-    """Number of the closest pivot of every row, and the distance to it."""
-
-    def fn(batch):
-        x = batch["x"]
-        best, gap = np.zeros(len(x), dtype=int), np.full(len(x), np.inf)
-        for number, pivot in enumerate(pivots):
-            distance = np.sqrt(((x - pivot) ** 2).sum(axis=1))
-            closer = distance < gap
-            best[closer], gap[closer] = number, distance[closer]
-        return {"cell": best, "gap": gap}
-
-    return fn
-
-
-def _cell_pairs(placed: DataFrame, pivots: np.ndarray, k: int, blocks_of) -> list[tuple[int, int, int, int]]:
-    """Pairs of cells (query, candidate) that must be compared, with their numbers of blocks."""
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    by_gap = Window.partitionBy("cell").orderBy("gap")
-    closest = (
-        placed.select("cell", "gap").withColumn("r", F.row_number().over(by_gap)).where(F.col("r") <= k + 1).collect()
-    )  # k + 1 rows per pivot
-    m = len(pivots)
-    radius, count = np.full(m, -np.inf), np.zeros(m, dtype=int)
-    for c in cells:
-        radius[c["cell"]], count[c["cell"]] = c["radius"], c["n"]
-    apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    pairs = []
-    for q in np.flatnonzero(count):
-        reach = np.sort([apart[q, r["cell"]] + radius[q] + r["gap"] for r in closest])
-        bound = reach[k] if len(reach) > k else np.inf  # the row itself is among them
-        for c in np.flatnonzero(count):
-            if apart[q, c] - radius[q] - radius[c] <= bound * (1 + 1e-9):
-                pairs.append((int(q), int(c), blocks_of(count[q]), blocks_of(count[c])))
-    return pairs
+def _within(a: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and distance of all pairs among which the ``k`` nearest and their ties must be.
+
+    ``bound`` gives each row of ``a`` a distance beyond which nothing is wanted.
+    """
+    centre = b.mean(axis=0)  # data far from zero would lose its digits in the products
+    sa, sb = a - centre, b - centre
+    na, nb = (sa * sa).sum(1), (sb * sb).sum(1)
+    # everything that the rounding of this form of the distance leaves in doubt is measured exactly
+    doubt = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (na + nb.max())
+    found = []
+    for start in range(0, len(a), 256):
+        rows = slice(start, start + 256)
+        square = na[rows, None] - 2 * sa[rows] @ sb.T + nb[None, :]
+        width = min(k, len(b))
+        limit = np.partition(square, width - 1, axis=1)[:, width - 1] + 2 * doubt[rows]
+        if bound is not None:
+            limit = np.minimum(limit, bound[rows] ** 2 * (1 + 1e-9) + doubt[rows])
+        at, near = np.nonzero(square <= limit[:, None])
+        for cut in range(0, len(at), 1 << 16):
+            i, j = at[cut:cut + (1 << 16)] + start, near[cut:cut + (1 << 16)]
+            found.append((i, j, np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _best(ids: pa.Array, others: pa.Array, i: np.ndarray, j: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first ``k`` pairs of each row, by distance and then by the other row's id, without the row itself."""
+    names = pa.concat_arrays([ids, others])
+    rank = np.empty(len(names), "int64")
+    codes = names.dictionary_encode()
+    order = pc.array_sort_indices(codes.dictionary).to_numpy()
+    place = np.empty(len(order), "int64")
+    place[order] = np.arange(len(order))
+    rank = place[codes.indices.to_numpy()]
+    apart = rank[i] != rank[len(ids) + j]
+    i, j, distance = i[apart], j[apart], distance[apart]
+    by = np.lexsort((rank[len(ids) + j], distance, i))
+    i, j, distance = i[by], j[by], distance[by]
+    first = np.searchsorted(i, i, side="left")
+    kept = np.arange(len(i)) - first < k
+    return i[kept], j[kept], distance[kept]
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    return to_numpy(table.column(name).combine_chunks())
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name).combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+@dataclass(frozen=True)
+class _Cells:
+    """Two levels of pivots.  A row belongs to the nearest leaf below its nearest top pivot."""
+
+    top: np.ndarray
+    leaves: tuple[np.ndarray, ...]  # per top pivot
+    first: np.ndarray  # number of the first leaf of each top pivot
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows per leaf
+    radius: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of leaves about their pivots
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of top pivots about all their rows
+
+    @staticmethod
+    def of(top: np.ndarray, leaves: Sequence[np.ndarray]) -> _Cells:
+        sizes = np.array([len(x) for x in leaves])
+        return _Cells(top, tuple(leaves), np.cumsum(sizes) - sizes)
+
+    @staticmethod
+    def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], 1))
+
+    def place(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        apart = self._distances(x, self.top)
+        over = apart.argmin(1)
+        leaf, gap = np.zeros(len(x), "int64"), np.zeros(len(x))
+        for t in np.unique(over):
+            rows = np.flatnonzero(over == t)
+            below = self._distances(x[rows], self.leaves[t])
+            near = below.argmin(1)
+            leaf[rows], gap[rows] = self.first[t] + near, below[np.arange(len(rows)), near]
+        return {"top": over, "cell": leaf, "gap": gap, "far": apart[np.arange(len(x)), over]}
+
+    def reached(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that may hold something within the row's bound."""
+        rows, cells = [], []
+        wide = bound * (1 + 1e-9)
+        apart = self._distances(x, self.top)
+        for t, pivots in enumerate(self.leaves):
+            near = np.flatnonzero(apart[:, t] - self.reach[t] <= wide)
+            if not len(near):
+                continue
+            numbers = self.first[t] + np.arange(len(pivots))
+            i, c = np.nonzero((self._distances(x[near], pivots) - self.radius[numbers] <= wide[near, None]) & (self.counts[numbers] > 0))
+            rows.append(near[i])
+            cells.append(numbers[c])
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, "int64"), np.zeros(0, "int64"))
+
+
+def _points(rows: DataFrame, n: int, id_col: str) -> np.ndarray:
+    chosen = rows.orderBy(F.xxhash64(id_col), id_col).select("x").limit(n).toArrow()
+    return np.unique(_matrix(chosen, "x"), axis=0)
+
+
+def _cells_of(rows: DataFrame, id_col: str, total: int, k: int, block_rows: int, max_pivots: int) -> _Cells:
+    """Pivots drawn by a hash of the id: as many leaves as there are blocks, at most ``max_pivots`` below each of as many top ones."""
+    top = _points(rows, max(1, min(max_pivots, -(-total // block_rows))), id_col)
+    cells = _Cells.of(top, [p[None] for p in top])
+    if len(top) > 1:
+        placed = map_rows(rows, [id_col, "x"], ["x"], lambda b, c=cells: c.place(b["x"]), "cell bigint")
+        sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most max_pivots rows
+        wanted = {c: min(max_pivots, -(-n // block_rows)) for c, n in sizes.items() if n > 2 * block_rows}
+        below: dict[int, np.ndarray] = {}
+        if wanted:
+            order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit("leaf"), id_col), id_col)
+            chosen = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_pivots).select("cell", "r", "x").toArrow()
+            cell, r, x = _column(chosen, "cell").to_numpy(), _column(chosen, "r").to_numpy(), _matrix(chosen, "x")
+            below = {c: np.unique(x[(cell == c) & (r <= n)], axis=0) for c, n in wanted.items()}
+        kept = [t for t in range(len(top)) if sizes.get(t, 0)]
+        cells = _Cells.of(top[kept], [below.get(t, top[t][None]) for t in kept])
+        # Leaves with few rows go: their rows could not bound their own neighbours.
+        placed = map_rows(rows, [id_col], ["x"], lambda b, c=cells: c.place(b["x"]), "cell bigint")
+        sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+        enough = [[i for i in range(len(p)) if sizes.get(cells.first[t] + i, 0) > 4 * k] for t, p in enumerate(cells.leaves)]
+        if any(enough):
+            stay = [t for t, e in enumerate(enough) if e]
+            cells = _Cells.of(cells.top[stay], [cells.leaves[t][enough[t]] for t in stay])
+    stats = map_rows(rows, [id_col], ["x"], lambda b, c=cells: c.place(b["x"]), "top bigint, cell bigint, gap double, far double")
+    stats = stats.groupBy("top", "cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap"), F.max("far").alias("far")).collect()
+    counts, radius = np.zeros(sum(map(len, cells.leaves)), "int64"), np.zeros(sum(map(len, cells.leaves)))
+    reach = np.zeros(len(cells.top))
+    for r in stats:
+        counts[r["cell"]], radius[r["cell"]] = r["n"], r["gap"]
+        reach[r["top"]] = max(reach[r["top"]], r["far"])
+    return replace(cells, counts=counts, radius=radius, reach=reach)
 
 
 def nearest_neighbours(
@@ -97,74 +170,116 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row: (id, neighbour, distance, rank).
 
-    Rows are put in the cell of their nearest pivot, and cells are cut into
-    blocks of about ``block_rows`` rows by a hash of the id, so a crowded cell is
-    spread over many tasks.  The triangle inequality on pivot distances gives a
-    bound on the k-th distance of every cell; only blocks of cells that can hold
-    something nearer are compared, and each comparison keeps ``k`` rows per query.
+    Rows are put into cells about two levels of pivots, and cells that are still large are cut into blocks of about ``block_rows``
+    rows by a hash of the id.  First every row finds the ``k`` nearest of its own block, which bounds how far its neighbours can
+    be.  Then it goes to those other blocks only that its bound reaches, by the triangle inequality on its own distances to pivots, and
+    brings back at most ``k`` that are nearer; blocks with many such visitors are copied to several tasks.
     Where nothing can be pruned the work is quadratic, which is the price of exactness.
-    Of a point with many copies only the first ``k + 1`` take part; the others are
-    answered from those.
+    Of a point with many copies only the first ``k + 1`` take part; the others are answered from those.
     """
     rows = df.where(is_complete(features)).select(F.col(id_col), feature_array(features).alias("x"))
-    # rows beyond the first k + 1 copies of one point: their neighbours are the first k copies
-    first_copies = (
-        rows.withColumn("_copy", F.row_number().over(Window.partitionBy("x").orderBy(id_col)))
-        .where(F.col("_copy") <= k + 1)
-    )
-    crowded = first_copies.groupBy("x").agg(
-        F.array_sort(F.collect_list(id_col)).alias("_copies")
-    ).where(F.size("_copies") == k + 1).persist()
+    # Rows beyond the first k + 1 copies of one point: their neighbours are the first k copies.  Every task keeps k + 1 per point at
+    # most before the shuffle, which carries hashes of the point in its place.
+    point = [F.xxhash64("x").alias("_h"), F.xxhash64(F.lit("second"), "x").alias("_g")]
+    order = Window.partitionBy("_h", "_g").orderBy(id_col)
+    copies = rows.select(id_col, *point).withColumn("_copy", F.row_number().over(order)).where(F.col("_copy") <= k + 1)
+    crowded = copies.groupBy("_h", "_g").agg(F.array_sort(F.collect_list(id_col)).alias("_copies")).where(F.size("_copies") == k + 1)
+    crowded = cut_lineage(crowded)
     surplus = None
     if not crowded.isEmpty():
-        marked = join_stats(rows, crowded, ["x"], "left")
+        marked = split_join(rows.select(id_col, "x", *point), crowded, ["_h", "_g"], "left")
         beyond = F.col("_copies").isNotNull() & (F.col(id_col) > F.get("_copies", F.lit(k)))
         surplus = marked.where(beyond).select(
             id_col, F.posexplode(F.slice("_copies", 1, k)).alias("_place", "neighbour")
         ).select(id_col, "neighbour", F.lit(0.0).alias("distance"), (F.col("_place") + 1).alias("rank"))
         rows = marked.where(~beyond).select(id_col, "x")
-    total = rows.count()
-
-    def blocks_of(n: int) -> int:
-        return int(max(1, -(-n // block_rows)))
-
-    keys = ["q_cell", "q_block", "c_cell", "c_block"]
-    if blocks_of(total) == 1:
-        queries = candidates = rows.select(id_col, "x", *[F.lit(0).alias(c) for c in keys])
-    else:
-        chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(min(max_pivots, blocks_of(total))).collect()
-        pivots = np.unique(np.array([r["x"] for r in chosen], dtype=float), axis=0)
-        placed = map_rows(rows, [id_col, "x"], ["x"], _nearest_pivot(pivots), "cell int, gap double").persist()
-        pairs = _cell_pairs(placed, pivots, k, blocks_of)
-        plan = df.sparkSession.createDataFrame(pairs, "q_cell int, c_cell int, q_blocks int, c_blocks int")
-        small = F.broadcast(plan)  # at most max_pivots squared rows
-
-        def own(blocks: str, name: str) -> Column:
-            return F.pmod(F.xxhash64(F.lit("block"), id_col), F.col(blocks)).cast("int").alias(name)
-
-        def every(blocks: str, name: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(name)
-
-        as_query = placed.join(small, placed["cell"] == plan["q_cell"])
-        as_candidate = placed.join(small, placed["cell"] == plan["c_cell"])
-        queries = as_query.select(id_col, "x", "q_cell", own("q_blocks", "q_block"), "c_cell", every("c_blocks", "c_block"))
-        candidates = as_candidate.select(
-            id_col, "x", "q_cell", every("q_blocks", "q_block"), "c_cell", own("c_blocks", "c_block")
-        )
-    # fresh column identities: both sides come from the same table
-    queries, candidates = queries.toDF(*queries.columns), candidates.toDF(*[f"_{c}" for c in candidates.columns])
     kind = df.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField(id_col, kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType()),
-    ])
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*[f"_{c}" for c in keys])).applyInPandas(
-        _nearest_of_blocks(k, id_col), schema
-    )
+    block_rows = max(block_rows, 4 * (k + 1))
+    total = rows.count()
+    if not total:
+        return rows.select(id_col, F.col(id_col).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    cells = _cells_of(rows, id_col, total, k, block_rows, max_pivots)
+    blocks = np.maximum(1, -(-cells.counts // block_rows)).astype("int64")
+    first_block = np.cumsum(blocks) - blocks
+
+    def block_of(batch):
+        cell = cells.place(batch["x"])["cell"]
+        return {"block": first_block[cell] + batch["_b"] % blocks[cell]}
+
+    spread = rows.withColumn("_b", F.xxhash64(F.lit("block"), id_col).bitwiseAND(F.lit((1 << 62) - 1)))
+    placed = map_rows(spread, [id_col, "x"], ["x", "_b"], block_of, "block bigint")
+    pairs = T.StructType([T.StructField("neighbours", T.ArrayType(kind)), T.StructField("distances", T.ArrayType(T.DoubleType()))])
+
+    def own_block(table: pa.Table) -> pa.Table:
+        ids, x = _column(table, id_col), _matrix(table, "x")
+        i, j, distance = _best(ids, ids, *_within(x, x, k + 1, None), k)
+        ends = pa.array(np.searchsorted(i, np.arange(len(x) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, ids.take(pa.array(j))), pa.ListArray.from_arrays(ends, pa.array(distance))]
+        return pa.table([*table.columns, *lists], names=[*table.column_names, "neighbours", "distances"])
+
+    known = placed.groupBy("block").applyInArrow(own_block, T.StructType([*placed.schema.fields, *pairs.fields]))
+    known = cut_lineage(known)
+    near = known.select(id_col, F.explode(F.arrays_zip("neighbours", "distances")).alias("p"))
+    near = near.select(id_col, F.col("p.neighbours").alias("neighbour"), F.col("p.distances").alias("distance"))
+    if len(first_block) > 1 or blocks[0] > 1:
+        near = near.unionByName(_from_other_blocks(known, cells, blocks, first_block, id_col, kind, k))
     by_distance = Window.partitionBy(id_col).orderBy("distance", "neighbour")
-    near = found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    near = near.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
     return near if surplus is None else near.unionByName(surplus)
 
 
+def _from_other_blocks(known: DataFrame, cells: _Cells, blocks: np.ndarray, first_block: np.ndarray, id_col: str, kind: T.DataType, k: int) -> DataFrame:
+    """(id, neighbour, distance) of what rows find nearer, or as near, in other blocks than their own."""
+
+    def visits(x: np.ndarray, own: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, cell = cells.reached(x, bound)
+        times = blocks[cell]
+        row, block = np.repeat(row, times), np.repeat(first_block[cell] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        other = block != own[row]
+        return row[other], block[other]
+
+    bounded = known.select(id_col, "x", "block", F.when(F.size("distances") == k, F.get("distances", F.lit(k - 1))).otherwise(float("inf")).alias("bound"))
+    n_blocks = int(blocks.sum())
+
+    def counted(batch):
+        _, block = visits(batch["x"], batch["block"], batch["bound"])
+        return {"all": np.bincount(block, minlength=n_blocks)}
+
+    visitors = collect_sums(sum_over_rows(bounded.select("x", "block", "bound"), counted))["all"]
+    parts = np.maximum(1, np.ceil(visitors / QUERY_ROWS)).astype("int64")
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                rows = batch.slice(start, 512)
+                row, block = visits(to_numpy(rows.column("x")), rows.column("block").to_numpy(), rows.column("bound").to_numpy())
+                part = rows.column("_b").to_numpy()[row] % parts[block]
+                kept = rows.select([id_col, "x", "bound"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block), pa.array(part)], names=[*kept.schema.names, "block", "part"])
+
+    salted = bounded.withColumn("_b", F.xxhash64(F.lit("part"), id_col).bitwiseAND(F.lit((1 << 62) - 1)))
+    fields = {f.name: f for f in salted.schema.fields}
+    schema = T.StructType([fields[id_col], fields["x"], fields["bound"], T.StructField("block", T.LongType()), T.StructField("part", T.LongType())])
+    queries = salted.mapInArrow(sent, schema)
+    visited = np.flatnonzero(visitors)
+    copies = known.sparkSession.createDataFrame([(int(b), int(parts[b])) for b in visited], "block bigint, parts bigint")
+    hosts = known.select(id_col, "x", "block").join(F.broadcast(copies), "block")  # a row per block
+    hosts = hosts.select(F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_part"))
+
+    def compared(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        names = [id_col, "neighbour", "distance"]
+        if not ours.num_rows or not theirs.num_rows:
+            ids = ours.column(id_col) if not ours.num_rows else theirs.column("_id")
+            return pa.table([ids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=names)
+        ids, others = _column(ours, id_col), _column(theirs, "_id")
+        i, j, distance = _within(_matrix(ours, "x"), _matrix(theirs, "_x"), k, _column(ours, "bound").to_numpy())
+        i, j, distance = _best(ids, others, i, j, distance, k)
+        return pa.table([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(distance)], names=names)
+
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())])
+    return queries.groupBy("block", "part").cogroup(hosts.groupBy("_block", "_part")).applyInArrow(compared, schema)
+
+
 @F.arrow_udf(T.DoubleType())
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Euclidean distance of two array columns, a batch at a time."""
