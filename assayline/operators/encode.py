@@ -12,8 +12,6 @@ from assayline.plans.joins import join_stats
 from assayline.plans.ordered import row_positions
 
 MAX_LEVELS = 2_000
-#: Categories that are numbered in one task; more are sorted in ranges.
-FEW_LEVELS = 10_000
 
 
 def levels_of(df: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
@@ -64,5 +62,5 @@ def category_codes(df: DataFrame, column: str, order: Sequence[str], out: str =
     """
     known = df.where(F.col(column).isNotNull())
     first_seen = known.groupBy(column).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
-    numbered = row_positions(first_seen, ["_first"], pos="_pos", rows_in_one_task=FEW_LEVELS)
+    numbered = row_positions(first_seen, ["_first", column], pos="_pos")
     return join_stats(df, numbered.select(column, F.col("_pos").cast("int").alias(out)), [column], "left")

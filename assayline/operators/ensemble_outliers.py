@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from assayline.operators.pls import matrix_rank, pls_coefficients, squared_error
 from assayline.plans.moments import covariance, shift_of
-from assayline.plans.quantiles import exact_median
 from assayline.plans.scans import feature_array, is_complete, map_rows, pack_rows
 
 
@@ -60,7 +59,6 @@ def outlier_samples(
     max_components: int = 30,
     width: float = 3.0,
     seed: int = 0,
-    **limits: int,
 ) -> DataFrame:
     """(id, target, predicted, is_outlier_sample) after the last round.
 
@@ -76,7 +74,6 @@ def outlier_samples(
         df.where(is_complete(features) & F.col(target).isNotNull())
         .select(id_col, feature_array(features).alias("x"), F.col(target).cast("double").alias("y"))
         .withColumn("_hash", F.xxhash64(id_col))
-        .persist()
     )
     packed = pack_rows(rows.select("x", "y", "_hash"))
     centre = shift_of(rows)
@@ -106,7 +103,7 @@ def outlier_samples(
 
         return statistic
 
-    models, threshold, scored, previous = None, 0.0, None, None
+    models, threshold, previous = None, 0.0, None
     for round_number in range(rounds):
         sums = packed.sum(bootstrap(round_number, models, threshold))
         matrices = np.zeros((sub_models, 2, size, size))
@@ -122,20 +119,26 @@ def outlier_samples(
         models = np.array(fitted)
         current = models
 
-        scored = map_rows(
-            rows, [id_col, "y"], ["x"], lambda b, fit=current: {"predicted": residuals(b, fit)}, "predicted double"
-        )
-        rest = F.abs(F.col("y") - F.col("predicted"))
-        middle = exact_median(scored, F.col("y") - F.col("predicted"), name="m", **limits).first()[0]
-        spread = F.abs(F.col("y") - F.col("predicted") - F.lit(middle))
-        threshold = width * exact_median(scored, spread, name="m", **limits).first()[0]
-        scored = scored.withColumn("is_outlier_sample", rest > F.lit(threshold))
-        # equal flags are recognised by their number and the sum of their hashes
-        mark = scored.where("is_outlier_sample").agg(
-            F.count("*"), F.sum(F.xxhash64(id_col).cast("decimal(20,0)"))
-        ).first()
-        if tuple(mark) == previous:
+        def residual(batch, fit=current):
+            return batch["y"] - residuals(batch, fit)
+
+        middle = packed.median(residual)
+        threshold = width * packed.median(lambda b, m=middle: np.abs(residual(b) - m))
+
+        def flags(batch, limit=threshold):
+            """How many rows are flagged, and the sums of 16 bits of their hashes at a time."""
+            ids = batch["_hash"][np.abs(residual(batch)) > limit].view("u8")
+            digits = [(ids >> np.uint64(s)) & np.uint64(0xFFFF) for s in (0, 16, 32, 48)]
+            return {"all": [len(ids), *[float(d.sum()) for d in digits]]}
+
+        # equal flags are recognised by their number and the sums of their hashes
+        mark = tuple(packed.sum(flags)["all"])
+        if mark == previous:
             break
-        previous = tuple(mark)
+        previous = mark
+    limit, current = threshold, models
+    scored = map_rows(
+        rows, [id_col, "y"], ["x"], lambda b: {"predicted": residuals(b, current)}, "predicted double"
+    ).withColumn("is_outlier_sample", F.abs(F.col("y") - F.col("predicted")) > F.lit(limit))
     packed.unpersist()
     return scored.withColumnRenamed("y", target)

@@ -314,7 +314,7 @@ def neighbour_excess(rows: DataFrame, id_col: str, space: str, found: DataFrame,
 
 def k3n_terms(df: DataFrame, id_col: str, a: str, b: str, k: int = 10, **options) -> DataFrame:
     """(id, excess) in space ``b`` of the neighbours found in space ``a``."""
-    in_a = nearest_neighbours(df, id_col, a, k, **options).persist()
+    in_a = cut_lineage(nearest_neighbours(df, id_col, a, k, **options))
     in_b = nearest_neighbours(df, id_col, b, k, **options)
     return neighbour_excess(df, id_col, b, in_a, in_b)
 
@@ -326,12 +326,11 @@ def k3n_error(
 
     ``in_a`` may hold the neighbours in ``a`` when several ``b`` are scored against one ``a``.
     """
-    near_a = in_a if in_a is not None else nearest_neighbours(df, id_col, a, k, **options).persist()
-    near_b = nearest_neighbours(df, id_col, b, k, **options).persist()
+    near_a = in_a if in_a is not None else cut_lineage(nearest_neighbours(df, id_col, a, k, **options))
+    near_b = cut_lineage(nearest_neighbours(df, id_col, b, k, **options))
     there = neighbour_excess(df, id_col, b, near_a, near_b).select(F.lit("ab").alias("way"), "excess")
     back = neighbour_excess(df, id_col, a, near_b, near_a).select(F.lit("ba").alias("way"), "excess")
     error = sum(r["e"] for r in there.union(back).groupBy("way").agg(F.avg("excess").alias("e")).collect())
-    near_b.unpersist()
     return float(error)
 
 
@@ -362,7 +361,7 @@ def embedding_sweep(
     """
     scores = []
     base = df.select(id_col, feature_array(features).alias("a"))
-    in_a = nearest_neighbours(base, id_col, "a", k, **options).persist()
+    in_a = cut_lineage(nearest_neighbours(base, id_col, "a", k, **options))
     for name, table in candidates.items():
         s = table.agg(*[f(F.col("t")[i]).alias(f"{f.__name__}{i}") for i in range(2) for f in (F.avg, F.stddev_samp)]).first()
         scaled = table.select(id_col, F.array(*[

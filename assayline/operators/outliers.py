@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from assayline.operators.signal import smooth_series
 from assayline.plans.joins import join_stats
-from assayline.plans.quantiles import exact_median, most_values
+from assayline.plans.quantiles import exact_median
+from assayline.session import cut_lineage
 
 # Fixed value: makes the median absolute deviation estimate a normal standard deviation.
 NORMAL_MAD = 1.4826
@@ -29,14 +30,13 @@ def three_sigma_limits(df: DataFrame, value: str, keys: Sequence[str] = (), widt
 
 
 def hampel_limits(
-    df: DataFrame, value: str, keys: Sequence[str] = (), width: float = 3.0, **limits: int
+    df: DataFrame, value: str, keys: Sequence[str] = (), width: float = 3.0
 ) -> DataFrame:
     """Median -+ ``width`` * 1.4826 * median absolute deviation per key: (keys, centre, mad, lower, upper)."""
     keys = list(keys)
-    largest = most_values(df, F.col(value), keys)
-    centre = exact_median(df, value, keys, "centre", largest=largest, **limits)
+    centre = exact_median(df, value, keys, "centre")
     placed = _attach(df, centre, keys)
-    mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad", largest=largest, **limits)
+    mad = exact_median(placed, F.abs(F.col(value) - F.col("centre")), keys, "mad")
     both = _attach(centre, mad, keys)
     reach = width * NORMAL_MAD * F.col("mad")
     return both.select(
@@ -56,9 +56,9 @@ def three_sigma(df: DataFrame, value: str, keys: Sequence[str] = (), width: floa
     return flag_outside(df, value, three_sigma_limits(df, value, keys, width), keys)
 
 
-def hampel(df: DataFrame, value: str, keys: Sequence[str] = (), width: float = 3.0, **limits: int) -> DataFrame:
+def hampel(df: DataFrame, value: str, keys: Sequence[str] = (), width: float = 3.0) -> DataFrame:
     """Rows with their Hampel limits and flag."""
-    return flag_outside(df, value, hampel_limits(df, value, keys, width, **limits), keys)
+    return flag_outside(df, value, hampel_limits(df, value, keys, width), keys)
 
 
 def savgol_hampel(
@@ -69,14 +69,12 @@ def savgol_hampel(
     window: int = 61,
     poly: int = 2,
     width: float = 3.0,
-    **limits: int,
+    **chunks: int,
 ) -> DataFrame:
     """Hampel rule on ``value - smoothed``; the limits follow the smoothed series."""
-    series = {k: v for k, v in limits.items() if k != "values_in_one_task"}
-    medians = {k: v for k, v in limits.items() if k == "values_in_one_task"}
-    smoothed = smooth_series(df, order, value, window, poly, 0, keys, out="smoothed", **series)
-    rest = smoothed.withColumn("_rest", F.col(value) - F.col("smoothed")).persist()
-    bounds = hampel_limits(rest, "_rest", keys, width, **medians).select(*keys, "lower", "upper")
+    smoothed = smooth_series(df, order, value, window, poly, 0, keys, out="smoothed", **chunks)
+    rest = cut_lineage(smoothed.withColumn("_rest", F.col(value) - F.col("smoothed")))
+    bounds = hampel_limits(rest, "_rest", keys, width).select(*keys, "lower", "upper")
     return (
         _attach(rest, bounds, keys)
         .withColumn("lower", F.col("smoothed") + F.col("lower"))

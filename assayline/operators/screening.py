@@ -20,7 +20,7 @@ def binomial_tail(hits: int, rounds: int) -> float:
     return sum(comb(rounds, k) for k in range(hits, rounds + 1)) / 2.0**rounds
 
 
-def with_shadows(rows: DataFrame, id_col: str, width: int, seed: int, **limits: int) -> DataFrame:
+def with_shadows(rows: DataFrame, id_col: str, width: int, seed: int) -> DataFrame:
     """Append to ``x`` a copy of another row's features.
 
     The rows are put in one random order and each takes the features of the row
@@ -29,7 +29,7 @@ def with_shadows(rows: DataFrame, id_col: str, width: int, seed: int, **limits:
     serves all features.
     """
     placed = row_positions(
-        rows.withColumn("_r", F.xxhash64(F.lit(seed), id_col)), ["_r", id_col], pos="_pos", total="_n", **limits
+        rows.withColumn("_r", F.xxhash64(F.lit(seed), id_col)), ["_r", id_col], pos="_pos", total="_n"
     )
     half = F.floor(F.col("_n") / 2)
     donors = placed.select(F.pmod(F.col("_pos") + half, F.col("_n")).alias("_pos"), F.col("x").alias("_shadow"))
@@ -47,7 +47,6 @@ def relevant_features(
     balanced: bool = True,
     alpha: float = 0.05,
     seed: int = 0,
-    **limits: int,
 ) -> DataFrame:
     """Decision for every feature: (position, feature, hits, rounds, decision, ranking).
 
@@ -75,7 +74,7 @@ def relevant_features(
     for number in range(rounds):
         kept = [int(i) for i in np.flatnonzero(decision != "rejected")]
         chosen = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in kept]))
-        both = with_shadows(chosen, id_col, len(kept), seed * 10_007 + number, **limits)
+        both = with_shadows(chosen, id_col, len(kept), seed * 10_007 + number)
         forest = RandomForestClassifier(
             featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed + number
         )

@@ -21,6 +21,7 @@ from assayline.operators.rbf import RbfPoint, rbf_cv
 from assayline.operators.signal import lag_table
 from assayline.plans.moments import Moments, fit_moments
 from assayline.plans.ordered import with_folds
+from assayline.session import cut_lineage
 
 # Score of an empty feature set; share of swapped and changed individuals; share of
 # changed genes; tournament size; cut between chosen and not chosen; bounds of the exponents of two.
@@ -209,15 +210,14 @@ def select_regions_ga(
 
 def lagged_rows(
     df: DataFrame, order: Sequence[str], target: str, features: Sequence[str], max_lag: int = 50, span: int = 1,
-    folds: int = 5, **limits,
+    folds: int = 5,
 ) -> tuple[DataFrame, list[str], list[int]]:
     """Lag table with contiguous folds, its feature names, and the ends of the variables' blocks."""
-    table = lag_table(df, order, target, features, max_lag, span, row="_row", **limits)
+    table = lag_table(df, order, target, features, max_lag, span, row="_row")
     count = max_lag // span + 1
     names = [f"{f}_{i}" for f in features for i in range(count)]
     ends = list(accumulate(count for _ in features))
-    rows = {k: v for k, v in limits.items() if k == "rows_in_one_task"}
-    return with_folds(table, ["_row"], folds, "_fold", **rows), names, ends
+    return with_folds(table, ["_row"], folds, "_fold"), names, ends
 
 
 def select_lags_ga(
@@ -227,7 +227,7 @@ def select_lags_ga(
     """Search for process variables and delays; a region stays within one variable."""
     table, names, ends = lagged_rows(df, order, target, features, max_lag, span, folds)
     return select_regions_ga(
-        table.persist(), names, target, "_fold", folds, regions, max_width, max_components, ends, **options
+        cut_lineage(table), names, target, "_fold", folds, regions, max_width, max_components, ends, **options
     )
 
 
@@ -282,4 +282,4 @@ def select_lags_rbf_ga(
 ) -> SearchResult:
     """Lag search for kernel regression."""
     table, names, ends = lagged_rows(df, order, target, features, max_lag, span, folds)
-    return select_regions_rbf_ga(table.persist(), names, target, "_fold", folds, block_ends=ends, **options)
+    return select_regions_rbf_ga(cut_lineage(table), names, target, "_fold", folds, block_ends=ends, **options)

@@ -47,24 +47,26 @@ def smooth_series(
     keys: Sequence[str] = (),
     out: str = "smoothed",
     chunk_rows: int = SMOOTHED_CHUNK_ROWS,
-    **limits: int,
 ) -> DataFrame:
     """Savitzky-Golay along rows; series shorter than the window give null.
 
     Every series is cut into chunks that carry a halo of their neighbours' values.  A
-    chunk becomes one bounded array, so long series spread over many tasks and the
-    same weights serve the interior and both ends.
+    chunk becomes one bounded array of positions and values, so long series spread over many tasks and the
+    same weights serve the interior and both ends; the other columns are joined back by position.
     """
     reach = window - 1
-    placed = row_positions(df, order, keys, pos="_pos", **limits)
+    placed = row_positions(df, order, keys, pos="_pos")
     chunked = with_halo(placed, "_pos", reach, reach, chunk_rows)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    point = F.struct("_pos", "_own", F.col(value).cast("double").alias("_v"), row)
-    chunks = chunked.groupBy(*[F.col(k) for k in keys], "_chunk").agg(F.array_sort(F.collect_list(point)).alias("_c"))
+    point = F.struct("_pos", "_own", F.col(value).cast("double").alias("_v"))
+    series = [F.col(k).alias(f"_k_{k}") for k in keys]
+    chunks = chunked.groupBy(*series, "_chunk").agg(F.array_sort(F.collect_list(point)).alias("_c"))
     # a chunk either reaches the end of its series or holds reach rows beyond its own
-    smoothed = chunks.select("_c", savgol(F.col("_c._v"), window, poly, deriv).alias("_s"))
-    pairs = smoothed.select("_s", F.posexplode("_c").alias("_i", "_p")).where("_p._own")
-    return pairs.select("_p._row.*", F.get("_s", F.col("_i")).alias(out))
+    names = [f"_k_{k}" for k in keys]
+    smoothed = chunks.select(*names, "_c", savgol(F.col("_c._v"), window, poly, deriv).alias("_s"))
+    pairs = smoothed.select(*names, "_s", F.posexplode("_c").alias("_i", "_p")).where("_p._own")
+    pairs = pairs.select(*names, F.col("_p._pos").alias("_at"), F.get("_s", F.col("_i")).alias(out))
+    same = [placed[k].eqNullSafe(pairs[f"_k_{k}"]) for k in keys] + [placed["_pos"] == pairs["_at"]]
+    return placed.join(pairs, same).drop("_pos", "_at", *names)
 
 
 def lag_table(
@@ -79,7 +81,6 @@ def lag_table(
     row: str = "row",
     keep: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
-    **limits: int,
 ) -> DataFrame:
     """The target at t beside each feature at t, t - span, ..., named ``{feature}_{i}``.
 
@@ -90,7 +91,7 @@ def lag_table(
     """
     if drop not in ("any", "target", "none"):
         raise ValueError("drop must be 'any', 'target' or 'none'")
-    placed = row_positions(df, order, keys, pos=row, **limits)
+    placed = row_positions(df, order, keys, pos=row)
     chunked = with_halo(placed, row, max_lag, 0, chunk_rows)
     series = Window.partitionBy(*[F.col(k) for k in keys], "_chunk").orderBy(row)
     lagged = [

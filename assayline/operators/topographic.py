@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayline.operators.mixture import log_sum
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
 from assayline.plans.scans import collect_sums, feature_array, is_complete, map_rows, pack_rows, sum_over_rows
+from assayline.session import cut_lineage
 
 JOBS_AT_ONCE = 4
 FAILED_SCORE = 10e100  # score of a map that could not be fitted
@@ -213,7 +214,7 @@ def map_grid_search(
     """
     models = fit_maps(df, features, specs, rounds=rounds)
     base = df.select(id_col, feature_array(features).alias("a"))
-    in_a = nearest_neighbours(base, id_col, "a", k, **options).persist()
+    in_a = cut_lineage(nearest_neighbours(base, id_col, "a", k, **options))
 
     def score(model: TopographicMap) -> float:
         if not model.success:

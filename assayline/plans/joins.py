@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+from assayline.session import cut_lineage
+
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 HEAVY_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 100_000
 
@@ -42,7 +44,7 @@ def split_join(
     bound = max(heavy_rows, -(-(total or 0) // max_heavy_keys))
     if (largest or 0) <= bound:
         return _joined(left, _renamed(right, keys), keys, how)
-    heavy = counts.where(F.col("_n") > bound).select(*keys, F.lit(True).alias("_heavy")).persist()
+    heavy = cut_lineage(counts.where(F.col("_n") > bound).select(*keys, F.lit(True).alias("_heavy")))
     marked = _joined(left, F.broadcast(_renamed(heavy, keys)), keys, "left")
     hot, cold = marked.where("_heavy").drop("_heavy"), marked.where(F.col("_heavy").isNull()).drop("_heavy")
     hot_right = _joined(right, F.broadcast(_renamed(heavy, keys)), keys, "inner").drop("_heavy")
@@ -61,10 +63,19 @@ def join_stats(
 ) -> DataFrame:
     """Join one-row-per-key ``stats`` to ``df``; null keys match each other.
 
-    ``stats`` is materialised and counted first.  Up to ``broadcast_rows`` rows
+    ``stats`` is written and measured first.  Up to ``broadcast_rows`` rows of ``BROADCAST_BYTES`` together
     it is broadcast, so ``df`` is not shuffled; beyond that see :func:`split_join`.
     """
-    small = stats.persist()
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    small = cut_lineage(stats)
+    if fits(small, broadcast_rows):
         return _joined(df, F.broadcast(_renamed(small, keys)), keys, how)
     return split_join(df, small, keys, how, heavy_rows)
+
+
+def fits(small: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast; its width is measured on some of its rows."""
+    some = small.limit(1000).toArrow()
+    if some.num_rows < 1000:
+        return some.num_rows <= most_rows and some.nbytes <= most_bytes
+    n = small.limit(most_rows + 1).count()
+    return n <= most_rows and n * some.nbytes / 1000 <= most_bytes

@@ -17,40 +17,23 @@ from pyspark.sql import functions as F
 from assayline.plans.joins import join_stats
 from assayline.session import cut_lineage
 
-ROWS_IN_ONE_TASK = 2_000_000
 CHUNK_ROWS = 100_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (of the table when there are no keys)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
 def row_positions(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str] = (),
     pos: str = "pos",
     total: str | None = None,
-    rows_in_one_task: int = ROWS_IN_ONE_TASK,
 ) -> DataFrame:
     """Add the 0-based position of each row within its key, by ``order``.
 
     ``order`` must be unique within a key for the result to be deterministic.
-    Small groups use a plain window.  Otherwise rows are range partitioned and
-    sorted on (keys, order), written once together with their partition number,
+    Rows are range partitioned and sorted on (keys, order), written once together with their partition number,
     and numbered from the partition sizes.
     """
     keys, order = list(keys), list(order)
-    if largest_group(df, keys) <= rows_in_one_task:
-        by_key = Window.partitionBy(*[F.col(k) for k in keys])
-        out = df.withColumn(
-            pos, F.row_number().over(by_key.orderBy(*order)).cast("long") - F.lit(1).cast("long")
-        )
-        return out.withColumn(total, F.count("*").over(by_key)) if total else out
-
     by = keys + order
     ordered = cut_lineage(
         df.repartitionByRange(*by)
@@ -75,7 +58,7 @@ def row_positions(
         if total:
             placed = placed.withColumn(total, F.col("_group_rows"))
         return placed.drop("_first_pos", "_group_rows")
-    return placed.withColumn(total, F.lit(starts[-1] + sizes[-1]["n"])) if total else placed
+    return placed.withColumn(total, F.lit(sum(r["n"] for r in sizes))) if total else placed
 
 
 def with_halo(
@@ -115,10 +98,10 @@ def contiguous_fold(pos: Column, total: Column, folds: int) -> Column:
 
 
 def with_folds(
-    df: DataFrame, order: Sequence[str], folds: int, fold: str = "fold", **limits: int
+    df: DataFrame, order: Sequence[str], folds: int, fold: str = "fold"
 ) -> DataFrame:
     """Contiguous k-fold assignment along ``order``."""
-    placed = row_positions(df, order, pos="_pos", total="_total", **limits)
+    placed = row_positions(df, order, pos="_pos", total="_total")
     return placed.withColumn(fold, contiguous_fold(F.col("_pos"), F.col("_total"), folds)).drop(
         "_pos", "_total"
     )

@@ -8,65 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.plans.joins import join_stats
+from assayline.session import cut_lineage
 
-VALUES_IN_ONE_TASK = 500_000
 
-
-def most_values(df: DataFrame, value: Column, keys: Sequence[str] = ()) -> int:
-    """About how many distinct values the richest group has (a sketch, 5 % error)."""
-    counts = df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.05).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
-
-
-def exact_median(
-    df: DataFrame,
-    value: str | Column,
-    keys: Sequence[str] = (),
-    name: str = "median",
-    values_in_one_task: int = VALUES_IN_ONE_TASK,
-    accuracy: int = 20_000,
-    largest: int | None = None,
-) -> DataFrame:
+def exact_median(df: DataFrame, value: str | Column, keys: Sequence[str] = (), name: str = "median") -> DataFrame:
     """One row per key with the exact median of ``value`` (nulls skipped).
 
-    The built-in exact median keeps every distinct value of a group in one
-    task, so it is used only when no group has many distinct values.
-    Otherwise a bounded quantile sketch brackets the middle ranks, rows below
-    the bracket are only counted, and the exact order statistics are read from
-    the values inside it, a share of ``8 / accuracy`` of the group.  ``largest`` is
-    the number of distinct values of the richest group where the caller knows it.
+    Ranks are read where the values lie: counts per value are range partitioned by (keys, value), the totals of the partitions
+    give each one's first rank, and only partitions that hold a middle rank are added up value by value, one task each.  A group may
+    have any number of values.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if (most_values(base, F.col("_v"), keys) if largest is None else largest) <= values_in_one_task:
-        return base.groupBy(*keys).agg(F.median("_v").alias(name))
-
-    margin = min(0.5, 4.0 / accuracy)
-    ends = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy)
-    brackets = base.groupBy(*keys).agg(F.count("*").alias("_n"), ends.alias("_b")).select(
-        *keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")
-    )
-    if keys:
-        placed = join_stats(base, brackets, keys)
-    else:
-        n, lo, hi = brackets.first()
-        placed = base.select("*", F.lit(n).alias("_n"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
-    # one counting row (null value) per group for everything below the bracket
-    counts = (
-        placed.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn("_cum", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    first_rank = F.floor((F.col("_n") + 1) / 2)
-    second_rank = F.floor(F.col("_n") / 2) + 1
+    counts = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    placed = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
+    by_key = Window.partitionBy(*[F.col(k) for k in keys])  # of a key a row per partition at most
+    before = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("*", F.sum("_t").over(by_key).alias("_n"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    first_rank, second_rank = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    middle = starts.where((F.col("_start") < second_rank) & (first_rank <= F.col("_start") + F.col("_t"))).drop("_t")
+    rows = join_stats(placed, middle, [*keys, "_part"])
+    upto = Window.partitionBy(*[F.col(k) for k in keys], "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_upto", F.col("_start") + F.sum("_c").over(upto))
 
     def at(rank: Column) -> Column:
-        below = F.col("_cum") - F.col("_c")
-        return F.max(F.when((below < rank) & (rank <= F.col("_cum")), F.col("_v")))
+        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_v")))
 
-    middle = ranked.groupBy(*keys).agg(at(first_rank).alias("_a"), at(second_rank).alias("_z"))
-    missed = F.raise_error(F.lit("the quantile bracket missed the median")).cast("double")
-    return middle.select(*keys, F.coalesce((F.col("_a") + F.col("_z")) / 2, missed).alias(name))
+    found = ranked.groupBy(*keys).agg(at(first_rank).alias("_a"), at(second_rank).alias("_z"))
+    return found.select(*keys, ((F.col("_a") + F.col("_z")) / 2).alias(name))

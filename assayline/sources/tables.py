@@ -58,16 +58,16 @@ def attach_labels(features: DataFrame, labels: DataFrame, id_col: str) -> DataFr
     return features.join(labels, id_col)
 
 
-def sample_ids(df: DataFrame, order: Sequence[str], id_col: str = "sample", **limits: int) -> DataFrame:
+def sample_ids(df: DataFrame, order: Sequence[str], id_col: str = "sample") -> DataFrame:
     """Add ``sample_1``, ``sample_2``, ... along ``order``."""
-    placed = row_positions(df, order, pos="_pos", **limits)
+    placed = row_positions(df, order, pos="_pos")
     name = F.concat(F.lit("sample_"), (F.col("_pos") + 1).cast("string"))
     return placed.withColumn(id_col, name).drop("_pos")
 
 
-def row_index(df: DataFrame, order: Sequence[str], offset: int = 0, out: str = "row", **limits: int) -> DataFrame:
+def row_index(df: DataFrame, order: Sequence[str], offset: int = 0, out: str = "row") -> DataFrame:
     """Add a 0-based row number along ``order``, plus ``offset``."""
-    return row_positions(df, order, pos=out, **limits).withColumn(out, F.col(out) + offset)
+    return row_positions(df, order, pos=out).withColumn(out, F.col(out) + offset)
 
 
 def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = (), kind: str = "csv") -> None:

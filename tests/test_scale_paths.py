@@ -1,8 +1,9 @@
-"""The ways taken beyond a size limit give the same rows as the direct ways."""
+"""Operators on a table with a hot key, a null key and many equal values, against direct definitions."""
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
@@ -31,19 +32,24 @@ def rows(df):
 
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_median(skewed, keys):
-    direct = exact_median(skewed, "value", keys)
-    assert rows(exact_median(skewed, "value", keys, values_in_one_task=5)) == rows(direct)
-    assert rows(exact_median(skewed, "value", keys, values_in_one_task=5, accuracy=20)) == rows(direct)
+    direct = skewed.groupBy(*keys).agg(F.median("value").alias("median"))
+    assert rows(exact_median(skewed, "value", keys)) == rows(direct)
+    odd = skewed.where("id < 701").union(skewed.where("id < 3").withColumn("value", F.lit(None).cast("double")))
+    assert rows(exact_median(odd, "value", keys)) == rows(odd.groupBy(*keys).agg(F.median("value").alias("median")))
+    assert exact_median(skewed.where("id < 0"), "value", keys).count() == (0 if keys else 1)
 
 
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_positions(skewed, keys):
-    direct = row_positions(skewed, ["value", "id"], keys, total="n")
-    assert rows(row_positions(skewed, ["value", "id"], keys, total="n", rows_in_one_task=5)) == rows(direct)
+    by_key = Window.partitionBy(*[F.col(k) for k in keys])
+    direct = skewed.withColumn("pos", F.row_number().over(by_key.orderBy("value", "id")).cast("long") - F.lit(1).cast("long"))
+    direct = direct.withColumn("n", F.count("*").over(by_key))
+    assert rows(row_positions(skewed, ["value", "id"], keys, total="n")) == rows(direct)
 
 
 def test_folds(skewed):
-    assert rows(with_folds(skewed, ["id"], 7, rows_in_one_task=5)) == rows(with_folds(skewed, ["id"], 7))
+    expected = skewed.withColumn("fold", (F.ntile(7).over(Window.orderBy("id")) - 1).cast("int"))
+    assert rows(with_folds(skewed, ["id"], 7)) == rows(expected)
     sizes = [r["count"] for r in with_folds(skewed.where("id < 12"), ["id"], 5).groupBy("fold").count().orderBy("fold").collect()]
     assert sizes == [3, 3, 2, 2, 2]
 
@@ -51,7 +57,7 @@ def test_folds(skewed):
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_lags(skewed, keys):
     direct = lag_table(skewed, ["id"], "value", ["value"], 6, 2, keys)
-    assert rows(lag_table(skewed, ["id"], "value", ["value"], 6, 2, keys, chunk_rows=8, rows_in_one_task=5)) == rows(direct)
+    assert rows(lag_table(skewed, ["id"], "value", ["value"], 6, 2, keys, chunk_rows=8)) == rows(direct)
     for drop in ("any", "target", "none"):
         assert lag_table(skewed, ["id"], "value", ["value"], 6, 2, keys, drop=drop).count() == direct.count()
 
@@ -59,15 +65,19 @@ def test_lags(skewed, keys):
 @pytest.mark.parametrize("deriv", [0, 1, 2])
 def test_smoothing(skewed, deriv):
     direct = {r["id"]: r["smoothed"] for r in smooth_series(skewed, ["id"], "value", 15, 3, deriv, ["key"], chunk_rows=10_000).collect()}
-    cut = {r["id"]: r["smoothed"] for r in smooth_series(skewed, ["id"], "value", 15, 3, deriv, ["key"], chunk_rows=20, rows_in_one_task=5).collect()}
+    cut = {r["id"]: r["smoothed"] for r in smooth_series(skewed, ["id"], "value", 15, 3, deriv, ["key"], chunk_rows=20).collect()}
     assert direct.keys() == cut.keys()
     assert max(abs(direct[i] - cut[i]) for i in direct) < 1e-9
 
 
 def test_flags(skewed):
-    assert rows(hampel(skewed, "value", ["key"], values_in_one_task=5)) == rows(hampel(skewed, "value", ["key"]))
+    found = {r["id"]: (r["key"], r["value"], r["is_outlier"]) for r in hampel(skewed, "value", ["key"]).collect()}
+    for key in {k for k, _, _ in found.values()}:
+        values = np.array([v for k, v, _ in found.values() if k == key])
+        reach = 3 * 1.4826 * np.median(np.abs(values - np.median(values)))
+        assert all(flag == (abs(v - np.median(values)) > reach) for k, v, flag in found.values() if k == key)
     a = savgol_hampel(skewed, ["id"], "value", ["key"], 11).select("id", "is_outlier")
-    b = savgol_hampel(skewed, ["id"], "value", ["key"], 11, chunk_rows=30, rows_in_one_task=5, values_in_one_task=5).select("id", "is_outlier")
+    b = savgol_hampel(skewed, ["id"], "value", ["key"], 11, chunk_rows=30).select("id", "is_outlier")
     assert rows(a) == rows(b)
 
 
@@ -106,6 +116,6 @@ def test_neighbour_error_of_the_same_space(spark, folder):
 
 def test_shadows_keep_values_and_break_rows(spark):
     df = spark.range(50).select("id", F.array(F.col("id").cast("double"), (F.col("id") * 2).cast("double")).alias("x"))
-    both = with_shadows(df, "id", 2, seed=4, rows_in_one_task=5).collect()
+    both = with_shadows(df, "id", 2, seed=4).collect()
     assert sorted(r["x"][2] for r in both) == sorted(float(i) for i in range(50))
     assert all(r["x"][3] == 2 * r["x"][2] and r["x"][2] != r["id"] for r in both)
