@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from assayline.catalog.registry import query, rounded, sql_rounded
 from assayline.operators import boosting as B
 from assayline.operators import trees as T
-from assayline.operators.ensemble_outliers import outlier_samples
+from assayline.operators.ensemble_outliers import RidgeLearner, outlier_samples
 from assayline.operators.features import spread_array
 from assayline.operators.impute import impute_mixture
 from assayline.operators.mixture import (
@@ -26,7 +26,7 @@ from assayline.operators.neighbours import embedding_sweep, k3n_error, k3n_terms
 from assayline.operators.pls import pls_cv, pls_cv_predict, pls_fit
 from assayline.operators.rbf import RbfPoint, rbf_cv
 from assayline.operators.scale import autoscale
-from assayline.operators.screening import relevant_features
+from assayline.operators.screening import StumpLearner, relevant_features
 from assayline.operators.search import (
     select_features_ga, select_features_rbf_ga, select_lags_ga, select_lags_rbf_ga, select_regions_ga,
     select_regions_rbf_ga,
@@ -143,10 +143,33 @@ def pls_cv_components(spark, folder):
     return pls_cv(_planted(spark, folder), DIMENSIONS, "y", "fold", 5, 10)
 
 
+def _with_outliers(spark, folder):
+    return _planted(spark, folder).withColumn("y", F.col("y") + F.when(F.col("vec_id") % 37 == 0, 8.0).otherwise(0.0))
+
+
 @query("outlier_samples_embeddings")
 def outlier_samples_embeddings(spark, folder):
-    rows = _planted(spark, folder, 20).withColumn("y", F.col("y") + F.when(F.col("vec_id") % 37 == 0, 8.0).otherwise(0.0))
-    return outlier_samples(rows, "vec_id", DIMENSIONS[:20], "y", sub_models=30, rounds=5)
+    return outlier_samples(_with_outliers(spark, folder), "vec_id", DIMENSIONS, "y")
+
+
+@query("outlier_samples_ridge")
+def outlier_samples_ridge(spark, folder):
+    return outlier_samples(_with_outliers(spark, folder), "vec_id", DIMENSIONS, "y", learner=RidgeLearner())
+
+
+# The rows that were moved are known, so the flags have an exact answer.
+_SQL_MOVED = "SELECT vec_id FROM embeddings WHERE vec_id % 37 = 0"
+
+
+@query("moved_samples_found", _SQL_MOVED)
+def moved_samples_found(spark, folder):
+    return outlier_samples(_with_outliers(spark, folder), "vec_id", DIMENSIONS, "y", width=12.0).where("is_outlier_sample").select("vec_id")
+
+
+@query("moved_samples_found_ridge", _SQL_MOVED)
+def moved_samples_found_ridge(spark, folder):
+    found = outlier_samples(_with_outliers(spark, folder), "vec_id", DIMENSIONS, "y", learner=RidgeLearner(), width=12.0)
+    return found.where("is_outlier_sample").select("vec_id")
 
 
 # ---- mixtures -------------------------------------------------------------------------------
@@ -673,9 +696,17 @@ def gradient_boost_stumps(spark, folder):
     return found.select("round", "tree", "feature", *[rounded(c).alias(c) for c in ("threshold", "below", "above")])
 
 
-@query("relevant_features")
-def relevant_features_embeddings(spark, folder):
+def _screened(spark, folder):
     rows = read_table(spark, folder, "embeddings")
     label = (F.col("embedding")[0] + F.col("embedding")[3] + F.col("embedding")[5] > 0).cast("int")
-    rows = rows.select("vec_id", F.slice("embedding", 1, 12).alias("x"), label.alias("c"))
-    return relevant_features(rows, "vec_id", "x", "c", rounds=10, trees=20)
+    return rows.select("vec_id", F.col("embedding").alias("x"), label.alias("c"))
+
+
+@query("relevant_features")
+def relevant_features_embeddings(spark, folder):
+    return relevant_features(_screened(spark, folder), "vec_id", "x", "c")
+
+
+@query("relevant_features_stumps")
+def relevant_features_stumps(spark, folder):
+    return relevant_features(_screened(spark, folder), "vec_id", "x", "c", learner=StumpLearner())

@@ -7,6 +7,8 @@ the sub-models are refitted without them, and so on until the flags repeat.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,6 +51,51 @@ def _mean_fold_r2(folds: np.ndarray, components: int) -> np.ndarray:
     return scores / len(folds)
 
 
+class MomentLearner(Protocol):
+    """A least-squares learner that needs moment matrices only."""
+
+    def fit(self, folds: np.ndarray) -> np.ndarray:
+        """Intercept and slopes from the moment matrices of two halves of the training rows."""
+
+
+@dataclass(frozen=True)
+class PlsLearner:
+    """Partial least squares; the number of components maximises the mean r2 of the halves."""
+
+    max_components: int = 30
+
+    def fit(self, folds: np.ndarray) -> np.ndarray:
+        whole = folds.sum(axis=0)
+        components = max(1, min(matrix_rank(whole), self.max_components, len(whole) - 2))
+        best = int(np.argmax(_mean_fold_r2(folds, components))) + 1
+        return pls_coefficients(whole, best)[-1]
+
+
+@dataclass(frozen=True)
+class RidgeLearner:
+    """Ridge regression on standardised features; the penalty (per row) maximises the mean r2 of the halves."""
+
+    penalties: tuple[float, ...] = (1e-6, 1e-4, 1e-2, 1.0)
+
+    @staticmethod
+    def _slopes(matrix: np.ndarray, penalty: float) -> np.ndarray:
+        n, mean, products = covariance(matrix)
+        scale = np.sqrt(np.clip(np.diag(products)[:-1], 0, None) / n)
+        used = scale > 0
+        standard = products[:-1, :-1][np.ix_(used, used)] / n / np.outer(scale[used], scale[used])
+        slopes = np.zeros(len(scale))
+        slopes[used] = np.linalg.solve(standard + penalty * np.eye(used.sum()), products[:-1, -1][used] / n / scale[used]) / scale[used]
+        return np.append(mean[-1] - mean[:-1] @ slopes, slopes)
+
+    def fit(self, folds: np.ndarray) -> np.ndarray:
+        whole, scores = folds.sum(axis=0), np.zeros(len(self.penalties))
+        for held_out in folds:
+            sst = covariance(held_out)[2][-1, -1]
+            for i, penalty in enumerate(self.penalties):
+                scores[i] += 1.0 - squared_error(held_out, self._slopes(whole - held_out, penalty)) / sst if sst > 0 else -np.inf
+        return self._slopes(whole, self.penalties[int(scores.argmax())])
+
+
 def outlier_samples(
     df: DataFrame,
     id_col: str,
@@ -56,20 +103,20 @@ def outlier_samples(
     target: str,
     sub_models: int = 100,
     rounds: int = 30,
-    max_components: int = 30,
+    learner: MomentLearner | None = None,
     width: float = 3.0,
     seed: int = 0,
 ) -> DataFrame:
     """(id, target, predicted, is_outlier_sample) after the last round.
 
-    Each sub-model is partial least squares on a bootstrap sample of the rows
-    not flagged so far; its number of components maximises the mean r2 of
-    two shuffled folds.  A row is flagged when it is further from the median
+    Each sub-model is ``learner`` (partial least squares unless given) on a bootstrap sample of the rows
+    not flagged so far, in two shuffled halves that choose its size.  A row is flagged when it is further from the median
     prediction than ``width`` median absolute deviations of all residuals.
     The bootstrap weights are drawn from a hash of the id, so one scan per
     round serves every sub-model, and the state between rounds is only the
     coefficients and the threshold.
     """
+    learner = learner or PlsLearner()
     rows = (
         df.where(is_complete(features) & F.col(target).isNotNull())
         .select(id_col, feature_array(features).alias("x"), F.col(target).cast("double").alias("y"))
@@ -113,9 +160,7 @@ def outlier_samples(
             matrices[m, half] += np.triu(matrices[m, half], 1).T
         fitted = []
         for folds in matrices:
-            components = max(1, min(matrix_rank(folds.sum(axis=0)), max_components, size - 2))
-            best = int(np.argmax(_mean_fold_r2(folds, components))) + 1
-            fitted.append(pls_coefficients(folds.sum(axis=0), best)[-1])
+            fitted.append(learner.fit(folds))
         models = np.array(fitted)
         current = models
 

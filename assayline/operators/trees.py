@@ -87,8 +87,8 @@ def _grown(left: np.ndarray, right: np.ndarray, kind: str) -> np.ndarray:
     return purity(left) + purity(right)
 
 
-def best_splits(sums: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature and cut of each node, and the sums of both sides, from sums per (node, feature, bin, channel)."""
+def best_splits(sums: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature and cut of each node, the sums of both sides, and the gain, from sums per (node, feature, bin, channel)."""
     nodes, p, bins, channels = sums.shape
     left = np.cumsum(sums, 2)[:, :, :-1]
     total = sums[:, :1].sum(2, keepdims=True)
@@ -97,16 +97,17 @@ def best_splits(sums: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np
     other = right.sum(-1) if kind == "classes" else right[..., 0]
     everything = np.maximum(total.sum(-1) if kind == "classes" else total[..., 0], 1e-300)
     gain = _grown(left, right, kind) - _grown(total, np.zeros_like(total), kind)
-    gain = np.where((weight > 1e-12 * everything) & (other > 1e-12 * everything), gain / everything, 0.0)
-    gain = np.round(gain, GAIN_DIGITS).reshape(nodes, -1)
-    best = gain.argmax(1)
-    split = gain[np.arange(nodes), best] > 0
+    gain = np.where((weight > 1e-12 * everything) & (other > 1e-12 * everything), gain, 0.0).reshape(nodes, -1)
+    shares = np.round(gain / everything.reshape(nodes, 1), GAIN_DIGITS)
+    best = shares.argmax(1)
+    split = shares[np.arange(nodes), best] > 0
     feature, cut = best // (bins - 1), best % (bins - 1)
     sides = np.zeros((nodes, 2, channels))
     for n in range(nodes):
         sides[n, 0] = left[n, feature[n], cut[n]] if split[n] else total[n, 0, 0]
         sides[n, 1] = right[n, feature[n], cut[n]] if split[n] else 0.0
-    return np.where(split, feature, -1), np.where(split, cut, 0), sides.reshape(2 * nodes, channels)
+    gained = np.where(split, gain[np.arange(nodes), best], 0.0)
+    return np.where(split, feature, -1), np.where(split, cut, 0), sides.reshape(2 * nodes, channels), gained
 
 
 @dataclass
@@ -173,7 +174,7 @@ def _grow(data: BinnedRows, depth: int, trees: int, kind: str, weigh) -> list[tu
         sides = []
         for t, tree in enumerate(grown):
             sums = np.moveaxis(found[str(t)].reshape(-1, 1 << level, len(data.edges), bins), 0, -1)
-            feature, cut, side = best_splits(sums, kind)
+            feature, cut, side, _ = best_splits(sums, kind)
             place = slice((1 << level) - 1, (2 << level) - 1)
             tree.features[place], tree.cuts[place] = feature, cut
             sides.append(side)

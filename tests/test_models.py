@@ -12,7 +12,7 @@ from assayline.operators.impute import impute_mixture
 from assayline.operators.mixture import fit_mixture, fit_mixtures, mixture_bic, score_mixture
 from assayline.operators.pls import pls_cv, pls_cv_predict, pls_fit, r2_score
 from assayline.operators.rbf import RbfPoint, rbf_cv
-from assayline.operators.screening import keep_relevant, relevant_features
+from assayline.operators.screening import ForestLearner, StumpLearner, affine, keep_relevant, relevant_features
 from assayline.operators.search import (
     select_features_ga, select_features_rbf_ga, select_lags_ga, select_regions_ga,
 )
@@ -236,13 +236,28 @@ def test_screening_accepts_the_planted_features(spark):
     pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(6)]).assign(id=range(400), y=(x[:, 0] + x[:, 2] > 0).astype(int))
     df = spark.createDataFrame(pdf).repartition(3)
     names = [f"f{i}" for i in range(6)]
-    decisions = relevant_features(df, "id", names, "y", rounds=14, trees=15)
+    decisions = relevant_features(df, "id", names, "y", rounds=14, learner=ForestLearner(15))
     by_name = {r["feature"]: r for r in decisions.collect()}
     assert by_name["f0"]["decision"] == by_name["f2"]["decision"] == "accepted"
     assert all(by_name[f"f{i}"]["decision"] != "accepted" for i in (1, 3, 4, 5))
     assert {"f0", "f2"} <= set(keep_relevant(df, names, decisions).columns)
 
 
+def test_shadows_are_shuffled_rows():
+    for n in (1, 2, 3, 10, 97):
+        orders = [affine(n, 1, r) for r in range(5)]
+        assert all(sorted(o) == list(range(n)) for o in orders)
+        assert n < 3 or len({tuple(o) for o in orders}) > 1
+
+
+def test_screening_by_stumps(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 4))
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(id=range(300), y=(x[:, 1] > 0.3).astype(int))
+    found = {r["feature"]: r["decision"] for r in relevant_features(spark.createDataFrame(pdf), "id", list("abcd"), "y", 20, StumpLearner()).collect()}
+    assert found["b"] == "accepted" and "accepted" not in {found[c] for c in "acd"}
+
+
 def test_shuffled_folds_are_balanced(spark):
     counts = [r["count"] for r in spark.range(5000).groupBy(shuffled_fold(["id"], 5, 9)).count().collect()]
     assert len(counts) == 5 and max(counts) < 1.15 * min(counts)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
 from assayline.operators.outliers import hampel, savgol_hampel
-from assayline.operators.screening import with_shadows
 from assayline.operators.signal import lag_table, smooth_series
 from assayline.plans.joins import join_stats, split_join
 from assayline.plans.ordered import row_positions, with_folds
@@ -112,10 +111,3 @@ def test_neighbours_with_copies(spark, block_rows):
 def test_neighbour_error_of_the_same_space(spark, folder):
     df = read_table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("a"))
     assert k3n_error(df.withColumn("b", F.transform("a", lambda v: v * 2)), "vec_id", "a", "b", 5) == pytest.approx(0, abs=1e-9)
-
-
-def test_shadows_keep_values_and_break_rows(spark):
-    df = spark.range(50).select("id", F.array(F.col("id").cast("double"), (F.col("id") * 2).cast("double")).alias("x"))
-    both = with_shadows(df, "id", 2, seed=4).collect()
-    assert sorted(r["x"][2] for r in both) == sorted(float(i) for i in range(50))
-    assert all(r["x"][3] == 2 * r["x"][2] and r["x"][2] != r["id"] for r in both)
