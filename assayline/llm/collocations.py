@@ -37,7 +37,7 @@ from assayline.session import ship_package
 #: Entries of a container before it bursts, entries of a task before subtrees are spilled, words that it numbers at a time.
 BURST, MOST_ENTRIES, MOST_WORDS = 4096, 1 << 19, 1 << 19
 #: Words that are entered before the size of the trie is looked at.
-MOST_TOKENS = 1 << 17
+MOST_TOKENS = 1 << 18
 #: Bytes of text per partition of prefixes.
 PARTITION_BYTES = 4 << 20
 LEAST_COUNT, TOP = 10, 2000
@@ -126,14 +126,12 @@ class HatTrie:
         return np.repeat(np.array(words, "int64"), sizes), np.array(keys, "int64"), np.array(counts, "int64")
 
 
-def _sorted_runs(trie: HatTrie, subtrees: list[int], lang: str, numbers: dict[bytes, int], partitions: int) -> Iterator[tuple[int, str, int, bytes]]:
+def _sorted_runs(trie: HatTrie, subtrees: list[int], lang: str, words: list[bytes], hashes: np.ndarray, partitions: int) -> Iterator[tuple[int, str, int, bytes]]:
     """(partition, language, bytes, packed run): lines ``first second third<tab>count``, or ``word<tab>count`` for a word by itself."""
     if not subtrees:
         return
-    words = [b"", *islice(numbers, 1, None)]
     first, keys, counts = trie.take(subtrees)
     second, third = keys >> 32, keys & _LOW
-    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     seed = np.uint64(zlib.crc32(lang.encode()))
 
     def partition(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,11 +142,18 @@ def _sorted_runs(trie: HatTrie, subtrees: list[int], lang: str, numbers: dict[by
     single, total = first[opens], np.add.reduceat(counts, np.flatnonzero(opens))
     phrase = second > 0  # a word by itself is in its total
     first, second, third, counts = first[phrase], second[phrase], third[phrase], counts[phrase]
-    known = pa.array(words, pa.binary())
-    rank = np.empty(len(words), "int64")
-    rank[pc.array_sort_indices(known).to_numpy()] = np.arange(len(words))
+    of_phrase, of_word = partition(first, second), partition(single, np.zeros_like(single))
+    used = np.zeros(len(words), bool)
+    used[0] = True  # no word
+    for part in (single, second, third):
+        used[part] = True
+    place_of = np.cumsum(used) - 1  # words that occur here, in the order of their numbers
+    known = pa.array([words[i] for i in np.flatnonzero(used).tolist()], pa.binary())
+    rank = np.empty(len(known), "int64")
+    rank[pc.array_sort_indices(known).to_numpy()] = np.arange(len(known))
+    single, first, second, third = (place_of[p] for p in (single, first, second, third))
     codec = pa.Codec("zstd")
-    for place, parts, n in ((partition(first, second), (first, second, third), counts), (partition(single, np.zeros_like(single)), (single,), total)):
+    for place, parts, n in ((of_phrase, (first, second, third), counts), (of_word, (single,), total)):
         by = np.lexsort((*[rank[p] for p in reversed(parts)], place))
         place = place[by]
         names = [known.take(pa.array(p[by])) for p in parts]
@@ -168,16 +173,23 @@ def _sorted_runs(trie: HatTrie, subtrees: list[int], lang: str, numbers: dict[by
 def _spilled(batches: Iterable[pa.RecordBatch], partitions: int, most: int) -> Iterator[pa.RecordBatch]:
     tries: dict[str, HatTrie] = defaultdict(HatTrie)
     numbers: dict[bytes, int] = {}
+    words: list[bytes] = []
+    hashes = np.zeros(0, np.uint64)
 
     def restart():
-        nonlocal numbers
+        nonlocal numbers, words, hashes
         numbers = defaultdict(count().__next__)
         numbers[b"\n"]  # the sign between pieces is number 0
+        words, hashes = [b""], np.array([zlib.crc32(b"")], np.uint64)
 
     def rows(share: float) -> Iterator[pa.RecordBatch]:
+        nonlocal hashes
+        new = list(islice(numbers, len(words), None))
+        words.extend(new)
+        hashes = np.append(hashes, np.fromiter(map(zlib.crc32, new), np.uint64, len(new)))
         part, size = [], 0
         for lang, trie in tries.items():
-            for row in _sorted_runs(trie, trie.largest(share), lang, numbers, partitions):
+            for row in _sorted_runs(trie, trie.largest(share), lang, words, hashes, partitions):
                 part.append(row)
                 size += len(row[3])
                 if size > 8 << 20 or len(part) >= 4096:
@@ -188,9 +200,9 @@ def _spilled(batches: Iterable[pa.RecordBatch], partitions: int, most: int) -> I
 
     restart()
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
+        for start in range(0, batch.num_rows, 512):
             waiting: dict[str, list[bytes]] = defaultdict(list)
-            for lang, text in zip(batch.column(0).slice(start, 256).to_pylist(), as_bytes(batch.column(1).slice(start, 256))):
+            for lang, text in zip(batch.column(0).slice(start, 512).to_pylist(), as_bytes(batch.column(1).slice(start, 512))):
                 marked = text.lower().translate(_PIECES).replace(b"\n", b" \n \n ")
                 waiting[lang] += filter(None, marked.split(b" "))
                 waiting[lang] += (b"\n", b"\n")
