@@ -7,11 +7,13 @@ file they lie; assembly joins the records of a capture through these identifiers
 Archives are written by Spark's text writer, one record a line with the record's end as line separator, so that
 they land in whatever store Spark can write to; they are gzipped per file.  Reading follows
 Content-Length, so payloads may hold anything, record ends included.  A file is read by one task, record
-by record; the writer bounds files by their number of bytes.
+by record; no file that the writer makes holds more than about ``MOST_BYTES``, or one capture.
 
-Cases: a null payload is empty.  Records with equal payloads of at least ``least`` bytes revisit the one with the largest
-id; smaller ones are all responses.  Ids must be unique and not null (they name the records); captures with
-a null id are refused by an error.  Truncated archives raise an error.  Very large payloads have a file for themselves.
+Cases: a null payload is empty, a null url too, and control characters of a url are percent-encoded, as headers are lines.  Records
+with equal payloads of at least ``least`` bytes revisit the one with the largest id; smaller ones are all responses.  Rows that
+repeat an id are captures of their own, with records of their own; of equal payloads with the largest id all stay responses.  Captures with
+a null id are refused by an error.  Truncated archives raise an error.  Payloads of over ``LARGE`` bytes lie in files of their own
+kind.  An empty table makes an archive without records, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,22 +24,25 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import only
+from assayline.llm.common import only, shipped, written
 from assayline.plans.joins import split_join
 
 END = "\r\n\r\n"
 #: Bytes of records per archive file, on average: a task begins a new file after as many records as fill one.
 FILE_BYTES = 4 << 20
+#: Payloads above this are written apart, so that no file grows far beyond the average; bytes of payloads in one file at most.
+LARGE, MOST_BYTES = 1 << 16, 1 << 30
 #: Fixed value of the format.
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(kind: str, key: Column) -> Column:
-    """A stable identifier of a capture's record."""
-    h = F.md5(F.concat(F.lit(kind + ":"), key.cast("string")))
+def _record_id(kind: str, key: Column, nth: Column | None = None) -> Column:
+    """A stable identifier of a capture's record; ``nth`` tells captures with the same id apart."""
+    name = F.concat(F.lit(kind + ":"), key.cast("string"))
+    h = F.md5(name if nth is None else F.when(nth == 1, name).otherwise(F.concat(name, F.lit("#"), nth.cast("string"))))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -62,10 +67,27 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*parts, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
+def _as_header(value: Column) -> Column:
+    """Text with its control characters percent-encoded."""
+    control = r"[\x00-\x1F\x7F]"
+    encoded = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c))
+    return F.when(value.rlike(control), F.array_join(encoded, "")).otherwise(value)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``nth``, which counts those that share an id; only these are shuffled."""
+    repeated = written(rows.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    if not repeated.limit(1).count():
+        return rows.withColumn("nth", F.lit(1))
+    order = Window.partitionBy("key").orderBy("sha2", "url")
+    several = rows.join(shipped(repeated), "key", "left_semi").withColumn("nth", F.row_number().over(order))
+    return rows.join(shipped(repeated), "key", "left_anti").withColumn("nth", F.lit(1)).unionByName(several)
+
+
 def write_captures(pages: DataFrame, path: str, key: str, url: str, payload: str, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write three records per row of ``pages`` to gzipped archives below ``path``."""
     rows = only(pages, key, url, payload).toDF("key", "url", "payload")
-    rows = rows.select("key", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
+    rows = rows.select("key", _as_header(F.coalesce("url", F.lit(""))).alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.col("key").isNull(), F.raise_error(F.lit("a capture has no id"))).otherwise(F.col("key")))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     rows = rows.withColumn("sha2", F.sha2("payload", 256))
@@ -74,10 +96,10 @@ def write_captures(pages: DataFrame, path: str, key: str, url: str, payload: str
         .where("n > 1").select("sha2", "bytes", "first")
     )
     # Only records that share their payload are joined; the payloads themselves stay where they are.
-    revisits = split_join(rows.select("key", "sha2", "bytes"), equal, ["sha2", "bytes"]).where("key <> first").select("key", "first")
-    marked = _attached(rows, revisits)
+    revisits = split_join(rows.select("key", "sha2", "bytes"), equal, ["sha2", "bytes"]).where("key <> first").select("key", "sha2", "first").distinct()
+    marked = _attached(_numbered(rows), written(revisits, "revisits"))
     target, digest = F.col("url"), F.concat(F.lit("sha1:"), _base32(F.col("sha1")))
-    response, revisit = _record_id("response", F.col("key")), F.col("first").isNotNull()
+    response, revisit = _record_id("response", F.col("key"), F.col("nth")), F.col("first").isNotNull()
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", target)]
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     whole = _record(
@@ -90,7 +112,7 @@ def write_captures(pages: DataFrame, path: str, key: str, url: str, payload: str
          ("Content-Type", F.lit("application/http;msgtype=response"))], http,
     )
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", F.col("key"))), *common,
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", F.col("key"), F.col("nth"))), *common,
          ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http;msgtype=request"))],
         F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\n\r\n")),
     )
@@ -99,20 +121,28 @@ def write_captures(pages: DataFrame, path: str, key: str, url: str, payload: str
         F.when(revisit, F.concat(F.lit("\r\nrefers-to-id: "), F.col("first").cast("string"))).otherwise(F.lit("")), F.lit("\r\n"),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("key"))), *common,
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("key"), F.col("nth"))), *common,
          ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], about,
     )
-    size, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    per_file = max(1, FILE_BYTES * 3 * n // (size + 1500 * n)) if n else 1
-    records = marked.select(F.explode(F.array(request, F.when(revisit, pointer).otherwise(whole), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    large = F.col("bytes") > LARGE
+    size, n, most = rows.agg(
+        F.coalesce(F.sum(F.when(~large, F.col("bytes"))), F.lit(0)), F.count(F.when(~large, True)), F.coalesce(F.max("bytes"), F.lit(0))
+    ).first()
+    records = F.explode(F.array(request, F.when(revisit, pointer).otherwise(whole), metadata)).alias("value")
+
+    def put(some: DataFrame, per_file: int, mode: str) -> None:
+        writer = some.select(records).write.mode(mode).option("lineSep", END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", per_file).text(path)
+
+    put(marked.where(~large), max(3, FILE_BYTES * 3 * n // (size + 1500 * n)) if n else 3, "error")
+    if most > LARGE:
+        put(marked.where(large), 3 * max(1, MOST_BYTES // most), "append")
 
 
-def _attached(rows: DataFrame, revisits: DataFrame, most: int = 200_000) -> DataFrame:
-    """Rows with the id they revisit, if any.  Up to ``most`` revisits are broadcast, more are joined by a shuffle."""
-    revisits = revisits.withColumnRenamed("key", "_key").persist()
-    n = revisits.limit(most + 1).count()
-    return rows.join(F.broadcast(revisits) if n <= most else revisits, rows["key"] == revisits["_key"], "left").drop("_key")
+def _attached(rows: DataFrame, revisits: DataFrame) -> DataFrame:
+    """Rows with the id they revisit, if any.  Few revisits are broadcast, many are joined by a shuffle."""
+    revisits = shipped(revisits.toDF("_key", "_sha2", "first"), 200_000)
+    return rows.join(revisits, (rows["key"] == revisits["_key"]) & (rows["sha2"] == revisits["_sha2"]), "left").drop("_key", "_sha2")
 
 
 FIELDS = (

@@ -212,6 +212,25 @@ def test_archives_hold_their_captures(spark):
             assert c["response"]["type"] == "revisit" and c["response"]["refers_to"] is not None
 
 
+def test_captures_with_repeated_ids_and_odd_urls(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 40)
+    monkeypatch.setattr(warc, "MOST_BYTES", 100)
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "a\r\nb: c", "x"), (3, "u", "x" * 50), (3, None, "y"), (4, "u", "x" * 50), (5, "u", "z" * 90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_folder(spark, "test-warc")
+    warc.write_captures(pages, path, "page_id", "url", "html")
+    captures = warc.assemble(warc.read_records(spark, path)).select(
+        warc.metadata_field("id").cast("long").alias("id"), warc.metadata_field("refers-to-id").cast("long").alias("first"),
+        F.col("response.type").alias("type"), F.col("request.target").alias("target"),
+    )
+    got = sorted((r["id"], r["type"], r["first"] or 0) for r in captures.collect())
+    assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (3, "response", 0), (3, "revisit", 4), (4, "response", 0), (5, "response", 0)]
+    assert {r["target"] for r in captures.where("id = 2").collect()} == {"a%0D%0Ab: c"}
+    empty = scratch_folder(spark, "test-warc")
+    warc.write_captures(pages.limit(0), empty, "page_id", "url", "html")
+    assert warc.read_records(spark, empty).count() == 0
+
+
 def test_small_payloads_are_not_revisited(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     path = scratch_folder(spark, "test-warc")
