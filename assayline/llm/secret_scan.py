@@ -2,9 +2,9 @@
 
 Method: two models of character pairs, one of random strings and one of ordinary identifiers, are trained from samples
 that the corpus labels itself: the values that the patterns find are random strings, all other
-runs of the same characters are ordinary.  The pairs are counted over all documents.  A run of at least
-``MIN_LENGTH`` characters with a digit in it, outside the spans of the patterns, is a secret when its log-likelihood ratio
-per character pair exceeds ``THRESHOLD``.
+runs of the same characters are ordinary.  The pairs are counted over all documents.  A run outside the spans of the
+patterns is a secret when its log-likelihood ratio reaches ``LEAST_RATIO`` and exceeds ``THRESHOLD`` per character pair; it needs no
+digit, and the less ordinary its pairs are, the shorter it may be.
 
 Cases: null or empty texts have no spans.  Spans are code points, end exclusive, of the whole match.  Very long texts
 are read whole.  Without any sample both models are uniform and nothing is added.  Rows are independent, so
@@ -25,9 +25,12 @@ from pyspark.sql import types as T
 
 from assayline.llm.common import as_bytes, map_batches, only
 
-MIN_LENGTH = 20
-#: Natural logarithm per character pair.
-THRESHOLD = 0.5
+#: Natural logarithms: the ratio that a run must reach in all and per character pair.  A run of fewer characters than
+#: ``MIN_LENGTH`` cannot reach the first.
+LEAST_RATIO, THRESHOLD = 20.0, 0.5
+MIN_LENGTH = 8
+#: Share of a uniform distribution in both models, so that the ratio of a pair is bounded however many pairs were counted.
+UNIFORM = 0.02
 
 #: Kinds in the order of spans that start together; the last is the model's.
 KINDS = ("assign", "access", "hex", "random")
@@ -47,7 +50,6 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _RUN_CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
-_DIGIT = re.compile(rb"[0-9]")
 #: Bytes as symbols of the models: 0 is everything outside a run.
 _SYMBOLS = bytes(_RUN_CHARACTERS.find(b) + 1 for b in range(256))
 _N = len(_RUN_CHARACTERS) + 1
@@ -105,7 +107,7 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     at = rows["pair"].to_numpy("int64")
     counts[0].flat[at], counts[1].flat[at] = rows["random"].to_numpy(float), rows["plain"].to_numpy(float)
     inside = counts[:, 1:, 1:] + 1.0
-    logs = np.log(inside / inside.sum(2, keepdims=True))
+    logs = np.log((1 - UNIFORM) * inside / inside.sum(2, keepdims=True) + UNIFORM / inside.shape[2])
     ratio = np.zeros((_N, _N))
     ratio[1:, 1:] = logs[0] - logs[1]
     joiners = [_RUN_CHARACTERS.index(c) + 1 for c in b"+/_=-"]
@@ -130,7 +132,8 @@ def spans_of(text: bytes, ratio: np.ndarray) -> list[tuple[int, int, int]]:
             before = bisect_left(taken, (m.end(),))  # spans that start before the run ends
             if before and reach[before - 1] > m.start():
                 continue
-            if _DIGIT.search(m[0]) and score(m[0], ratio) > THRESHOLD:
+            mean = score(m[0], ratio)
+            if mean > THRESHOLD and mean * (len(m[0]) - 1) >= LEAST_RATIO:
                 found.append((m.start(), 3, m.end()))
     if not found or text.isascii():
         return sorted(found)

@@ -558,6 +558,19 @@ SECRETS = [
 ]
 
 
+@pytest.mark.parametrize("random", ["kDxjfLqZmXvTtRwPpYsNbbQhGz", "kD93jfLq0ZmX81vTtR4"])
+def test_random_strings_need_no_digit_and_no_fixed_length(spark, folder, random):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = spark.createDataFrame([(-i, "token = " + "".join(rng.choice(letters, 40))) for i in range(1, 200)], docs.schema)
+    plain = "getElementsByTagName HttpServletRequestWrapper MAX_CONNECTION_RETRIES x86_64-unknown-linux-gnu internationalization"
+    probe = spark.createDataFrame([(1, f"so {random} it is"), (2, plain)], docs.schema)
+    ratio = secret_scan.train(docs.union(keys))
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(probe, ratio).collect()}
+    assert found == {1: [("random", 3, 3 + len(random))], 2: []}
+
+
 def test_secret_patterns_and_model(spark, folder):
     rows = [(i, t, "x") for i, t in enumerate(SECRETS)] + [(99, None, "x"), (None, "password=abcdef", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
