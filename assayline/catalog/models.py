@@ -1,7 +1,7 @@
 """Queries for least squares, mixtures, imputation, maps, neighbours, searches and ensembles.
 
-The iterative operators run here with few rounds and small grids; the defaults
-of the operators are larger.
+Maps, mixtures, imputation, sweeps and searches run here with few rounds and small grids; the defaults
+of these operators are larger.  Boosting, screening and outlier samples run at full size.
 """
 
 from __future__ import annotations
