@@ -11,6 +11,7 @@ and meets every document once; what several blocks find is put together in the r
 
 Cases: null or empty texts have no words and are clean; items without words have no windows; equal
 items are all named; items without an id are left out, or with ``unnamed`` hit like any other and are null in ``item_ids``.  Very long documents are read whole.  Repeated rows get the same result each.
+Empty tables of documents give empty results, an empty benchmark hits nothing, and other columns of documents may have any name.
 """
 
 from __future__ import annotations

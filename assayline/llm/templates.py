@@ -12,7 +12,8 @@ and a ``SHARE`` of its host's pages.
 
 Cases: null or empty html has the empty text.  Character references are decoded; white space inside a block becomes one
 space; blocks are joined by an empty line.  A null url is a host of its own.  Repeated page rows count as pages.  Very long
-pages are read whole.  Hosts with many pages are counted by pre-aggregation and never gathered.
+pages are read whole.  Hosts with many pages are counted by pre-aggregation and never gathered.  An empty table gives an empty result; only
+the page, its url and the kept columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

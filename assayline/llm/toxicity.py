@@ -11,7 +11,8 @@ exactly the forward pass, computed from these.
 
 Cases: null, empty or wordless texts score as a window without evidence.  Texts shorter than a window are one window.  Very
 long texts are read whole; a run without spaces, as in Chinese, Japanese or Thai, is read in overlapping pieces.  Labels that are null are not used; without labels of both classes the
-model stays at its start and every text scores alike.  Repeated labels count once per row.  Repeated rows score alike.
+model stays at its start and every text scores alike.  Repeated labels count once per row.  Repeated rows score alike.  Empty tables
+give empty results, and documents that pass keep all their columns, whatever their names.
 """
 
 from __future__ import annotations
