@@ -212,8 +212,15 @@ def fit_mixtures(
 def fit_mixture(
     df: DataFrame, features: Sequence[str] | str, components: int, covariance_type: str = "full", **options
 ) -> Mixture:
-    """Fit one mixture."""
-    return fit_mixtures(df, features, [(components, covariance_type)], **options)[(components, covariance_type)]
+    """Fit one mixture; a :class:`FailedFit` where its covariance stops being positive definite."""
+    model = fit_mixtures(df, features, [(components, covariance_type)], **options)[(components, covariance_type)]
+    if not np.isfinite(model.log_likelihood):
+        raise FailedFit(f"a covariance of the {covariance_type} mixture of {components} is not positive definite")
+    return model
+
+
+class FailedFit(ValueError):
+    """A model that could not be fitted."""
 
 
 def mixture_bic(

@@ -77,6 +77,17 @@ class SearchResult:
         rows = [(i, f) for i, f in enumerate(self.features)]
         return spark.createDataFrame(rows, "position int, feature string")
 
+    def selected(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The columns ``keep`` (ids, target) of the searched table and the selected features, each a column.
+
+        Elements of an array column are named ``{column}_{position}``, as in the search.
+        """
+        def column(name: str):
+            array, _, place = name.rpartition("_")
+            return F.col(f"`{name}`") if name in df.columns else F.get(f"`{array}`", F.lit(int(place))).alias(name)
+
+        return df.select(*[F.col(f"`{k}`") for k in keep], *[column(f) for f in self.features])
+
 
 def chosen_positions(genome: np.ndarray) -> tuple[int, ...]:
     """Features whose gene exceeds one half."""

@@ -9,11 +9,12 @@ from assayline.operators import boosting as B
 from assayline.operators.ensemble_outliers import _half_poisson, _uniform, outlier_samples
 from assayline.operators.features import average_clusters, cluster_features, drop_correlated
 from assayline.operators.impute import impute_mixture
-from assayline.operators.mixture import fit_mixture, fit_mixtures, mixture_bic, score_mixture
+from assayline.operators.mixture import FailedFit, fit_mixture, fit_mixtures, mixture_bic, score_mixture
 from assayline.operators.pls import pls_cv, pls_cv_predict, pls_fit, r2_score
 from assayline.operators.rbf import RbfPoint, rbf_cv
 from assayline.operators.screening import ForestLearner, StumpLearner, affine, keep_relevant, relevant_features
 from assayline.operators.search import (
+    SearchResult,
     select_features_ga, select_features_rbf_ga, select_lags_ga, select_regions_ga,
 )
 from assayline.operators.split import train_test_split
@@ -261,3 +262,16 @@ def test_screening_by_stumps(spark):
 def test_shuffled_folds_are_balanced(spark):
     counts = [r["count"] for r in spark.range(5000).groupBy(shuffled_fold(["id"], 5, 9)).count().collect()]
     assert len(counts) == 5 and max(counts) < 1.15 * min(counts)
+
+
+def test_selected_features_as_a_table(spark):
+    df = spark.createDataFrame([(1, 0.5, [1.0, 2.0, 3.0]), (2, 0.7, [4.0, 5.0, 6.0])], "id long, y double, x array<double>")
+    found = SearchResult(("x_2", "y"), 1.0, (), 1.0, df)
+    assert found.selected(df, ["id"]).collect() == [(1, 3.0, 0.5), (2, 6.0, 0.7)]
+    assert found.selected(df, ["id"]).columns == ["id", "x_2", "y"]
+
+
+def test_failed_mixtures_are_reported(spark):
+    df = spark.createDataFrame([(float(i), 1e200 * i) for i in range(20)], "a double, b double")
+    with pytest.raises(FailedFit):
+        fit_mixture(df, ["a", "b"], 2)
