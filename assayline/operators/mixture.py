@@ -114,7 +114,7 @@ def _started(rows: PackedRows, source: DataFrame, specs: Sequence[tuple[int, str
         x = batch["x"] - shift
         return {"all": np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])}
 
-    flat = rows.sum(whole)["all"]
+    flat = rows.totals(whole)["all"]
     n, mean = flat[0], flat[1:1 + d] / flat[0]
     spread = flat[1 + d:].reshape(d, d) / n - np.outer(mean, mean)
     axes = np.linalg.eigh(spread)[1][:, ::-1].T
@@ -141,7 +141,7 @@ def _started(rows: PackedRows, source: DataFrame, specs: Sequence[tuple[int, str
             out[f"{k}|{a}"] = _weighted_sums(x, np.eye(k)[part], np.zeros((k, d)))
         return out
 
-    sums = rows.sum(parts)
+    sums = rows.totals(parts)
     return {
         (k, kind, s): _maximise(sums[f"{k}|{min(s, d - 1)}"], k, d, kind, np.zeros((k, d))) for k, kind, s in specs
     }
@@ -183,7 +183,7 @@ def fit_mixtures(
                 out[f"{k}|{kind}|{s}"] = np.concatenate([[each.sum(), len(x)], _weighted_sums(x, r, model.means)])
             return out
 
-        sums = rows.sum(expect)
+        sums = rows.totals(expect)
         following = {}
         for key, model in active.items():
             flat = sums["|".join(map(str, key))]

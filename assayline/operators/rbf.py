@@ -71,7 +71,7 @@ def rbf_cv(
     scale, place = np.where(sd > 0, sd, 1.0), mean + base.centre
     sst = products[-1, -1] / scale[-1] ** 2
     rows = moment_rows(df, features, target, fold)
-    scan = pack_rows(rows).sum if passes else lambda statistic: collect_sums(sum_over_rows(rows, statistic))
+    scan = pack_rows(rows).totals if passes else lambda statistic: collect_sums(sum_over_rows(rows, statistic))
     size = dimension + 2
     upper = np.triu_indices(size)
 

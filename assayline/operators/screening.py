@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assayline.operators.trees import MAX_CLASSES, Tree, best_splits, bin_edges, binned
 from assayline.plans.scans import Batch, PackedRows, feature_array, feature_names, is_complete, map_rows, pack_rows
 
-#: Bins per feature; bytes of histograms that a scan may bring to the driver from each task.
+#: Bins per feature; bytes of histograms that a scan may hold in each task.
 BINS, SCAN_BYTES = 32, 64 << 20
 _POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(12)])
 
@@ -45,8 +45,8 @@ class Shadows:
         own = batch["codes"][:, list(kept)]
         return np.concatenate([own, own[affine(len(own), self.seed, round_number)]], 1)
 
-    def weight(self, batch: Batch) -> np.ndarray:
-        return self.weights[batch["label"]] if len(batch["label"]) > 1 else np.zeros(1)  # a single row cannot be shuffled
+    def rows(self, batch: Batch) -> np.ndarray:
+        return np.arange(len(batch["label"]) if len(batch["label"]) > 1 else 0)  # a single row cannot be shuffled
 
 
 @dataclass(frozen=True)
@@ -100,25 +100,29 @@ class ForestLearner:
             nodes = 1 << level
 
             def statistic(batch, level=level, nodes=nodes):
-                label, every = batch["label"], np.arange(len(batch["label"]))
-                base, hashes = shadows.weight(batch), batch["hash"].view("u8")
+                label, every = batch["label"], shadows.rows(batch)
+                hashes = batch["hash"].view("u8")
                 out = {}
                 for r in rounds:
                     codes = shadows.codes(batch, r, kept)
                     for t in range(trees):
                         drawn = np.searchsorted(_POISSON, _uniform(hashes, (seed * 7919 + r) * 1009 + t))
-                        use = np.flatnonzero(drawn)
+                        use = every[drawn[every] > 0]
                         node = grown[r, t].nodes(codes[use], level)
                         seen = codes[use[:, None], looked_at(r, t, level)[node]]
                         place = (((label[use] * nodes + node)[:, None]) * tried + np.arange(tried)) * BINS + seen
-                        total = np.bincount(place.ravel(), np.repeat((base * drawn)[use], tried), minlength=classes * nodes * tried * BINS)
-                        out[f"{r}|{t}"] = total
+                        out[f"{r}|{t}"] = np.bincount(place.ravel(), np.repeat(drawn[use], tried), minlength=classes * nodes * tried * BINS)
                 return out
 
-            for key, flat in rows.packed.sum(statistic).items():
-                r, t = map(int, key.split("|"))
-                sums = np.moveaxis(flat.reshape(classes, nodes, tried, BINS), 0, -1)
+            def split(key, counts, nodes=nodes):
+                sums = np.moveaxis(counts.reshape(classes, nodes, tried, BINS), 0, -1) * shadows.weights
                 feature, cut, _, gain = best_splits(sums, "classes")
+                return np.stack([feature, cut, gain])
+
+            for key, found in rows.packed.reduce(statistic, split).items():
+                r, t = map(int, key.split("|"))
+                feature, cut, gain = found.reshape(3, nodes)
+                feature, cut = feature.astype("int64"), cut.astype("int64")
                 real = looked_at(r, t, level)[np.arange(nodes), np.maximum(feature, 0)]
                 tree, place = grown[r, t], slice(nodes - 1, 2 * nodes - 1)
                 tree.features[place], tree.cuts[place] = np.where(feature >= 0, real, -1), cut
@@ -138,18 +142,18 @@ class StumpLearner:
         width, classes, shadows = 2 * len(kept), rows.classes, rows.shadows
 
         def statistic(batch):
-            weight, out = shadows.weight(batch), {}
+            every, out = shadows.rows(batch), {}
             for r in rounds:
                 place = (batch["label"][:, None] * width + np.arange(width)) * BINS + shadows.codes(batch, r, kept)
-                out[str(r)] = np.bincount(place.ravel(), np.repeat(weight, width), minlength=classes * width * BINS)
+                out[str(r)] = np.bincount(place[every].ravel(), minlength=classes * width * BINS)
             return out
 
-        sums = rows.packed.sum(statistic)
-        out = []
-        for r in rounds:
-            each = np.moveaxis(sums[str(r)].reshape(classes, width, 1, BINS), 0, -1)  # a feature stands where nodes do
-            out.append(best_splits(each, "classes")[3])
-        return np.array(out)
+        def gained(key, counts):
+            each = np.moveaxis(counts.reshape(classes, width, 1, BINS), 0, -1) * shadows.weights  # a feature stands where nodes do
+            return best_splits(each, "classes")[3]
+
+        found = rows.packed.reduce(statistic, gained)
+        return np.array([found[str(r)] for r in rounds])
 
 
 def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:

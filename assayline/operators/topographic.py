@@ -120,7 +120,7 @@ def fit_maps(
         x = batch["x"]
         return {"all": np.concatenate([[len(x), (x * x).sum()], x.sum(axis=0), (x.T @ x).ravel()])}
 
-    flat = rows.sum(whole)["all"]
+    flat = rows.totals(whole)["all"]
     n, squares = flat[0], flat[1]
     d = int(round((-1 + np.sqrt(1 + 4 * (len(flat) - 2))) / 2))
     mean = flat[2:2 + d] / n
@@ -137,7 +137,7 @@ def fit_maps(
                 out[str(i)] = np.concatenate([[each.sum()], r.sum(axis=0), (r.T @ x).ravel()])
             return out
 
-        sums = rows.sum(expect)
+        sums = rows.totals(expect)
         going = []
         for i in active:
             likelihood = float(sums[str(i)][0])

@@ -170,7 +170,7 @@ def _grow(data: BinnedRows, depth: int, trees: int, kind: str, weigh) -> list[tu
                     out[str(t)] = np.stack([histogram(codes, node, nodes, bins, c) for c in channels])
             return out
 
-        found = data.packed.sum(statistic)
+        found = data.packed.totals(statistic)
         sides = []
         for t, tree in enumerate(grown):
             sums = np.moveaxis(found[str(t)].reshape(-1, 1 << level, len(data.edges), bins), 0, -1)

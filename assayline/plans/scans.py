@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -63,17 +63,31 @@ Statistic = Callable[[Batch], Mapping[str, np.ndarray]]
 
 #: Partial sums of one task are rows of at most so many doubles; so many tasks' sums are added up at a time.
 CHUNK, FAN_IN = 1 << 17, 64
-_SUMS = "model string, part int, task int, total binary"
+_SUMS = "model string, part int, task int, kind string, total binary"
 _NAMES = [c.split()[0] for c in _SUMS.split(", ")]
 
 
-def _emitted(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_NAMES)
+def _emitted(rows: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+    narrow = [(m, p, t, *_narrowed(values)) for m, p, t, values in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*narrow), kinds)], names=_NAMES)
+
+
+def _narrowed(values: np.ndarray) -> tuple[str, bytes]:
+    """Kind of numbers and their bytes: counts take two or four bytes each if they fit."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    if low >= 0 and high < 1 << 32 and (values == np.floor(values)).all():
+        kind = "u2" if high < 1 << 16 else "u4"
+        return kind, values.astype(kind).tobytes()
+    return "f8", values.tobytes()
+
+
+def _doubles(kind: str, total: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(total.as_buffer(), dtype=kind).astype("f8", copy=False)
 
 
 def _task_sums(batches: Iterable[Batch], statistic: Statistic) -> Iterator[pa.RecordBatch]:
-    """Add up the statistics of one task's batches and emit them once, as buffers of doubles."""
+    """Add up the statistics of one task's batches and emit them once, as buffers of numbers."""
     sums: dict[str, np.ndarray] = {}
     for columns in batches:
         for model, values in statistic(columns).items():
@@ -83,32 +97,55 @@ def _task_sums(batches: Iterable[Batch], statistic: Statistic) -> Iterator[pa.Re
             else:
                 sums[model] = flat.copy()
     task = TaskContext.get().partitionId()
-    parts = [(m, i, task, f[s : s + CHUNK].tobytes()) for m, f in sums.items() for i, s in enumerate(range(0, len(f), CHUNK))]
-    step = max(1, (8 << 20) // max([1, *(len(p[3]) for p in parts)]))
+    parts = [(m, i, task, f[s : s + CHUNK]) for m, f in sums.items() for i, s in enumerate(range(0, len(f), CHUNK))]
+    step = max(1, (8 << 20) // max([1, *(p[3].nbytes for p in parts)]))
     for start in range(0, len(parts), step):
         yield _emitted(parts[start : start + step])
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """One row instead of the partial sums of some tasks."""
-    total = None
-    for value in table.column("total"):
-        values = np.frombuffer(value.as_buffer())
-        total = values.copy() if total is None else total + values
-    model, part, task = (table.column(c)[0].as_py() for c in ("model", "part", "task"))
-    return pa.Table.from_batches([_emitted([(model, part, task % FAN_IN, total.tobytes())])])
+def _totals(table: pa.Table) -> dict[tuple[str, int], np.ndarray]:
+    """The sums per model and part, added up in the order of the tasks."""
+    totals: dict[tuple[str, int], np.ndarray] = {}
+    for batch in table.sort_by("task").to_batches():
+        names = (batch.column(c).to_pylist() for c in ("model", "part", "kind"))
+        for model, part, kind, total in zip(*names, batch.column("total")):
+            values = _doubles(kind, total)
+            if (model, part) in totals:
+                totals[model, part] += values
+            else:
+                totals[model, part] = values.copy()
+    return totals
+
+
+def _adder(groups: int) -> Callable[[pa.Table], pa.Table]:
+    """One row instead of the partial sums of some tasks, which become one of ``groups``."""
+
+    def added(table: pa.Table) -> pa.Table:
+        task = table.column("task")[0].as_py() % groups
+        return pa.Table.from_batches([_emitted([(model, part, task, total) for (model, part), total in _totals(table).items()])])
+
+    return added
+
 
+def _merged(emitted: DataFrame, tasks: int = FAN_IN * FAN_IN) -> DataFrame:
+    """One row per model and chunk, whatever the number of ``tasks``: what reaches the driver does not grow with them."""
+    emitted = _fewer(emitted, tasks)
+    return emitted.groupBy("model", "part").applyInArrow(_adder(1), _SUMS)
 
-def _merged(emitted: DataFrame) -> DataFrame:
-    """Of every buffer at most ``FAN_IN`` rows, however many tasks there are; the last step adds these up."""
-    return emitted.groupBy("model", "part", F.pmod("task", F.lit(FAN_IN))).applyInArrow(lambda t: _added(t), _SUMS)
+
+def _fewer(emitted: DataFrame, tasks: int) -> DataFrame:
+    """Partial sums of at most about ``FAN_IN`` groups of tasks."""
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        emitted = emitted.groupBy("model", "part", F.pmod("task", F.lit(tasks))).applyInArrow(_adder(tasks), _SUMS)
+    return emitted
 
 
 def sum_over_rows(df: DataFrame, statistic: Statistic) -> DataFrame:
     """Sum the arrays that ``statistic`` returns per batch, as partial sums for :func:`collect_sums` or :func:`long_sums`.
 
     Each task adds its batches up locally and emits one buffer per model and chunk; these
-    are merged in two levels, so what is shuffled is tasks x models buffers and not one row per number.
+    are merged in two levels, so what is shuffled is tasks x models buffers and what is left one of each.
     """
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,27 +173,34 @@ class PackedRows:
 
     blocks: DataFrame
     kinds: dict[str, tuple[str, bool]]
-    tasks: list[int] = field(default_factory=list)
-
-    def sum(self, statistic: Statistic) -> dict[str, np.ndarray]:
-        """The sums of :func:`sum_over_rows` on the driver, without converting the rows again."""
-        emitted = self.partial_sums(statistic)
-        if self.tasks and self.tasks[0] < FAN_IN:
-            return collect_sums(emitted)
-        found = _merged(emitted).toArrow()
-        if not self.tasks:  # the first scan tells whether there are more tasks than are added up at a time
-            self.tasks.append(1 + max(found.column("task").to_pylist(), default=0))
-        return _assembled(found)
+
+    def sum(self, statistic: Statistic) -> DataFrame:
+        """The sums of :func:`sum_over_rows`, without converting the rows again."""
+        return _merged(self.partial_sums(statistic), self.tasks)
+
+    def totals(self, statistic: Statistic) -> dict[str, np.ndarray]:
+        """These sums on the driver."""
+        return collect_sums(self.sum(statistic))
+
+    def reduce(self, statistic: Statistic, finish: Callable[[str, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+        """``finish(model, sums)`` of every model, where the sums are added up; only what it returns reaches the driver."""
+
+        def finished(table: pa.Table) -> pa.Table:
+            found = _joined(_totals(table))
+            return pa.Table.from_batches([_emitted([(m, 0, 0, np.asarray(finish(m, sums), dtype=float).ravel()) for m, sums in found.items()])])
+
+        emitted = _fewer(self.partial_sums(statistic), self.tasks)
+        return collect_sums(emitted.groupBy("model").applyInArrow(finished, _SUMS))
 
     def median(self, values: Callable[[Batch], np.ndarray]) -> float:
         """The exact median of one number per row, which ``values`` makes of a block: null for no rows.
 
-        Numbers are ordered as 64-bit integers and the middle ranks found digit by digit, 16 bits in a scan, so counts
-        of digits are all that leaves a task.
+        Numbers are ordered as 64-bit integers and the middle ranks found digit by digit, 16 bits in a scan; counts
+        of digits are added up and searched in the tasks, so five numbers a scan reach the driver.
         """
-        prefixes: dict[str, tuple[int, int]] = {}  # rank (lower or upper middle) -> digits so far, rank below them
+        prefixes: dict[str, tuple[int, int | None]] = {"low": (0, None), "high": (0, None)}  # digits so far, rank below them
         for shift in (48, 32, 16, 0):
-            wanted = sorted({p for p, _ in prefixes.values()}) if prefixes else [0]
+            wanted = sorted({p for p, _ in prefixes.values()})
 
             def counted(batch, shift=shift, wanted=tuple(wanted)):
                 bits = np.asarray(values(batch), "f8").view("u8")
@@ -165,23 +209,34 @@ class PackedRows:
                 above = bits >> np.uint64(shift + 16) if shift < 48 else np.zeros(len(bits), "u8")
                 return {str(p): np.bincount(digit[above == np.uint64(p)], minlength=1 << 16) for p in wanted}
 
-            counts = self.sum(counted)
-            if not prefixes:
-                n = int(counts.get("0", np.zeros(1)).sum())
-                if not n:
-                    return float("nan")
-                prefixes = {"low": (0, (n - 1) // 2), "high": (0, n // 2)}
-            for name, (prefix, rank) in prefixes.items():
-                upto = np.cumsum(counts[str(prefix)])
-                digit = int(np.searchsorted(upto, rank, side="right"))
-                prefixes[name] = (prefix << 16 | digit, rank - int(upto[digit - 1] if digit else 0))
+            def searched(model, counts, prefixes=prefixes):
+                upto = np.cumsum(counts)
+                n, out = int(upto[-1]), [upto[-1]]
+                for (prefix, rank), middle in zip(prefixes.values(), ((n - 1) // 2, n // 2)):
+                    rank = middle if rank is None else rank
+                    digit = min(int(np.searchsorted(upto, rank, side="right")), len(upto) - 1)
+                    out += [digit, rank - (upto[digit - 1] if digit else 0)] if str(prefix) == model and n else [0, 0]
+                return np.array(out)
+
+            found = self.reduce(counted, searched)
+            if shift == 48 and not found.get("0", np.zeros(1))[0]:
+                return float("nan")
+            prefixes = {
+                name: (prefix << 16 | int(found[str(prefix)][1 + 2 * i]), int(found[str(prefix)][2 + 2 * i]))
+                for i, (name, (prefix, _)) in enumerate(prefixes.items())
+            }
         bits = np.array([p for p, _ in prefixes.values()], "u8")
         bits = np.where(bits >> np.uint64(63), bits & np.uint64((1 << 63) - 1), ~bits)
         return float(bits.view("f8").mean())
 
+    @property
+    def tasks(self) -> int:
+        """Tasks of a scan at most: one for every core, as each brings sums of its own."""
+        return max(1, self.blocks.sparkSession.sparkContext.defaultParallelism)
+
     def partial_sums(self, statistic: Statistic) -> DataFrame:
         kinds = self.kinds
-        return self.blocks.mapInArrow(lambda batches: _task_sums((b for b, _ in _unpacked(batches, kinds)), statistic), _SUMS)
+        return self.blocks.coalesce(self.tasks).mapInArrow(lambda batches: _task_sums((b for b, _ in _unpacked(batches, kinds)), statistic), _SUMS)
 
     def with_column(self, name: str, make: Callable[[Batch], np.ndarray]) -> PackedRows:
         """These blocks and one more column (or another one of that name) of doubles; kept in the cache like these."""
@@ -196,7 +251,7 @@ class PackedRows:
 
         schema = "n int, " + ", ".join(f"`{n}` binary" for n in [*kinds, name])
         blocks = self.blocks.select(*names).mapInArrow(added, schema).persist()
-        return PackedRows(blocks, {**kinds, name: ("f8", False)}, self.tasks)
+        return PackedRows(blocks, {**kinds, name: ("f8", False)})
 
     def unpersist(self) -> None:
         self.blocks.unpersist()
@@ -252,11 +307,13 @@ def collect_sums(sums: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _assembled(sums: pa.Table) -> dict[str, np.ndarray]:
+    return _joined(_totals(sums))
+
+
+def _joined(totals: Mapping[tuple[str, int], np.ndarray]) -> dict[str, np.ndarray]:
     found: dict[str, dict[int, np.ndarray]] = {}
-    for batch in sums.to_batches():
-        for model, part, total in zip(batch.column("model").to_pylist(), batch.column("part").to_pylist(), batch.column("total")):
-            parts, values = found.setdefault(model, {}), np.frombuffer(total.as_buffer())
-            parts[part] = parts[part] + values if part in parts else values
+    for (model, part), values in totals.items():
+        found.setdefault(model, {})[part] = values
     return {model: np.concatenate([parts[i] for i in range(len(parts))]) for model, parts in found.items()}
 
 
@@ -264,7 +321,7 @@ def long_sums(sums: DataFrame) -> DataFrame:
     """Summed statistics as a table (model, idx, value)."""
 
     def spread(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(value.as_buffer()) for value in table.column("total"))
+        (total,) = _totals(table).values()
         place = table.column("part")[0].as_py() * CHUNK + np.arange(len(total), dtype=np.int32)
         return pa.table({"model": pa.array([table.column("model")[0].as_py()] * len(total), pa.string()), "idx": place.astype(np.int32), "value": total})
 

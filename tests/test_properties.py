@@ -201,3 +201,22 @@ def test_dominated(spark, threshold):
     )
     rates = {r["feature"]: r["rate"] for r in dominant_rates(df, df.columns).collect()}
     assert dominated_features(df, df.columns, threshold) == [c for c in df.columns if rates[c] >= threshold]
+
+
+def test_sums_of_many_tasks_reach_the_driver_once(spark):
+    df = spark.range(3000).select((F.col("id") / 2).alias("v"), (F.col("id") % 2).cast("int").alias("f")).repartition(150)
+
+    def statistic(batch):
+        return {str(f): np.append(batch["v"][batch["f"] == f], 0.25).sum(keepdims=True).repeat(200_000) for f in (0, 1)}
+
+    packed = pack_rows(df.select("v", "f"))
+    for sums in (sum_over_rows(df, statistic), packed.sum(statistic)):
+        assert sorted((r["model"], r["part"]) for r in sums.select("model", "part").collect()) == [("0", 0), ("0", 1), ("1", 0), ("1", 1)]
+    found = packed.reduce(statistic, lambda model, sums: np.array([len(sums), sums[0], sums[-1], float(model)]))
+    batches = packed.blocks.count()
+    for f, total in (("0", 1_124_250.0), ("1", 1_125_000.0)):
+        assert list(found[f]) == [200_000, total + batches / 4, total + batches / 4, float(f)]
+    counts = collect_sums(packed.sum(lambda b: {"n": np.bincount(b["f"]), "big": np.array([70_000.0]), "signed": -b["v"].sum(keepdims=True)}))
+    assert list(counts["n"]) == [1500, 1500] and counts["big"][0] == 70_000 * batches and counts["signed"][0] == -2_249_250
+    assert packed.median(lambda b: b["v"]) == 749.75
+    packed.unpersist()
