@@ -1,7 +1,8 @@
 """Small trees and boosted trees over binned rows.
 
 Features are cut into bins once and packed.  A level of a tree (of all classes' trees of a round together) takes one scan,
-which adds up histograms of the bins per node; splits are found on the driver from these.  The state
+which adds up histograms of the bins per node, for some features at a time; the best split of each node among these is found
+where they are added up, and the driver compares what each group of features has found.  The state
 of boosting is the list of trees: row weights and scores are recomputed from it inside each scan.  Every
 ``REFRESH`` rounds what the trees so far say is put beside the packed rows, made anew from the first
 blocks, so a lost block needs only the source and the trees.
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.plans.scans import PackedRows, collect_sums, feature_array, is_complete, map_rows, pack_rows, sum_over_rows
+from assayline.plans.scans import CHUNK, PackedRows, collect_sums, feature_array, is_complete, map_rows, pack_rows, sum_over_rows
 
 TREE_DEPTH = 3  # at most 8 leaves
 BINS = 64
@@ -89,6 +90,11 @@ def _grown(left: np.ndarray, right: np.ndarray, kind: str) -> np.ndarray:
 
 def best_splits(sums: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Feature and cut of each node, the sums of both sides, and the gain, from sums per (node, feature, bin, channel)."""
+    return _compared(sums, kind)[:4]
+
+
+def _compared(sums: np.ndarray, kind: str) -> tuple[np.ndarray, ...]:
+    """What :func:`best_splits` gives, and the rounded shares by which splits are compared."""
     nodes, p, bins, channels = sums.shape
     left = np.cumsum(sums, 2)[:, :, :-1]
     total = sums[:, :1].sum(2, keepdims=True)
@@ -107,7 +113,7 @@ def best_splits(sums: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np
         sides[n, 0] = left[n, feature[n], cut[n]] if split[n] else total[n, 0, 0]
         sides[n, 1] = right[n, feature[n], cut[n]] if split[n] else 0.0
     gained = np.where(split, gain[np.arange(nodes), best], 0.0)
-    return np.where(split, feature, -1), np.where(split, cut, 0), sides.reshape(2 * nodes, channels), gained
+    return np.where(split, feature, -1), np.where(split, cut, 0), sides.reshape(2 * nodes, channels), gained, shares[np.arange(nodes), best]
 
 
 @dataclass
@@ -157,27 +163,37 @@ def _grow(data: BinnedRows, depth: int, trees: int, kind: str, weigh) -> list[tu
     """
     grown = [Tree(np.full((1 << depth) - 1, -1), np.zeros((1 << depth) - 1, "int64"), np.zeros((1 << depth, 1))) for _ in range(trees)]
     sides: list[np.ndarray] = []
-    bins, classes = data.bins, data.classes
+    bins, classes, p = data.bins, data.classes, len(data.edges)
     for level in range(depth):
-        def statistic(batch, level=level, grown=tuple(grown)):
-            codes, nodes = batch["codes"], 1 << level
+        nodes = 1 << level
+        width = max(1, CHUNK // ((classes if kind == "classes" else 3) * nodes * bins))  # features whose sums fit into one buffer
+
+        def statistic(batch, level=level, nodes=nodes, width=width, grown=tuple(grown)):
             out = {}
             for t, (tree, channels) in enumerate(zip(grown, weigh(batch))):
-                node = tree.nodes(codes, level)
-                if kind == "classes":
-                    out[str(t)] = histogram(codes, batch["label"] * nodes + node, classes * nodes, bins, channels)
-                else:
-                    out[str(t)] = np.stack([histogram(codes, node, nodes, bins, c) for c in channels])
+                node = tree.nodes(batch["codes"], level)
+                for first in range(0, p, width):
+                    codes = batch["codes"][:, first : first + width]
+                    if kind == "classes":
+                        out[f"{t}|{first}"] = histogram(codes, batch["label"] * nodes + node, classes * nodes, bins, channels)
+                    else:
+                        out[f"{t}|{first}"] = np.stack([histogram(codes, node, nodes, bins, c) for c in channels])
             return out
 
-        found = data.packed.totals(statistic)
+        def split(key, flat, nodes=nodes, width=width):
+            first = int(key.split("|")[1])
+            sums = np.moveaxis(flat.reshape(-1, nodes, min(width, p - first), bins), 0, -1)
+            feature, cut, side, _, share = _compared(sums, kind)
+            return np.column_stack([share, np.where(feature >= 0, first + feature, -1), cut, side.reshape(nodes, -1)])
+
+        found = data.packed.reduce(statistic, split)
         sides = []
         for t, tree in enumerate(grown):
-            sums = np.moveaxis(found[str(t)].reshape(-1, 1 << level, len(data.edges), bins), 0, -1)
-            feature, cut, side, _ = best_splits(sums, kind)
-            place = slice((1 << level) - 1, (2 << level) - 1)
-            tree.features[place], tree.cuts[place] = feature, cut
-            sides.append(side)
+            each = np.stack([found[f"{t}|{first}"].reshape(nodes, -1) for first in range(0, p, width)])
+            best = each[each[:, :, 0].argmax(0), np.arange(nodes)]  # of equal ones the first features'
+            place = slice(nodes - 1, 2 * nodes - 1)
+            tree.features[place], tree.cuts[place] = best[:, 1].astype("int64"), best[:, 2].astype("int64")
+            sides.append(best[:, 3:].reshape(2 * nodes, -1))
     return list(zip(grown, sides))
 
 
