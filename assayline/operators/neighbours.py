@@ -33,7 +33,7 @@ def _within(a: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None) -> t
     na, nb = (sa * sa).sum(1), (sb * sb).sum(1)
     # everything that the rounding of this form of the distance leaves in doubt is measured exactly
     doubt = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (na + nb.max())
-    found = []
+    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]  # there may be no pair within the bounds
     for start in range(0, len(a), 256):
         rows = slice(start, start + 256)
         square = na[rows, None] - 2 * sa[rows] @ sb.T + nb[None, :]

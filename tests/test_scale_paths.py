@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assayline.operators import neighbours
 from assayline.operators.neighbours import k3n_error, nearest_neighbours
 from assayline.operators.outliers import hampel, savgol_hampel
 from assayline.operators.signal import lag_table, smooth_series
@@ -111,3 +112,8 @@ def test_neighbours_with_copies(spark, block_rows):
 def test_neighbour_error_of_the_same_space(spark, folder):
     df = read_table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("a"))
     assert k3n_error(df.withColumn("b", F.transform("a", lambda v: v * 2)), "vec_id", "a", "b", 5) == pytest.approx(0, abs=1e-9)
+
+
+def test_a_visit_without_any_pair_within_its_bound():
+    a, b = np.zeros((3, 2)), np.full((5, 2), 9.0)
+    assert [len(part) for part in neighbours._within(a, b, 2, np.ones(3))] == [0, 0, 0]
