@@ -21,6 +21,8 @@ BLOCK_ROWS = 2048
 #: Pivots of each of the two levels at most; queries that one task compares with a block.
 MAX_PIVOTS = 256
 QUERY_ROWS = 16_384
+#: Bytes of the rows of blocks that are visited together.
+HOST_BYTES = 16 << 20
 
 
 def _within(a: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,14 +224,29 @@ def nearest_neighbours(
     near = known.select(id_col, F.explode(F.arrays_zip("neighbours", "distances")).alias("p"))
     near = near.select(id_col, F.col("p.neighbours").alias("neighbour"), F.col("p.distances").alias("distance"))
     if len(first_block) > 1 or blocks[0] > 1:
-        near = near.unionByName(_from_other_blocks(known, cells, blocks, first_block, id_col, kind, k))
+        near = near.unionByName(_from_other_blocks(known, cells, blocks, first_block, id_col, kind, k, block_rows))
     by_distance = Window.partitionBy(id_col).orderBy("distance", "neighbour")
     near = near.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
     return near if surplus is None else near.unionByName(surplus)
 
 
-def _from_other_blocks(known: DataFrame, cells: _Cells, blocks: np.ndarray, first_block: np.ndarray, id_col: str, kind: T.DataType, k: int) -> DataFrame:
-    """(id, neighbour, distance) of what rows find nearer, or as near, in other blocks than their own."""
+def _together(counts: dict[str, np.ndarray], steps: Sequence[int], query_rows: int, cores: int) -> int:
+    """How many blocks to visit at once: more if rows go to nearly all of them anyway, as long as there is work for all cores."""
+    alone = counts["1"].sum()
+    for g in reversed(steps[1:]):
+        visitors = counts[str(g)]
+        if visitors.sum() * g <= 1.25 * alone and np.ceil(visitors / query_rows).sum() >= 4 * cores:
+            return g
+    return 1
+
+
+def _from_other_blocks(
+    known: DataFrame, cells: _Cells, blocks: np.ndarray, first_block: np.ndarray, id_col: str, kind: T.DataType, k: int, block_rows: int
+) -> DataFrame:
+    """(id, neighbour, distance) of what rows find nearer, or as near, in other blocks than their own.
+
+    Where little can be pruned, what is shuffled is each row once per group of blocks that lie side by side.
+    """
 
     def visits(x: np.ndarray, own: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, cell = cells.reached(x, bound)
@@ -238,33 +255,50 @@ def _from_other_blocks(known: DataFrame, cells: _Cells, blocks: np.ndarray, firs
         other = block != own[row]
         return row[other], block[other]
 
+    def once(row: np.ndarray, block: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row goes once to ``together`` blocks that lie side by side, however many of them it is to visit."""
+        if together == 1:
+            return row, block
+        width = n_blocks // together + 1
+        return np.divmod(np.unique(row * width + block // together), width)
+
     bounded = known.select(id_col, "x", "block", F.when(F.size("distances") == k, F.get("distances", F.lit(k - 1))).otherwise(float("inf")).alias("bound"))
     n_blocks = int(blocks.sum())
+    most_rows = max(BLOCK_ROWS, HOST_BYTES // (8 * cells.top.shape[1]))
+    steps = [1]
+    while 2 * steps[-1] * block_rows <= most_rows and steps[-1] < n_blocks:
+        steps.append(2 * steps[-1])
 
     def counted(batch):
-        _, block = visits(batch["x"], batch["block"], batch["bound"])
-        return {"all": np.bincount(block, minlength=n_blocks)}
+        row, block = visits(batch["x"], batch["block"], batch["bound"])
+        return {str(g): np.bincount(once(row, block, g)[1], minlength=-(-n_blocks // g)) for g in steps}
 
-    visitors = collect_sums(sum_over_rows(bounded.select("x", "block", "bound"), counted))["all"]
-    parts = np.maximum(1, np.ceil(visitors / QUERY_ROWS)).astype("int64")
+    counts = collect_sums(sum_over_rows(bounded.select("x", "block", "bound"), counted))
+    together = _together(counts, steps, max(QUERY_ROWS, most_rows), known.sparkSession.sparkContext.defaultParallelism)
+    visitors = counts[str(together)]
+    parts = np.maximum(1, np.ceil(visitors / (QUERY_ROWS if together == 1 else max(QUERY_ROWS, most_rows)))).astype("int64")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
                 row, block = visits(to_numpy(rows.column("x")), rows.column("block").to_numpy(), rows.column("bound").to_numpy())
-                part = rows.column("_b").to_numpy()[row] % parts[block]
-                kept = rows.select([id_col, "x", "bound"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block), pa.array(part)], names=[*kept.schema.names, "block", "part"])
+                row, host = once(row, block, together)
+                part = rows.column("_b").to_numpy()[row] % parts[host]
+                kept = rows.select([id_col, "x", "bound", "block"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(host), pa.array(part)], names=[*kept.schema.names, "host", "part"])
 
     salted = bounded.withColumn("_b", F.xxhash64(F.lit("part"), id_col).bitwiseAND(F.lit((1 << 62) - 1)))
     fields = {f.name: f for f in salted.schema.fields}
-    schema = T.StructType([fields[id_col], fields["x"], fields["bound"], T.StructField("block", T.LongType()), T.StructField("part", T.LongType())])
+    schema = T.StructType([fields[id_col], fields["x"], fields["bound"], fields["block"], T.StructField("host", T.LongType()), T.StructField("part", T.LongType())])
     queries = salted.mapInArrow(sent, schema)
     visited = np.flatnonzero(visitors)
-    copies = known.sparkSession.createDataFrame([(int(b), int(parts[b])) for b in visited], "block bigint, parts bigint")
-    hosts = known.select(id_col, "x", "block").join(F.broadcast(copies), "block")  # a row per block
-    hosts = hosts.select(F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_part"))
+    copies = known.sparkSession.createDataFrame([(int(b), int(parts[b])) for b in visited], "host bigint, parts bigint")
+    hosts = known.select(id_col, "x", "block", F.floor(F.col("block") / together).alias("host")).join(F.broadcast(copies), "host")  # a row per host
+    hosts = hosts.select(
+        F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("block").alias("_block"), F.col("host").alias("_host"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_part"),
+    )
 
     def compared(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         names = [id_col, "neighbour", "distance"]
@@ -272,12 +306,14 @@ def _from_other_blocks(known: DataFrame, cells: _Cells, blocks: np.ndarray, firs
             ids = ours.column(id_col) if not ours.num_rows else theirs.column("_id")
             return pa.table([ids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=names)
         ids, others = _column(ours, id_col), _column(theirs, "_id")
-        i, j, distance = _within(_matrix(ours, "x"), _matrix(theirs, "_x"), k, _column(ours, "bound").to_numpy())
-        i, j, distance = _best(ids, others, i, j, distance, k)
+        # a row may meet its own block again, beside others: one place more, for the row itself
+        i, j, distance = _within(_matrix(ours, "x"), _matrix(theirs, "_x"), k + 1, _column(ours, "bound").to_numpy())
+        new = _column(ours, "block").to_numpy()[i] != _column(theirs, "_block").to_numpy()[j]
+        i, j, distance = _best(ids, others, i[new], j[new], distance[new], k)
         return pa.table([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(distance)], names=names)
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())])
-    return queries.groupBy("block", "part").cogroup(hosts.groupBy("_block", "_part")).applyInArrow(compared, schema)
+    return queries.groupBy("host", "part").cogroup(hosts.groupBy("_host", "_part")).applyInArrow(compared, schema)
 
 
 @F.arrow_udf(T.DoubleType())

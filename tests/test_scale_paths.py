@@ -117,3 +117,17 @@ def test_neighbour_error_of_the_same_space(spark, folder):
 def test_a_visit_without_any_pair_within_its_bound():
     a, b = np.zeros((3, 2)), np.full((5, 2), 9.0)
     assert [len(part) for part in neighbours._within(a, b, 2, np.ones(3))] == [0, 0, 0]
+
+
+def test_rows_that_visit_nearly_all_blocks_visit_several_at_once(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(1500, 12))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(1500), "x": list(map(list, x))}))
+    chosen, choose = [], neighbours._together
+    monkeypatch.setattr(neighbours, "_together", lambda *given: chosen.append(choose(*given)) or chosen[-1])
+    for name, value in (("BLOCK_ROWS", 256), ("HOST_BYTES", 1), ("QUERY_ROWS", 128)):
+        monkeypatch.setattr(neighbours, name, value)
+    found = nearest_neighbours(df, "id", "x", 4, block_rows=32).orderBy("id", "rank").collect()
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    assert chosen[0] > 1
+    assert [r["neighbour"] for r in found] == apart.argsort(1, kind="stable")[:, :4].ravel().tolist()
