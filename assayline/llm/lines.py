@@ -3,12 +3,15 @@
 Method: a segment-partition edit join.  A line of n characters is cut into ``edits`` + 1 segments; a line within
 ``edits`` edits of it holds at least one of them, at a place that the lengths and the segment's number confine to a few
 positions.  Segments are indexed under their line's length and probed with those substrings of equal and longer
-lines.  Candidates whose letters differ too much are dismissed, all others are verified by banded bit-parallel edit distance (bit
+lines.  Entries are first counted without their lines; only lines that share one are looked at again.  Of these, pairs whose letters,
+characters or pairs of characters differ too much are dismissed, all others are verified by banded bit-parallel edit distance (bit
 vectors of vertical differences, 2 * edits + 1 wide).  A segment that many different lines share is not joined pair by pair: all
 that look it up are compared with one of its lines, and links connect lines to classes.  Lines that are still apart are told apart by a sketch of their
 characters (parities of their counts), by two of its 2 * edits + 2 parts for every choice of two, because ``edits`` edits leave two parts or
 more unchanged; in these smaller crowds they are compared with one line outside the first component, a few times, and then pair by pair across
-components only.  So a group of n near lines costs in the order of n comparisons, and no link between components is lost.
+components only.  So to find the classes a group of n near lines costs in the order of n comparisons, and no link between components is lost.
+The number of links is counted over all pairs within ``edits`` edits: both lines of such a pair are in one class, so the lines of a class
+are compared with each other (those of a large one only if two parts of their sketches agree), in blocks and without keeping the pairs.
 
 What is removed: lines are compared without white space at their ends.  Of equal lines the first (by id, then line
 number) stays, and of a class of lines that are connected by steps of up to ``edits`` edits only its first line.
@@ -26,7 +29,7 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.llm.common import MOST_SHIPPED, discard, only, shipped, written
@@ -38,6 +41,8 @@ SHORTEST, SHORTEST_NEAR = 10, 30
 #: Lines that may share an entry of the index and still be compared each with each; rounds of comparing a crowd with one line.
 MOST_SHARED = 24
 STARS = 1
+#: Lines of a crowd that a task compares with all others of it, about.
+BLOCK_LINES = 4096
 # Letters dealt into groups of about equal frequency in European languages; other characters are in no group.
 _GROUPS = ("e", "ta", "oi", "ns", "hrd", "lucm", "fwgypbvkxjqz")
 
@@ -68,13 +73,8 @@ def _segment(length: Column, number: Column, edits: int) -> tuple[Column, Column
     return base * number + F.greatest(F.lit(0), number - first_longer), base + (number >= first_longer).cast("int")
 
 
-def index_places(edits: int) -> list[tuple[int, int, int]]:
-    """(characters shorter, segment, shift) of a line's own segments."""
-    return [(0, number, 0) for number in range(edits + 1)]
-
-
 def probe_places(edits: int) -> list[tuple[int, int, int]]:
-    """Of the substrings that a line must be looked up with to meet all lines that are at most ``edits`` characters shorter."""
+    """(characters shorter, segment, shift) of the substrings that a line must be looked up with to meet all lines that are at most ``edits`` characters shorter."""
     return [
         (shorter, number, shift)
         for shorter in range(edits + 1)
@@ -87,16 +87,18 @@ def _literals(rows: list[tuple], names: str) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names.split())]) for row in rows])
 
 
-def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """a, line, entry (hash of a length, a segment's number and the substring at one of the places), own (the line's own segment)."""
-    rows = lines.select("a", "line", "n", F.explode(_literals(places, "shorter number shift")).alias("p"))
-    rows = rows.select("a", "line", "n", (F.col("n") - F.col("p.shorter")).alias("length"), "p.number", "p.shift")
-    start, size = _segment(F.col("length"), F.col("number"), edits)
-    rows = rows.where(F.col("length") >= SHORTEST_NEAR).select(
-        "a", "line", "n", "length", "number", (start + F.col("shift")).alias("at"), size.alias("size"), F.expr("length = n and shift = 0").alias("own")
-    )
-    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    return rows.select("a", "line", F.xxhash64("length", "number", F.substring(F.col("line"), F.col("at") + 1, F.col("size"))).alias("entry"), "own")
+def entries(lines: DataFrame, edits: int) -> DataFrame:
+    """The rows of ``lines`` with every entry (hash of a length, a segment's number and a substring) that they look up, and whether it is their ``own``.
+
+    A line looks up its own segments too, so these rows are the index and what it is probed with.
+    """
+    rows = lines.select("*", F.explode(_literals(probe_places(edits), "shorter number shift")).alias("p"))
+    length = F.col("n") - F.col("p.shorter")
+    rows = rows.where(length >= SHORTEST_NEAR).withColumn("length", length)
+    start, size = _segment(F.col("length"), F.col("p.number"), edits)
+    rows = rows.withColumns({"at": start + F.col("p.shift"), "size": size}).where("at >= 0 and at + size <= n")
+    entry = F.xxhash64("length", "p.number", F.substring(F.col("line"), F.col("at") + 1, F.col("size")))
+    return rows.select(*lines.columns, entry.alias("entry"), F.expr("p.shorter = 0 and p.shift = 0").alias("own"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -112,6 +114,37 @@ def sketch(line: Column) -> Column:
     )
 
 
+def pair_sketch(line: Column) -> Column:
+    """The same of neighbouring characters, by a hash of both.  An edit turns four bits at most."""
+    one = F.lit(1).cast("long")
+    start = F.struct(F.lit("").alias("before"), F.lit(0).cast("long").alias("bits"))
+
+    def step(s: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", one, F.pmod(F.xxhash64(s["before"], c), F.lit(64)).cast("int"))
+        return F.struct(c.alias("before"), s["bits"].bitwiseXOR(bit).alias("bits"))
+
+    return F.aggregate(F.split(line, ""), start, step, lambda s: s["bits"])
+
+
+#: What is known of a line when it meets others.
+_FEATURES = ("n", "sketch", "pairs", "letters")
+
+
+def _other(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same lines as the other side of a pair: ``c`` and its features under names that end in 2."""
+    return rows.select(*keys, F.col("a").alias("c"), *[F.col(f).alias(f + "2") for f in _FEATURES])
+
+
+def _near(edits: int) -> Column:
+    """Whether the features of two lines leave it possible that they are within ``edits`` edits."""
+    differ = lambda f: F.bit_count(F.col(f).bitwiseXOR(F.col(f + "2")))
+    apart = F.aggregate(F.zip_with("letters", "letters2", lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d.cast("int"))
+    return (
+        (F.col("a") != F.col("c")) & (F.abs(F.col("n") - F.col("n2")) <= edits)
+        & (differ("sketch") <= 2 * edits) & (differ("pairs") <= 4 * edits) & (apart <= 2 * edits)
+    )
+
+
 def _part_masks(edits: int) -> list[int]:
     """The bits of a sketch dealt into 2 * edits + 2 parts, as signed numbers."""
     parts = 2 * edits + 2
@@ -120,7 +153,7 @@ def _part_masks(edits: int) -> list[int]:
 
 
 def told_apart(crowd: DataFrame, edits: int) -> DataFrame:
-    """(entry, a, sketch) of crowded entries once for every choice of two sketch parts, under what the sketch holds there.
+    """Rows (with ``entry`` and ``sketch``) of crowded entries once for every choice of two sketch parts, under what the sketch holds there.
 
     2 * edits bits that differ leave at least two parts alike, so lines within ``edits`` edits meet again.
     """
@@ -273,42 +306,37 @@ class LineJoin:
         lines = lines.where(F.col("seen").isNull() | ~F.array_contains("seen", _mark("line_no", "a")))
         return lines.select("a", "line", "n")
 
-    def _meetings(self) -> DataFrame:
-        """(a, c, entry, sketch, near, indexed): a line c that looks up an entry of a line a.
-
-        A crowded entry, one of more than ``most_shared`` lines, is represented by one of its lines alone; all that look it up are
-        there, with their sketch.  ``near`` tells whether the sketches leave the pair possible, ``indexed`` which of them are its own.
-        """
+    def _texts(self, shared: DataFrame) -> DataFrame:
+        """a, line and its features, once for every line that looks up one of the entries."""
         lines = self._first_lines()
-        counts = entries(lines, index_places(self.edits), self.edits).groupBy("entry").agg(F.count("*").alias("n"), F.min("a").alias("leader"))
-        shared = written(counts.where(F.col("n") > self.most_shared).select("entry", "leader"), "shared")
-        index = entries(lines, index_places(self.edits), self.edits)
-        probe = entries(lines, probe_places(self.edits), self.edits)
-        if not shared.limit(1).count():
-            nothing = (F.lit(None).cast("long").alias("sketch"), F.lit(True).alias("near"), F.lit(False).alias("indexed"))
-            return index.select("entry", "a").join(probe.select("entry", F.col("a").alias("c")), "entry").where("a <> c").select("a", "c", "entry", *nothing)
-        told = shipped(shared)
-        index = index.join(told, "entry", "left").where("leader is null or a = leader")
-        index = index.select("entry", "a", F.when(F.col("leader").isNotNull(), sketch(F.col("line"))).alias("sketch2"))
-        probe = probe.join(told, "entry", "left").select("entry", F.col("a").alias("c"), F.when(F.col("leader").isNotNull(), sketch(F.col("line"))).alias("sketch"), "own")
-        found = index.join(probe, "entry").where(F.expr("a <> c or sketch is not null"))
-        near = F.coalesce(self._close(), F.lit(True)) & (F.col("a") != F.col("c"))
-        return found.select("a", "c", "entry", "sketch", near.alias("near"), (F.col("own") & F.col("sketch").isNotNull()).alias("indexed"))
-
-    def _close(self) -> Column:
-        """Whether ``sketch`` and ``sketch2`` leave a pair possible."""
-        return F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= 2 * self.edits
+        if shared.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED:
+            lines = entries(lines, self.edits).join(F.broadcast(shared), "entry", "left_semi")
+        else:
+            named = entries(lines, self.edits).select("entry", "a").join(shared, "entry", "left_semi").select("a").distinct()
+            lines = lines.join(shipped(written(named, "named")), "a", "left_semi")
+        lines = lines.select("a", "line", "n").dropDuplicates(["a"])
+        line = F.col("line")
+        return lines.select("a", "line", "n", sketch(line).alias("sketch"), pair_sketch(line).alias("pairs"), letter_counts(line).alias("letters"))
+
+    def _members(self) -> tuple[DataFrame, DataFrame]:
+        """The lines that share an entry (see :meth:`_texts`), and (entry, a, own, crowded, features) for every entry that they look up.
+
+        An entry is shared if it is a line's own and is looked up again; it is crowded if more than ``most_shared`` lines own it.
+        """
+        counts = entries(self._first_lines(), self.edits).groupBy("entry").agg(F.sum(F.col("own").cast("int")).alias("owners"), F.count("*").alias("times"))
+        counts = counts.where("owners > 0 and times > 1").select("entry", (F.col("owners") > self.most_shared).alias("crowded"))
+        shared = written(counts, "shared")
+        texts = written(self._texts(shared), "texts")
+        members = entries(texts, self.edits).join(shipped(shared), "entry").select("entry", "a", "own", "crowded", *_FEATURES)
+        members = written(members, "members")
+        discard(shared)
+        return texts, members
 
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Of the pairs (a, c) those within ``edits`` edits, written."""
         pairs = pairs.where("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct()
-        left, right = texts.select("a", "n", "letters", F.col("line").alias("x")), texts.select(F.col("a").alias("c"), F.col("line").alias("y"))
-        other = texts.select("a", "n", "letters").toDF("c", "n2", "letters2")
-        apart = F.aggregate(
-            F.zip_with("letters", "letters2", lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d.cast("int")
-        )
-        near = (F.abs(F.col("n") - F.col("n2")) <= self.edits) & (apart <= 2 * self.edits)
-        checked = pairs.join(left, "a").join(other, "c").where(near).select("a", "c", "x").join(right, "c")
+        left, right = texts.select("a", F.col("line").alias("x")), texts.select(F.col("a").alias("c"), F.col("line").alias("y"))
+        checked = pairs.join(left, "a").join(right, "c")
         return written(checked.where(edit_distance(F.col("x"), F.col("y"), self.edits) <= self.edits).select("a", "c").distinct(), "near")
 
     def _classes(self) -> DataFrame:
@@ -318,45 +346,67 @@ class LineJoin:
         In crowded entries that takes rounds: everybody is compared with one line, then (among lines with like parts of sketches) with one
         line drawn from those outside the component of the first, and at last what is still apart, pair by pair.
         """
-        met = written(self._meetings(), "meetings")
-        named = written(met.select("a").union(met.select("c")).distinct(), "named")
-        texts = self._first_lines().join(shipped(named), "a", "left_semi").dropDuplicates(["a"])
-        texts = written(texts.select("a", "line", "n", letter_counts(F.col("line")).alias("letters")), "texts")
-        close, crowd = self._close(), met.where("sketch is not null")
-        links = self._verified(met.where("near").select("a", "c"), texts)
+        self.texts, members = self._members()
+        texts, near = self.texts, _near(self.edits)
+        few, crowd = members.where("not crowded"), members.where("crowded")
+        met = few.join(_other(few.where("own"), "entry"), "entry").where(near).select("a", "c")
+        leader = crowd.where("own").groupBy("entry").agg(F.min(F.struct("a", *_FEATURES)).alias("f")).select("entry", "f.*")
+        stars = crowd.join(_other(leader, "entry"), "entry").where(near).select("a", "c")
+        links = self._verified(met.union(stars), texts)
         if not crowd.limit(1).count():
-            discard(met, named)
+            discard(members)
             return smallest_reachable(links)
         roots = written(smallest_reachable(links), "classes")
-        members = written(self._apart(crowd.select("entry", F.col("c").alias("a"), "sketch", "indexed"), roots), "members")
-        if not members.limit(1).count():
+        apart = written(self._apart(crowd.select("entry", "a", F.col("own").alias("indexed"), *_FEATURES), roots), "apart")
+        discard(members)
+        if not apart.limit(1).count():
             return roots
-        dealt = told_apart(members.drop("root", "least_root"), self.edits)
+        dealt = told_apart(apart.drop("root", "least_root"), self.edits)
         for number in range(STARS):
             parts = self._apart(dealt, roots)
             outside = parts.where("indexed and root <> least_root")
-            first = outside.groupBy("entry").agg(F.min(F.struct(F.xxhash64(F.lit(number), "a").alias("h"), "a", "sketch", "root")).alias("f"))
-            first = first.select("entry", F.col("f.a").alias("c"), F.col("f.sketch").alias("sketch2"), F.col("f.root").alias("root2"))
-            stars = parts.join(first, "entry").where((F.col("root") != F.col("root2")) & close)
+            first = outside.groupBy("entry").agg(F.min(F.struct(F.xxhash64(F.lit(number), "a").alias("h"), "a", "root", *_FEATURES)).alias("f"))
+            first = _other(first.select("entry", "f.*"), "entry", "root").withColumnRenamed("root", "root2")
+            stars = parts.join(first, "entry").where((F.col("root") != F.col("root2")) & near)
             more = self._verified(stars.select("a", "c"), texts)
             if more.limit(1).count():
                 links = links.union(more)
                 roots = written(smallest_reachable(links), "classes")
         parts = self._apart(dealt, roots)
-        other = parts.where("indexed").select("entry", F.col("a").alias("c"), F.col("sketch").alias("sketch2"), F.col("root").alias("root2"))
+        other = _other(parts.where("indexed"), "entry", "root").withColumnRenamed("root", "root2")
         met_first = F.col("choice") == _first_choice(F.col("sketch").bitwiseXOR(F.col("sketch2")), self.edits)
-        rest = parts.join(other, "entry").where((F.col("root") != F.col("root2")) & close & met_first)
+        rest = parts.join(other, "entry").where((F.col("root") != F.col("root2")) & near & met_first)
         more = self._verified(rest.select("a", "c"), texts)
         if more.limit(1).count():
             roots = smallest_reachable(links.union(more))
-        discard(met, named, members)
+        discard(apart)
         return roots
 
+    def near_pairs(self) -> DataFrame:
+        """(a, c): every two different lines within ``edits`` edits, once.
+
+        They are in one class.  Lines of a class of up to ``most_shared`` are all compared, those of a larger one where two parts of their
+        sketches agree; of a crowd there one side is cut into blocks of about ``BLOCK_LINES`` lines, so that several tasks share it.
+        """
+        lines = self.texts.join(shipped(self.classes.select("a", "size", F.col("rep").alias("entry"))), "a")
+        few = lines.where(F.col("size") <= self.most_shared).withColumns({"choice": F.lit(-1), "block": F.lit(0), "blocks": F.lit(1)})
+        many = told_apart(lines.where(F.col("size") > self.most_shared), self.edits)
+        blocks = many.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks")).where("blocks > 1")
+        many = many.join(shipped(written(blocks, "blocks")), "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        lines = few.unionByName(many.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
+        left = lines.select("entry", "choice", "block", "a", F.col("line").alias("x"), *_FEATURES)
+        right = lines.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = _other(right, "entry", "choice", "block", "line").withColumnRenamed("line", "y")
+        met_first = F.col("choice").isin(-1) | (F.col("choice") == _first_choice(F.col("sketch").bitwiseXOR(F.col("sketch2")), self.edits))
+        within = F.when((F.col("a") < F.col("c")) & _near(self.edits) & met_first, edit_distance(F.col("x"), F.col("y"), self.edits) <= self.edits)
+        return left.join(right, ["entry", "choice", "block"]).where(within).select("a", "c")
+
     def _apart(self, crowd: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of entries whose lines are not all connected, with their ``root`` and the entry's least one."""
         rows = crowd.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-        ends = rows.groupBy("entry").agg(F.min("root").alias("least_root"), F.max("root").alias("most"), F.max("indexed").alias("some"))
-        return rows.join(ends.where("least_root <> most and some").select("entry", "least_root"), "entry")
+        entry = Window.partitionBy("entry")
+        ends = {"least_root": F.min("root").over(entry), "most": F.max("root").over(entry), "some": F.max("indexed").over(entry)}
+        return rows.withColumns(ends).where("least_root <> most and some").drop("most", "some")
 
     def _named_classes(self) -> DataFrame:
         """a, size, rep, rep_doc: the class of every line that has a near one; ``rep`` is its first line (by place) and ``rep_doc`` that line's document."""
@@ -381,12 +431,12 @@ class LineJoin:
     def report(self) -> DataFrame:
         """One row per document: its lines, what is removed from it, its links to different lines, its class.
 
-        A class of near lines has one link between its first line and each of the others; ``n_links`` adds up those of a document's
-        lines.  Documents are in one class if, directly or not, one loses a line that the other keeps; ``class_id`` is the smallest id there.
+        A line has a link to every different line within ``edits`` edits of it; ``n_links`` adds up those of a document's
+        lines, place by place.  Documents are in one class if, directly or not, one loses a line that the other keeps; ``class_id`` is the smallest id there.
         """
-        each = F.when(F.col("a") == F.col("rep"), F.col("size") - 1).otherwise(1)
-        placed = self.placed.groupBy("doc", "line_no", "a").agg(F.max(each).alias("links"))
-        links = placed.groupBy("doc").agg(F.sum("links").alias("n_links"))
+        degrees = self.near_pairs().select(F.explode(F.array("a", "c")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
+        placed = self.placed.select("doc", "line_no", "a").distinct()
+        links = split_join(placed, written(degrees, "links"), ["a"]).groupBy("doc").agg(F.sum("links").alias("n_links"))
         gone = written(self.removals(), "gone")
         removed = gone.groupBy("doc").agg(
             F.count("*").alias("n_removed"), F.sum(F.col("near").cast("long")).alias("n_near"),

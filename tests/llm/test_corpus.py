@@ -158,7 +158,7 @@ def test_line_join_equals_brute_force(spark, most_shared):
     assert Counter(tuple(r) for r in join.cleaned().collect()) == kept
     report = join.report().collect()
     assert len(report) == len(rows)
-    by_text = Counter(y for x in root if rep[x] != x for y in (x, rep[x]))
+    by_text = Counter(x for link in links for x in link)
     class_of = components([(d, first[rep.get(x, x)][0]) for d, i, x in gone])
     assert {r["doc_id"]: r["class_id"] for r in report} == {d: class_of.get(d, d) for d, _, _ in rows}
     expected = Counter(d for d, _, x in places for _ in range(by_text[x]))
@@ -182,6 +182,18 @@ def test_variants_of_a_line_cost_in_proportion(spark):
     assert sum(compared) < 30 * len(texts)
 
 
+def test_links_inside_a_class_are_counted(spark, monkeypatch):
+    """Lines of a class link to each other, not to its first line alone, also where a crowd is cut into blocks."""
+    monkeypatch.setattr(lines, "BLOCK_LINES", 8)
+    base, other = prose(7, 12), prose(8, 12)
+    texts = [base[:i] + c + base[i + 1 :] for i in range(5, 35, 3) for c in "0123456789"]
+    chain = [other, other + "ab", other + "abcd", other + "abcd", other + "abc"]
+    df = spark.createDataFrame([*enumerate(texts), *enumerate(chain, 1000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in lines.LineJoin(df, "text", "doc_id").report().collect()}
+    assert {got[i] for i in range(len(texts))} == {len(texts) - 1}
+    assert [got[1000 + i] for i in range(5)] == [1, 3, 2, 2, 2]
+
+
 def test_line_join_of_odd_tables(docs, nothing):
     join = lines.LineJoin(docs, "text", "doc_id")
     assert join.cleaned().count() == docs.count() and join.cleaned().columns == docs.columns
