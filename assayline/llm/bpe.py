@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assayline.llm.common import as_text, map_batches, only
+from assayline.llm.common import as_text, kept, map_batches, only
 
 # Fixed value: how byte-level tokenizers of this family split a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -184,10 +183,9 @@ class Codec:
         return b"".join([strings[i] for i in tokens.tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def codec_of(source: str) -> Codec:
     """The codec of a worker, kept for its next tasks."""
-    return Codec(source)
+    return kept(Codec, source)
 
 
 def read_tokenizer(path: str) -> str:

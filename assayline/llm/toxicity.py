@@ -18,7 +18,6 @@ give empty results, and documents that pass keep all their columns, whatever the
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 from itertools import chain, groupby
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.llm.common import as_text, map_batches, only
+from assayline.llm.common import as_text, kept, map_batches, only
 
 BUCKETS, DIMENSION = 1 << 17, 8
 WINDOW = 4
@@ -221,9 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Scorer(model.evidence(), model.bias)
 
 
-@lru_cache(maxsize=1)
 def _scorer(packed: bytes, bias: float) -> Scorer:
-    """The scorer of a worker, kept for its next tasks."""
     return Scorer(np.frombuffer(packed, "float32"), bias)
 
 
@@ -234,7 +231,7 @@ def scored(
     shared = docs.sparkSession.sparkContext.broadcast((np.array(scorer.evidence, "float32").tobytes(), scorer.bias))
 
     def make():
-        scorer = _scorer(*shared.value)
+        scorer = kept(_scorer, *shared.value)
 
         def step(batch: pa.RecordBatch):
             return [*batch.columns[: len(keep)], [scorer.score(x) for x in as_text(batch.column(len(keep)))]]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from assayline.llm import common
 
 
 def test_queries_are_registered():
@@ -58,3 +59,18 @@ def test_stages_on_odd_rows(spark, folder):
             docs = stage(spark, docs, folder)
             assert name == "bpe" or docs.columns == [c.split()[0] for c in schema.split(", ")]
         assert docs.count() <= len(data)
+
+
+def test_workers_keep_the_tables_of_one_step():
+    """What a worker keeps for its next tasks is gone when another step begins."""
+    made = []
+
+    def make(name):
+        made.append(name)
+        return name
+
+    for name in ("a", "a", "b", "a"):
+        assert common._begun(lambda name=name: common.kept(make, name)) == name
+    assert made == ["a", "b", "a"]
+    common._begun(lambda: None)
+    assert not common._kept
