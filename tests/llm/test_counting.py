@@ -221,6 +221,13 @@ def test_longer_contexts_predict_better(patterned, spark):
     assert got[3]["n_known"] == 1 and got[4]["n_tokens"] == 1
 
 
+def test_texts_taken_twice_have_the_same_candidates(patterned):
+    few = patterned.where("doc_id < 6")
+    once, twice = (suffix_tree.train(docs)[0] for docs in (few, few.union(few)))
+    assert once.contexts == twice.contexts == len(once.hashes)  # so few tokens that a single occurrence is enough
+    assert once.two.keys.tolist() == twice.two.keys.tolist()
+
+
 def test_rare_words_have_their_own_counts(patterned, spark, monkeypatch):
     texts = spark.createDataFrame([(i, f"red fish w{i % 50} swims") for i in range(200)], "doc_id long, text string")
     whole, words = suffix_tree.train(texts)
