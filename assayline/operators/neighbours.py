@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -18,9 +19,13 @@ from assayline.plans.scans import collect_sums, feature_array, is_complete, map_
 from assayline.session import cut_lineage
 
 BLOCK_ROWS = 2048
-#: Pivots of each of the two levels at most; queries that one task compares with a block.
+#: Pivots of each of the two levels at most, unless rows are narrow and many; queries that one task compares with a block.
 MAX_PIVOTS = 256
 QUERY_ROWS = 16_384
+#: Numbers in a row up to which distances to pivots are added up column by column.
+NARROW = 8
+#: Bytes of all pivots up to which there may be more of them, so that cells of narrow rows stay as small as blocks.
+PIVOT_BYTES = 32 << 20
 #: Bytes of the rows of blocks that are visited together.
 HOST_BYTES = 16 << 20
 
@@ -95,6 +100,13 @@ class _Cells:
 
     @staticmethod
     def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        if x.shape[1] <= NARROW:  # a sum over so few numbers costs more per row than adding up the columns
+            square = np.zeros((len(x), len(pivots)))
+            for column, p in zip(x.T, pivots.T):
+                apart = column[:, None] - p[None, :]
+                apart *= apart
+                square += apart
+            return np.sqrt(square, out=square)
         return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], 1))
 
     def place(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,6 +136,11 @@ class _Cells:
         return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, "int64"), np.zeros(0, "int64"))
 
 
+def _most_pivots(total: int, width: int, block_rows: int) -> int:
+    """Pivots of each level that give a leaf to every block, as far as ``PIVOT_BYTES`` allow; at least ``MAX_PIVOTS``."""
+    return max(MAX_PIVOTS, min(math.isqrt(total // block_rows) + 1, math.isqrt(PIVOT_BYTES // (8 * width))))
+
+
 def _points(rows: DataFrame, n: int, id_col: str) -> np.ndarray:
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).select("x").limit(n).toArrow()
     return np.unique(_matrix(chosen, "x"), axis=0)
@@ -168,7 +185,7 @@ def nearest_neighbours(
     features: Sequence[str] | str,
     k: int = 10,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    max_pivots: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row: (id, neighbour, distance, rank).
 
@@ -200,7 +217,8 @@ def nearest_neighbours(
     total = rows.count()
     if not total:
         return rows.select(id_col, F.col(id_col).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
-    cells = _cells_of(rows, id_col, total, k, block_rows, max_pivots)
+    most = max_pivots or _most_pivots(total, len(rows.select("x").first()["x"]), block_rows)
+    cells = _cells_of(rows, id_col, total, k, block_rows, most)
     blocks = np.maximum(1, -(-cells.counts // block_rows)).astype("int64")
     first_block = np.cumsum(blocks) - blocks
 

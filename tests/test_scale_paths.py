@@ -131,3 +131,18 @@ def test_rows_that_visit_nearly_all_blocks_visit_several_at_once(spark, monkeypa
     np.fill_diagonal(apart, np.inf)
     assert chosen[0] > 1
     assert [r["neighbour"] for r in found] == apart.argsort(1, kind="stable")[:, :4].ravel().tolist()
+
+
+def test_narrow_rows_have_a_leaf_for_every_block(spark, monkeypatch):
+    assert neighbours._most_pivots(54_000_000, 3, 256) ** 2 >= 54_000_000 // 256
+    assert neighbours._most_pivots(54_000_000, 4096, 256) == neighbours.MAX_PIVOTS
+    monkeypatch.setattr(neighbours, "MAX_PIVOTS", 2)
+    made, make = [], neighbours._cells_of
+    monkeypatch.setattr(neighbours, "_cells_of", lambda *given: made.append(make(*given)) or made[-1])
+    x = np.random.default_rng(8).normal(size=(800, 3))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>")
+    found = nearest_neighbours(df, "id", "x", 4, block_rows=20).orderBy("id", "rank").collect()
+    assert len(made[0].counts) > 2 * 2
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    assert [r["neighbour"] for r in found] == np.argsort(apart, axis=1, kind="stable")[:, :4].ravel().tolist()
