@@ -283,7 +283,7 @@ def scores_by_brute_force(learnt, texts):
 
 
 @pytest.mark.parametrize("kind", ["verses", "chance", "lengths"])
-@pytest.mark.parametrize("limits", [{}, {"WORD_BITS": 3, "GROUP": 64, "HOT": 20, "BUFFER": 100, "REMEMBERED": 5}])
+@pytest.mark.parametrize("limits", [{}, {"WORD_BITS": 3, "GROUP": 64, "HOT": 20, "BUFFER": 100, "REMEMBERED": 5}, {"WORD_BITS": 4, "GROUP": 32, "GROUPS": 5, "HOT": 20, "BUFFER": 100}])
 def test_scores_equal_brute_force(spark, monkeypatch, kind, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_tree, name, value, raising=False)
